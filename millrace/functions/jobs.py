@@ -14,33 +14,26 @@ MISSING = "--"
 ACTIVE_STATES = ("RUNNING", "PENDING")
 
 
-def _state_text(raw: Column) -> Column:
-    """Upper-cased state from a plain string or a list; NULL when blank or empty."""
-    items = V.as_list(raw)
-    text = V.string_or_null(raw)
-    return (
-        F.when(V.kind(raw) == "array", F.upper(V.value_text(F.try_element_at(items, F.lit(1)))))
-        .when(strip(text) != "", F.upper(text))
-    )
+def current_state(raw: Column) -> Column:
+    """The part of a state payload that names the state: a member of ``{"current": ...}``, or all of it."""
+    lower, upper = (F.try_variant_get(raw, f"$.{k}", "variant") for k in ("current", "CURRENT"))
+    return F.when(V.kind(raw) == "object", F.when(V.truthy(lower), lower).otherwise(upper)).otherwise(raw)
 
 
-def state_value(raw: Column) -> Column:
-    """State of any payload shape: ``{"current": [...]}``, a list or a string."""
-    lower, upper = (F.try_variant_get(raw, f"$.{k}", "variant") for k in ("current", "CURRENT"))
-    current = F.when(V.truthy(lower), lower).otherwise(upper)
-    return F.nullif(
-        F.when(V.kind(raw) == "object", _state_text(current)).otherwise(_state_text(raw)),
-        F.lit(""),
+def state_text(current: Column) -> Column:
+    """Upper-cased state from a string or a list's first entry; NULL when blank, empty or other."""
+    first = F.coalesce(
+        F.try_variant_get(current, "$[0]", "string"),
+        F.when(V.kind(F.try_variant_get(current, "$[0]", "variant")) == "null", "NONE"),
     )
+    text = F.when(V.kind(current) == "string", current.cast("string")).otherwise(first)
+    return F.when(strip(text) != "", F.upper(text))
 
 
 def job_state(job: Column) -> Column:
     """State of an accounting entry (X12): ``job_state`` first, then ``state``."""
-    return F.coalesce(
-        state_value(F.try_variant_get(job, "$.job_state", "variant")),
-        state_value(F.try_variant_get(job, "$.state", "variant")),
-        F.lit("UNKNOWN"),
-    )
+    raws = [F.try_variant_get(job, f"$.{k}", "variant") for k in ("job_state", "state")]
+    return F.coalesce(*[state_text(current_state(r)) for r in raws], F.lit("UNKNOWN"))
 
 
 def first_text(*values: Column, default: str | None = MISSING) -> Column:
@@ -66,39 +59,44 @@ def iso_text(text: Column) -> Column:
     return F.coalesce(_stamp(parsed), F.lit(MISSING))
 
 
+def either_text(seconds: Column, text: Column) -> Column:
+    """Timestamp text of a value that may be epoch seconds or ISO text."""
+    return F.when(seconds > 0, epoch_text(seconds)).otherwise(
+        F.when(text.isNull(), MISSING).otherwise(iso_text(text))
+    )
+
+
 def timestamp_text(value: Column) -> Column:
     """Timestamp text of a JSON value: an epoch number or an ISO string."""
-    number = V.number_or_null(value)
-    return F.when(number > 0, epoch_text(number)).otherwise(
-        F.coalesce(iso_text(value.cast("string")), F.lit(MISSING))
-    )
+    return either_text(V.number_or_null(value), value.cast("string"))
+
+
+def _two_digits(n: Column) -> Column:
+    return F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
 
 
 def duration_text(seconds: Column) -> Column:
     """Seconds as ``HH:MM:SS`` (X15); hours may pass 99."""
     s = F.floor(seconds).cast("bigint")
-    text = F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
-    return F.when(seconds > 0, text).otherwise(MISSING)
+    parts = (F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    return F.when(seconds > 0, F.concat_ws(":", *[_two_digits(p) for p in parts])).otherwise(MISSING)
 
 
 def minutes_text(minutes: Column) -> Column:
     """Minutes as ``HH:MM:00``."""
     m = F.floor(minutes).cast("bigint")
-    return F.when(minutes > 0, F.format_string("%02d:%02d:00", F.floor(m / 60), m % 60)).otherwise(
-        MISSING
-    )
-
-
-def limit_text(limit: Column) -> Column:
-    """A time limit that is a number or ``{set, infinite, number}``."""
-    is_object = V.kind(limit) == "object"
-    flag = {k: V.truthy(F.try_variant_get(limit, f"$.{k}", "variant")) for k in ("set", "infinite")}
-    number = V.number_or_null(
-        F.when(is_object, F.try_variant_get(limit, "$.number", "variant")).otherwise(limit)
-    )
-    return F.when(is_object & (~flag["set"] | flag["infinite"]), MISSING).otherwise(
-        minutes_text(number)
-    )
+    text = F.concat_ws(":", _two_digits(F.floor(m / 60)), _two_digits(m % 60), F.lit("00"))
+    return F.when(minutes > 0, text).otherwise(MISSING)
+
+
+def limit_minutes(limit: Column) -> Column:
+    """Minutes of a limit that is a number or ``{set, infinite, number}``; NULL if there is none."""
+    inner = F.try_variant_get(limit, "$.number", "variant")
+    flags = [F.try_variant_get(limit, f"$.{k}", "variant") for k in ("set", "infinite")]
+    return F.when(
+        V.kind(limit) == "object",
+        F.when(V.truthy(flags[0]) & ~V.truthy(flags[1]), V.number_or_null(inner)),
+    ).otherwise(V.number_or_null(limit))
 
 
 def elapsed_seconds(text: Column) -> Column:

@@ -43,40 +43,41 @@ def as_list(value: Column) -> Column:
     return F.try_variant_get(value, "$", LIST)
 
 
+# Leading word of a variant's schema text, and the JSON kind it stands for.
+_KINDS = {
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "STRING": "string",
+    "BOOLEAN": "boolean",
+    "VOID": "null",
+    "BIGINT": "number",
+    "DECIMAL": "number",
+    "DOUBLE": "number",
+    "FLOAT": "number",
+}
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """A constant map probed once; every operand here is evaluated a single time per row."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
 def kind(value: Column) -> Column:
     """object | array | string | number | boolean | null, and SQL NULL for a missing value."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(F.is_variant_null(value), "null")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .otherwise("number")
-    )
+    return _lookup(_KINDS, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
 
 
 def truthy(value: Column) -> Column:
     """Python truth of a JSON value; a missing value is false."""
-    text = F.to_json(value)
-    number = F.try_variant_get(value, "$", "double")
-    return (
-        F.when(value.isNull() | F.is_variant_null(value), False)
-        .when(text.isin("false", '""', "[]", "{}"), False)
-        .when(kind(value) == "number", number != 0)
-        .otherwise(True)
-    )
+    empty = ("null", "false", '""', "[]", "{}", "0", "0.0", "-0", "-0.0")
+    return ~F.coalesce(F.to_json(value), F.lit("null")).isin(*empty)
 
 
 def value_text(value: Column) -> Column:
     """``str(value)`` for a scalar JSON value; containers give their JSON text."""
-    text = value.cast("string")
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(F.is_variant_null(value), "None")
-        .when(kind(value) == "boolean", F.initcap(text))
-        .otherwise(text)
+    python = {"null": "None", "true": "True", "false": "False"}
+    return F.when(kind(value).isin("null", "boolean"), _lookup(python, F.to_json(value))).otherwise(
+        value.cast("string")
     )
 
 
@@ -86,11 +87,9 @@ def string_or_null(value: Column) -> Column:
 
 
 def number_or_null(value: Column, dtype: str = "double") -> Column:
-    """The value if it is a JSON number (F12), else NULL. Digits inside strings do not count."""
-    k = kind(value)
-    return F.when(
-        k == "number", F.try_variant_get(value, "$", dtype)
-    ).when(k == "boolean", value.cast("boolean").cast("int").cast(dtype))
+    """The value if it is a JSON number (F12), else NULL. Digits inside strings do not count, a
+    boolean counts as 0 or 1."""
+    return F.when(kind(value).isin("number", "boolean"), F.try_variant_get(value, "$", dtype))
 
 
 @F.pandas_udf(T.StringType())

@@ -9,6 +9,17 @@ from ..functions import jobs as J
 from ..functions import variants as V
 
 
+# Members of an accounting record; those of varying type stay variants.
+_MEMBERS = (
+    "struct<job_state variant, state variant, time struct<start variant, elapsed variant, limit variant>, "
+    "name string, job_name string, partition string, nodes string, working_directory string, work_dir string, "
+    "stdout_expanded string, standard_output string, stderr_expanded string, standard_error string>"
+)
+
+# A JSON number other than zero.
+_NONZERO_NUMBER = r"^-?(?=[\d.]*[1-9])\d"
+
+
 def registry_jobs(docs: DataFrame, text: str = "value") -> DataFrame:
     """A registry document ``{job_id: {...}}`` to rows; anything but an object gives none."""
     entry = F.explode(V.parse_object(F.col(text))).alias("job_id", "entry")
@@ -45,37 +56,41 @@ def accounting_jobs(entries: DataFrame) -> DataFrame:
     id the last wins (an aggregate, so repeated ids combine before the shuffle).
     """
     job = F.col("job")
-
-    def value(path):
-        return F.try_variant_get(job, path, "variant")
-
-    def text(*keys):
-        options = [F.nullif(J.strip(V.value_text(value(f"$.{k}"))), F.lit("")) for k in keys]
-        present = [
-            F.when(~F.is_variant_null(value(f"$.{k}")), o) for k, o in zip(keys, options)
-        ]
-        return F.coalesce(*present)
-
-    typed = entries.where(
-        (V.kind(value("$.job_id")) == "number") & V.truthy(value("$.job_id"))
-    ).select(
+    job_id = F.try_variant_get(job, "$.job_id", "variant")
+    # one pass over the payload takes the members out; they are formatted for the winners only
+    members = entries.where(F.to_json(job_id).rlike(_NONZERO_NUMBER)).select(
         "seq",
-        value("$.job_id").cast("string").alias("job_id"),
+        job_id.cast("string").alias("job_id"),
+        F.try_variant_get(job, "$", _MEMBERS).alias("m"),
         F.struct(
-            J.job_state(job).alias("state"),
-            text("name", "job_name").alias("name"),
-            text("partition", "Partition").alias("partition"),
-            text("nodes", "Nodes").alias("nodes"),
-            text("working_directory", "work_dir", "WorkDir").alias("working_dir"),
-            text("stdout_expanded", "standard_output").alias("stdout"),
-            text("stderr_expanded", "standard_error").alias("stderr"),
-            J.timestamp_text(value("$.time.start")).alias("start"),
-            J.duration_text(V.number_or_null(value("$.time.elapsed"))).alias("elapsed"),
-            J.limit_text(value("$.time.limit")).alias("time_limit"),
-        ).alias("details"),
+            *[F.try_variant_get(job, f"$.{k}", "string").alias(k) for k in ("Partition", "Nodes", "WorkDir")]
+        ).alias("other"),
     )
-    return typed.groupBy("job_id").agg(F.max_by("details", "seq").alias("details")).select(
-        "job_id", "details.*"
+    latest = members.groupBy("job_id").agg(F.max_by(F.struct("m", "other"), "seq").alias("w"))
+    latest = latest.select("job_id", "w.*")
+
+    def text(*names):
+        return F.coalesce(*[F.nullif(J.strip(F.col(n)), F.lit("")) for n in names]).alias(
+            names[0].split(".")[1]
+        )
+
+    states = F.transform(
+        F.array("m.job_state", "m.state"), lambda s: J.state_text(J.current_state(s))
+    )
+    state = F.try_element_at(F.filter(states, lambda s: s.isNotNull()), F.lit(1))
+    start = F.col("m.time.start")
+    return latest.select(
+        "job_id",
+        F.coalesce(state, F.lit("UNKNOWN")).alias("state"),
+        text("m.name", "m.job_name"),
+        text("m.partition", "other.Partition"),
+        text("m.nodes", "other.Nodes"),
+        text("m.working_directory", "m.work_dir", "other.WorkDir").alias("working_dir"),
+        text("m.stdout_expanded", "m.standard_output").alias("stdout"),
+        text("m.stderr_expanded", "m.standard_error").alias("stderr"),
+        J.timestamp_text(start).alias("start"),
+        J.duration_text(V.number_or_null(F.col("m.time.elapsed"))).alias("elapsed"),
+        J.minutes_text(J.limit_minutes(F.col("m.time.limit"))).alias("time_limit"),
     )
 
 
