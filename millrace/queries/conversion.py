@@ -18,7 +18,7 @@ TEXT_LIMIT = 16384
 
 def document_files(t):
     """Documents as text files."""
-    return t.documents.select(
+    return t.spread(t.documents).select(
         F.concat(F.lit("/corpus/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"),
         F.octet_length("text").cast("bigint").alias("length"),
         F.col("text").alias("content"),
@@ -57,7 +57,7 @@ def text_requests(t):
 
 
 def part_rows(t):
-    return t.part.select(
+    return t.spread(t.part).select(
         F.col("p_partkey").alias("seq"), F.lit("part.csv").alias("source_file"), F.struct("*").alias("row")
     )
 
@@ -166,7 +166,7 @@ def batch_items(t):
         )
     )
     out = I.convert_items(
-        _items(t.orders, F.col("o_orderkey"), "orders.json", text), model="small", id_field="order",
+        _items(t.spread(t.orders), F.col("o_orderkey"), "orders.json", text), model="small", id_field="order",
         api_parameters={"top_p": 0.9},
     )
     return out.select("custom_id", _line(out))
@@ -224,7 +224,7 @@ def prompt_items(t):
         )
     )
     out = I.convert_items(
-        _items(t.documents, F.col("doc_id"), "documents.json", text), id_field="doc",
+        _items(t.spread(t.documents), F.col("doc_id"), "documents.json", text), id_field="doc",
         prompt_template="Read: {content}",
     )
     return out.select("custom_id", _line(out))
@@ -254,7 +254,7 @@ def generic_items(t):
         )
     )
     out = I.convert_items(
-        _items(t.customer, F.col("c_custkey"), "customer.json", text), id_field="c_custkey"
+        _items(t.spread(t.customer), F.col("c_custkey"), "customer.json", text), id_field="c_custkey"
     )
     first = F.element_at(V.as_list(F.try_element_at("body", F.lit("messages"))), 1)
     return out.select(
@@ -293,7 +293,7 @@ def _mixed_items(t):
         .when(shape == 6, F.concat(F.lit('["'), "event_type", F.lit('",'), k, F.lit("]")))
         .otherwise(k)
     )
-    return _items(t.events, F.col("event_id"), "events.json", text)
+    return _items(t.spread(t.events), F.col("event_id"), "events.json", text)
 
 
 _CLASSES = """
@@ -348,7 +348,7 @@ def json_documents(t):
         .when(F.col("o_orderkey") % 2 == 0, F.concat(item, F.lit(" trailing")))
         .otherwise(F.concat(F.lit('"'), label, F.lit('"')))
     )
-    items = jsonl.json_items(t.orders.select(key.alias("source_file"), text.alias("value")))
+    items = jsonl.json_items(t.spread(t.orders).select(key.alias("source_file"), text.alias("value")))
     return items.select(
         F.col("source_file").cast("bigint").alias("o_orderkey"), F.col("seq.pos").alias("pos"),
         F.try_variant_get("item", "$.label", "string").alias("label"), "error",
@@ -408,7 +408,7 @@ _IMAGES = """
 def page_images(t):
     page = F.col("page_id")
     ext = F.when(page % 4 == 0, "PNG").when(page % 4 == 1, "jpg").when(page % 4 == 2, "webp").otherwise("bin")
-    return t.pages.select(
+    return t.spread(t.pages).select(
         F.concat(F.lit("/img/"), page.cast("string"), F.lit("."), ext).alias("path"),
         F.octet_length("html").cast("bigint").alias("length"),
         F.encode("html", "UTF-8").alias("content"),

@@ -62,7 +62,7 @@ def sampling_params(t):
         F.when(k % 11 == 0, ',"stop":["a"]').when(k % 13 == 0, ',"stop":null').otherwise(""),
         F.lit("}"),
     )
-    rows = t.events.select("event_id", V.parse_object(body_text).alias("body"))
+    rows = t.spread(t.events).select("event_id", V.parse_object(body_text).alias("body"))
     config = {"temperature": 0.7, "top_p": 0.9, "max_tokens": 500}
     params = RES.sampling_parameters(F.col("body"), config, {"max_tokens": 32, "temperature": 0.2})
     stop = RES.stop_sequences(F.col("body"), ("###",))
@@ -144,7 +144,7 @@ def url_routing(t):
         .when(kind == "error", '{"url":null,"body":{}}')
         .otherwise("{}")
     )
-    items = t.events.select(F.col("event_id").alias("seq"), F.parse_json(text).alias("item"))
+    items = t.spread(t.events).select(F.col("event_id").alias("seq"), F.parse_json(text).alias("item"))
     out = RES.resolve_requests(RES.requests_from_lines(items), MODEL)
     return out.select(
         F.col("seq").alias("event_id"), "route",
@@ -190,7 +190,7 @@ def response_parse(t):
         .otherwise("{}")
     )
     doc = F.parse_json(text)
-    return t.events.select(
+    return t.spread(t.events).select(
         "event_id", INF.response_content(doc).alias("content"),
         INF.completion_tokens(INF.response_usage(doc)).alias("tokens"),
     )
@@ -225,7 +225,7 @@ def result_rows(t):
         .otherwise(',"input":{}'),
         F.lit("}"),
     )
-    rows = RS.result_from_json(t.events.select("event_id", text.alias("line")))
+    rows = RS.result_from_json(t.spread(t.events).select("event_id", text.alias("line")))
     return M.metric_inputs(rows).select("event_id", "error", "latency_ms", "retry_count", "tokens")
 
 
