@@ -76,8 +76,9 @@ def run_metrics(
     bad = failed(F.col("error"))
     retried = F.col("retry_count") > 0
     elapsed = F.lit(float(elapsed_sec)) if not isinstance(elapsed_sec, Column) else elapsed_sec
-    category = error_category(F.col("error"))
-    grouped = rows.groupBy(*keys) if keys else rows.groupBy()
+    category = F.col("_category")
+    staged = rows.withColumn("_category", F.when(bad, error_category(F.col("error"))))
+    grouped = staged.groupBy(*keys) if keys else staged.groupBy()
     counters = grouped.agg(
         elapsed.cast("double").alias("elapsed"),
         F.count(F.lit(1)).alias("total"),
@@ -85,7 +86,7 @@ def run_metrics(
         F.coalesce(F.sum("retry_count"), F.lit(0)).alias("retries"),
         F.count_if(retried).alias("retried"),
         F.count_if(retried & ~bad).alias("retried_ok"),
-        *[F.count_if(bad & (category == c)).alias(f"n_{c}") for c in ERROR_CATEGORIES],
+        *[F.count_if(category == c).alias(f"n_{c}") for c in ERROR_CATEGORIES],
         F.coalesce(F.sum(F.when(~bad, F.col("tokens"))), F.lit(0)).alias("tokens"),
     )
     measured = rows.select(

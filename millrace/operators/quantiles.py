@@ -14,30 +14,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_MANTISSA = float(2**18)
-
-
-def _bin(v: Column) -> Column:
-    """Number of a double's bin; never decreasing in the value."""
-    size = F.abs(v)
-    exponent = F.floor(F.log2(size))
-    head = F.floor(size / F.pow(F.lit(2.0), exponent) * _MANTISSA)
-    sign = F.when(v < 0, -1).otherwise(1)
-    special = F.isnan(v) | (size == float("inf"))
-    return (
-        F.when(special, sign * F.lit(2**40))
-        .when(v == 0, F.lit(0))
-        .otherwise(sign * ((exponent + 1100) * 2**20 + head))
-        .cast("bigint")
-    )
+# Number of a double's bin, never decreasing in the value: exponent, then leading mantissa bits.
+_BIN = """
+    CASE WHEN isnan(_v) OR abs(_v) = double('infinity') THEN if(_v < 0, -1, 1) * power(2, 40)
+         WHEN _v = 0 THEN 0
+         ELSE if(_v < 0, -1, 1) * ((floor(log2(abs(_v))) + 1100) * power(2, 20)
+              + floor(abs(_v) / power(2.0D, floor(log2(abs(_v)))) * power(2, 18)))
+    END"""
 
 
-def _positions(total: Column, probs: Sequence[float]) -> Column:
-    ranks = []
-    for p in probs:
-        low = F.floor((total - 1) * F.lit(float(p)))
-        ranks += [low, F.least(low + 1, total - 1)]
-    return F.array_distinct(F.array(*ranks))
+def _positions(probs: Sequence[float]) -> Column:
+    """Ranks, from 0, that the quantiles of ``_total`` rows lie between."""
+    low = [f"floor((_total - 1) * {float(p)!r}D)" for p in probs]
+    ranks = ", ".join(f"{rank}, least({rank} + 1, _total - 1)" for rank in low)
+    return F.expr(f"array_distinct(array({ranks}))")
 
 
 def join_on(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
@@ -64,7 +54,7 @@ def exact_quantiles(
         .select(*keys, F.col(value).cast("double").alias("_v"))
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", _bin(F.col("_v")))
+        .withColumn("_bin", F.expr(_BIN).cast("bigint"))
     )
 
     def running(partition, order):
@@ -79,7 +69,7 @@ def exact_quantiles(
     )
     before = F.col("_cum") - F.col("_n")
     held = F.filter(
-        _positions(F.col("_total"), list(probs.values())),
+        _positions(list(probs.values())),
         lambda r: (r >= before) & (r < F.col("_cum")),
     )
     wanted = bins.select(
@@ -100,12 +90,11 @@ def exact_quantiles(
     )
     out = []
     for name, p in probs.items():
-        position = (F.col("n") - 1) * F.lit(float(p))
-        low = F.floor(position)
-        at_low = F.element_at("_at", low)
-        at_high = F.element_at("_at", F.least(low + 1, F.col("n") - 1))
-        between = at_low + (at_high - at_low) * (position - low)
-        out.append(F.when(position == low, at_low).otherwise(between).alias(name))
+        position = f"((n - 1) * {float(p)!r}D)"
+        low = f"floor({position})"
+        at_low, at_high = f"element_at(_at, {low})", f"element_at(_at, least({low} + 1, n - 1))"
+        between = f"{at_low} + ({at_high} - {at_low}) * ({position} - {low})"
+        out.append(F.expr(f"if({position} = {low}, {at_low}, {between})").alias(name))
     return values.select(*keys, "n", *out)
 
 

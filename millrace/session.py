@@ -33,6 +33,7 @@ def local_session(cores: int | str = 8, app: str = "millrace", **conf: str) -> S
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**REQUIRED_CONF, **conf}.items():
         builder = builder.config(key, value)
