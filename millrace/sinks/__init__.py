@@ -62,7 +62,11 @@ def read_json_document(spark, path: str) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Results as a bare JSON list, without metrics (K3)."""
+    """Stored results as a bare JSON list, without metrics (K3).
+
+    Like every ordered sink this reads its input more than once: pass a stored table, not a lazy
+    inference map.
+    """
     write_json_document(results.select("seq", result_json()), path, "seq", mode=mode)
 
 
