@@ -64,9 +64,10 @@ def combine(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 
 def run_metrics(
-    rows: DataFrame, elapsed_sec: float | Column, keys: Sequence[str] = (), exact: bool = True
+    rows: DataFrame, elapsed_sec: float | Column, keys: Sequence[str] = (), exact: bool = True,
+    summary: bool = False,
 ) -> DataFrame:
-    """One row of run metrics, or one per key.
+    """One row of run metrics, or one per key; with ``summary`` also the columns of A7.
 
     ``rows`` has ``error, latency_ms, retry_count, tokens`` (see :func:`metric_inputs`).
     ``elapsed_sec`` is the wall clock of the run, or an aggregate expression giving it per key.
@@ -111,8 +112,15 @@ def run_metrics(
     c = combine([counters, q], keys)
     total, ok, elapsed = F.col("total"), F.col("ok"), F.col("elapsed")
     some = total > 0
+    counts = [
+        total.alias("total_requests"),
+        ok.alias("successful_requests"),
+        (total - ok).alias("failed_requests"),
+        F.when(some, F.round(ok * 100 / total, 2)).otherwise(0.0).alias("success_rate_pct"),
+    ]
     return c.where(F.col("total").isNotNull()).select(
         *keys,
+        *(counts if summary else []),
         F.round(elapsed, 3).alias("elapsed_sec"),
         _per_second(ok, elapsed, 3).alias("successful_req_per_sec"),
         *[F.col(f"latency_{p}").alias(f"request_latency_{p}_ms") for p in ("p50", "p95", "p99")],

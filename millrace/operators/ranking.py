@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bin tables proven to have no more rows than this (about 50 MB) are broadcast.
+MAX_BROADCAST_BINS = 1_000_000
+
 
 def _running(sizes: DataFrame, keys: Sequence[str], bin_col: str) -> DataFrame:
     w = Window.partitionBy(*keys)
@@ -62,16 +65,21 @@ def number_rows(df: DataFrame, order_by: str, bin_bits: int = 16) -> DataFrame:
 
 
 def first_per_key(
-    df: DataFrame, keys: Sequence[str], order_hex: str, quota: int, prefix: int = 4
+    df: DataFrame, keys: Sequence[str], order_hex: str, quota: int, key_count: int | None = None,
+    prefix: int = 4,
 ) -> DataFrame:
     """The ``quota`` smallest rows of each key by a hexadecimal hash column, with their rank.
 
     Bins are hash prefixes, so even a key with a third of all rows has evenly filled ones. Bins
-    that start past the quota are dropped by the join, before any row is shuffled or sorted.
+    that start past the quota are dropped by a join. Where the caller knows how many keys there
+    are, the bin table has at most ``key_count * 16**prefix`` rows; if that is within
+    ``MAX_BROADCAST_BINS`` it is broadcast, and rows past the quota are never shuffled.
     """
     keys = list(keys)
     binned = df.withColumn("_bin", F.left(F.col(order_hex), F.lit(prefix)))
     offsets = bin_offsets(binned, keys, "_bin").where(F.col("_before") < quota)
+    if key_count is not None and key_count * 16**prefix <= MAX_BROADCAST_BINS:
+        offsets = F.broadcast(offsets)
     inner = Window.partitionBy(*keys, "_bin").orderBy(order_hex)
     return (
         binned.join(offsets, [*keys, "_bin"])

@@ -76,7 +76,7 @@ def prompt_subset(pool: DataFrame, n: int, id_column: str, seed: int = 42) -> Da
     if n < 0:
         return pool.withColumn("draw_rank", F.lit(None).cast("bigint"))
     hashed = pool.withColumn("_hash", seeded_hash(seed, id_column))
-    return first_per_key(hashed, [], "_hash", n).withColumnRenamed("rank", "draw_rank").drop("_hash")
+    return first_per_key(hashed, [], "_hash", n, key_count=1).withColumnRenamed("rank", "draw_rank").drop("_hash")
 
 
 def stratified_sample(
@@ -95,7 +95,7 @@ def stratified_sample(
     if quota < 0:
         return chosen.withColumn("rank", F.lit(None).cast("bigint"))
     hashed = chosen.withColumn("_hash", seeded_hash(seed, id_column))
-    return first_per_key(hashed, [category], "_hash", quota).drop("_hash")
+    return first_per_key(hashed, [category], "_hash", quota, key_count=len(names)).drop("_hash")
 
 
 def sampled_requests(

@@ -18,7 +18,7 @@ from ..sources.catalog import ModelSpec
 
 @dataclass(frozen=True)
 class RunOutput:
-    """Stored results (read back from the table) and the run's metrics row."""
+    """Stored results (read back from the table) and the run's metrics row with its success counts."""
 
     results: DataFrame
     metrics: DataFrame
@@ -61,9 +61,10 @@ def run_batch(
     results.write.mode("errorifexists").parquet(output_path)
     elapsed = time.perf_counter() - started
     stored = spark.read.parquet(output_path)
-    return RunOutput(stored, M.run_metrics(M.metric_inputs(stored), elapsed), elapsed)
+    metrics = M.run_metrics(M.metric_inputs(stored), elapsed, summary=True)
+    return RunOutput(stored, metrics, elapsed)
 
 
-def run_summary(stored: DataFrame, *metric_rows: DataFrame) -> DataFrame:
-    """Success summary and any one-row metric tables side by side."""
-    return M.combine([M.success_summary(M.metric_inputs(stored)), *metric_rows], [])
+def run_summary(*metric_rows: DataFrame) -> DataFrame:
+    """One-row metric tables side by side, such as run, server and GPU metrics."""
+    return M.combine(metric_rows, [])

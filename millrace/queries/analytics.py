@@ -129,10 +129,8 @@ def _report_sql() -> str:
 @query("metrics_report", _report_sql())
 def metrics_report(t):
     """The thirty report rows of each run."""
-    rows = run_rows(t)
     keys = ["event_type"]
-    merged = M.combine([M.success_summary(rows, keys), M.run_metrics(rows, _ELAPSED, keys)], keys)
-    return M.metrics_report(merged, keys)
+    return M.metrics_report(M.run_metrics(run_rows(t), _ELAPSED, keys, summary=True), keys)
 
 
 @query(

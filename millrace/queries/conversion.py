@@ -443,7 +443,7 @@ def image_requests(t):
     "vision_report",
     f"""
     SELECT count(*) AS found, count(*) FILTER (size <= {IMAGE_LIMIT}) AS converted,
-      count(*) FILTER (size > {IMAGE_LIMIT}) AS skipped_too_large, 0 AS failed
+      count(*) FILTER (size > {IMAGE_LIMIT}) AS skipped_too_large, 0::BIGINT AS failed
     FROM {_IMAGES}
     """,
 )
@@ -454,7 +454,7 @@ def vision_report(t):
 @query(
     "image_issues",
     f"""
-    SELECT path, size, {IMAGE_LIMIT} AS "limit", 'skipped_too_large' AS status,
+    SELECT path, size, {IMAGE_LIMIT}::BIGINT AS "limit", 'skipped_too_large' AS status,
       'image too large (' || size || ' bytes > max_image_size {IMAGE_LIMIT})' AS error
     FROM {_IMAGES} WHERE size > {IMAGE_LIMIT}
     """,

@@ -51,7 +51,7 @@ def registry(t):
 
 
 def accounting(t):
-    """Line items as accounting records with the state in one of four layouts."""
+    """Line items as accounting payloads of one record, with the state in one of four layouts."""
     mark = F.concat("l_returnflag", "l_linestatus")
     state = (
         F.when(mark == "AF", '{"current":["completed"],"reason":"None"}')
@@ -69,16 +69,17 @@ def accounting(t):
         )
     )
     text = F.concat(
-        F.lit('{"job_id":'), (F.col("l_orderkey") + 1000).cast("string"),
+        F.lit('{"jobs":[{"job_id":'), (F.col("l_orderkey") + 1000).cast("string"),
         F.when(F.col("l_linestatus") == "F", ',"job_state":').otherwise(',"job_state":" ","state":'), state,
         F.lit(',"name":"n'), F.col("l_partkey").cast("string"),
         F.lit('","partition":" gpu'), (F.col("l_suppkey") % 4).cast("string"),
         F.lit(' ","time":{"start":'), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("string"),
         F.lit(',"elapsed":'), (F.col("l_quantity") * 3661).cast("bigint").cast("string"),
-        F.lit(',"limit":'), limit, F.lit("}}"),
+        F.lit(',"limit":'), limit, F.lit("}}]}"),
     )
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return JS.accounting_jobs(t.spread(t.lineitem).select(order.alias("seq"), F.parse_json(text).alias("job")))
+    docs = t.spread(t.lineitem).select(order.alias("seq"), text.alias("value"))
+    return JS.accounting_jobs(JS.accounting_entries(docs, order_by="seq"))
 
 
 _LISTED = """job_id, job_name AS name, coalesce(type, 'batch') AS type, model, coalesce(engine, '--') AS engine, submitted"""

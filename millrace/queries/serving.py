@@ -284,8 +284,7 @@ def batch_run(t):
         t.spark, _document_requests(t), scratch_dir(t.spark, "run"), MODEL, LengthModel,
         max_retries=2, retry_delay=0.0,
     )
-    summary = M.combine([M.success_summary(M.metric_inputs(out.results)), out.metrics], [])
-    return summary.select(
+    return out.metrics.select(
         "total_requests", "successful_requests", "failed_requests", "success_rate_pct",
         "retry_count_total", F.col("error_rate_by_type_pct.server").alias("server_errors_pct"),
         "output_tokens_avg", "output_tokens_p95",

@@ -157,7 +157,9 @@ def test_batch_run_calls_the_model_once_per_request(spark, tmp_path):
     source.write_text("# head\n" + "\n".join(json.dumps(chat(f"text {i}")) for i in range(20)) + "\n{broken\n")
     out = run_batch(spark, str(source), str(tmp_path / "out"), MODEL, Counting, retry_delay=0.0, warm=False)
     assert out.results.count() == 20
-    summary = run_summary(out.results, out.metrics).first()
+    gpu = spark.createDataFrame([(55.0,)], "gpu_util_avg_pct double")
+    summary = run_summary(out.metrics, gpu).first()
+    assert summary.gpu_util_avg_pct == 55.0
     assert (summary.total_requests, summary.failed_requests, summary.success_rate_pct) == (20, 0, 100.0)
     assert summary.output_tokens_avg == 6.5
     ordered = [r.custom_id for r in out.results.orderBy("seq").collect()]
