@@ -209,16 +209,16 @@ def counter_rates(t):
     WITH s AS (SELECT run, phase, sample, sum(value) FILTER (name = 'cache') AS cache,
         sum(value) FILTER (name = 'running') AS running FROM {_PHASE_SAMPLES} GROUP BY ALL),
     l AS (SELECT run, phase, 'cache' AS name, cache AS v FROM s UNION ALL SELECT run, phase, 'running', running FROM s)
-    SELECT run, name, round(avg(v) FILTER (phase = 'poll'), 4) AS avg_value,
-      round(max(coalesce(v, 0)) FILTER (phase = 'poll'), 4) AS peak_value,
-      round(avg(coalesce(v, 0)) FILTER (phase = 'poll'), 4) AS mean_over_polls,
+    SELECT run, name, round(avg(v) FILTER (phase = 'poll'), 9) AS avg_value,
+      round(max(coalesce(v, 0)) FILTER (phase = 'poll'), 9) AS peak_value,
+      round(avg(coalesce(v, 0)) FILTER (phase = 'poll'), 9) AS mean_over_polls,
       count(*) FILTER (phase = 'poll') AS polls
     FROM l GROUP BY run, name
     """,
 )
 def gauge_stats(t):
     out = TEL.gauge_stats(phase_samples(t), ["cache", "running"], ["run"])
-    rounded = [F.round(c, 4).alias(c) for c in ("avg_value", "peak_value", "mean_over_polls")]
+    rounded = [F.round(c, 9).alias(c) for c in ("avg_value", "peak_value", "mean_over_polls")]
     return out.select("run", "name", *rounded, "polls")
 
 
@@ -413,8 +413,8 @@ def snapshot_files(t):
 @query(
     "stream_gauges",
     """
-    SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS samples, round(avg(value), 4) AS avg_value,
-      max(value) AS peak_value, round(stddev_pop(value), 4) AS stddev_value
+    SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS samples, round(avg(value), 9) AS avg_value,
+      max(value) AS peak_value, round(stddev_pop(value), 9) AS stddev_value
     FROM events GROUP BY ALL
     """,
 )
@@ -438,6 +438,6 @@ def stream_gauges(t):
     stored = t.spark.read.parquet(f"{work}/out")
     return stored.select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "samples",
-        F.round("avg_value", 4).alias("avg_value"), "peak_value",
-        F.round("stddev_value", 4).alias("stddev_value"),
+        F.round("avg_value", 9).alias("avg_value"), "peak_value",
+        F.round("stddev_value", 9).alias("stddev_value"),
     )
