@@ -22,7 +22,11 @@ CALL_SCHEMA = "response string, error string, retry_count int, latency_ms double
 
 
 class Completer(Protocol):
-    """What a partition opens, calls and closes (I4); a plain function works as well."""
+    """What a partition opens, calls and closes (I4); a plain function works as well.
+
+    It may also have ``close()``, ``validate_input(payload) -> bool`` (a refused payload fails
+    without a call) and ``format_output(answer)``, applied to each answer.
+    """
 
     def __call__(self, payload: dict[str, Any]) -> dict[str, Any] | str: ...
 
@@ -35,9 +39,14 @@ def _call(complete, payload: str, max_retries: int, retry_delay: float):
     started = time.perf_counter()
     request = json.loads(payload)
     retries = 0
+    accepts = getattr(complete, "validate_input", None)
+    shape = getattr(complete, "format_output", None)
+    if accepts is not None and not accepts(request):
+        return None, "input refused by validate_input", 0, 0.0, pd.Timestamp.now("UTC")
     while True:
         try:
             answer, error = complete(request), None
+            answer = answer if shape is None else shape(answer)
             break
         except Exception as exc:  # the row records it, the job goes on
             answer, error = None, str(exc)

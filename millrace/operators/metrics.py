@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import variants as V
 from ..functions.errors import ERROR_CATEGORIES, error_category, failed
+from ..functions.text import float_text
 from .infer import completion_tokens
 from .quantiles import approximate_quantiles, exact_quantiles
 
@@ -202,10 +204,13 @@ REPORT_LABELS = [
 def _shown(metrics: DataFrame, key: str) -> Column:
     if key not in metrics.columns:
         return F.lit(None).cast("string")
-    col = F.col(key)
-    if metrics.schema[key].dataType.typeName() == "struct":
-        return F.to_json(col)
-    return col.cast("string")
+    dtype = metrics.schema[key].dataType
+    if isinstance(dtype, T.StructType):
+        members = [
+            F.concat(F.lit(f"'{f.name}': "), float_text(F.col(f"{key}.{f.name}"))) for f in dtype.fields
+        ]
+        return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
+    return float_text(F.col(key)) if isinstance(dtype, T.DoubleType) else F.col(key).cast("string")
 
 
 def metrics_report(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -226,3 +231,27 @@ def metrics_report(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             )
         )
     return metrics.select(*keys, F.explode(F.array(*lines)).alias("r")).select(*keys, "r.*")
+
+
+def envelope_metrics(results: DataFrame, maps: DataFrame) -> DataFrame:
+    """Metrics of stored run files: ``source_file, metrics``, a map of texts.
+
+    ``results`` and ``maps`` come from ``sources.results.read_run_file``. The success counts are laid
+    under the file's run, server and GPU metrics; later maps win. A file without results counts 0.
+    """
+    counts = success_summary(metric_inputs(results), ["source_file"])
+    names = ("total_requests", "successful_requests", "failed_requests")
+    joined = maps.join(counts, "source_file", "left")
+    base = F.create_map(
+        *[x for n in names for x in (F.lit(n), F.coalesce(n, F.lit(0)).cast("string"))],
+        F.lit("success_rate_pct"), float_text(F.coalesce("success_rate_pct", F.lit(0.0))),
+    )
+    merged = F.map_concat(base, "run_metrics", "vllm_metrics", "gpu_metrics")
+    return joined.select("source_file", merged.alias("metrics"))
+
+
+def metrics_of_map(rows: DataFrame, metrics: str = "metrics") -> DataFrame:
+    """Map members as columns, one per reported metric, ready for :func:`metrics_report`."""
+    kept = [c for c in rows.columns if c != metrics]
+    keys = [key for _, key, _ in REPORT_LABELS]
+    return rows.select(*kept, *[F.try_element_at(metrics, F.lit(k)).alias(k) for k in keys])

@@ -112,6 +112,26 @@ def id_or_uuid(value: Column | None) -> Column:
     return F.when(F.coalesce(value, F.lit("")) != "", value).otherwise(F.uuid())
 
 
+def build_requests(
+    rows: DataFrame, messages: str | Column, model: str | None = None,
+    custom_id: str | Column | None = None, temperature: float = DEFAULT_TEMPERATURE,
+    max_tokens: int = DEFAULT_MAX_TOKENS, metadata: Column | None = None, seq: str = "seq",
+    **parameters: Any,
+) -> DataFrame:
+    """Request rows from a message-list column (P1); further parameters go into the body."""
+    messages = F.col(messages) if isinstance(messages, str) else messages
+    key = F.col(custom_id).cast("string") if isinstance(custom_id, str) else custom_id
+    settings = {"temperature": temperature, "max_tokens": max_tokens, **parameters}
+    return rows.select(
+        F.col(seq).alias("seq"),
+        id_or_uuid(key).alias("custom_id"),
+        F.lit(METHOD).alias("method"),
+        F.lit(CHAT_URL).alias("url"),
+        request_body(F.to_variant_object(messages), model, settings).alias("body"),
+        (_null(V.OBJECT) if metadata is None else metadata).alias("metadata"),
+    )
+
+
 def _finish(df: DataFrame, keep: list[str], custom_id, body, metadata, error: Column) -> DataFrame:
     ok = F.col("error").isNull()
     staged = df.select(

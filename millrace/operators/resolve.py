@@ -18,8 +18,9 @@ SAMPLING_KEYS = ("temperature", "top_p", "max_tokens", "top_k")
 def requests_from_lines(items: DataFrame) -> DataFrame:
     """Parsed JSONL items (VARIANT ``item``) as request rows.
 
-    A missing url means chat; a null url is a url of its own (and unsupported). ``input`` keeps the
-    whole request for the result row.
+    A missing url means chat; a null url is a url of its own (and unsupported). A missing body is
+    empty, a body of another type is NULL and fails later. ``input`` keeps the whole request for the
+    result row.
     """
     staged = items.withColumn("input", V.as_object(F.col("item")))
     obj = F.col("input")
@@ -36,7 +37,7 @@ def requests_from_lines(items: DataFrame) -> DataFrame:
         F.coalesce(V.value_text(member("custom_id")), F.uuid()).alias("custom_id"),
         text("method", METHOD).alias("method"),
         text("url", CHAT_URL).alias("url"),
-        F.coalesce(V.as_object(member("body")), empty).alias("body"),
+        F.when(F.map_contains_key(obj, "body"), V.as_object(member("body"))).otherwise(empty).alias("body"),
         V.as_object(member("metadata")).alias("metadata"),
         "input",
     )
@@ -130,7 +131,8 @@ def resolve_requests(
     unsupported = F.when(
         F.col("route").isNull(), F.concat(F.lit("Unsupported URL: "), F.coalesce("url", F.lit("None")))
     )
-    staged = staged.withColumn("resolve_error", F.coalesce(unsupported, mismatch))
+    no_body = F.when(body.isNull(), "body is not an object")
+    staged = staged.withColumn("resolve_error", F.coalesce(unsupported, no_body, mismatch))
     call = payload(
         F.col("model"),
         messages(body, F.col("route")),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranking import first_per_key, number_rows
-from .requests import CATEGORIES, CHAT_URL, METHOD, chat_messages, request_body
+from .requests import CATEGORIES, build_requests, chat_messages
 
 # Wording of the synthetic prompts.
 PROMPT_TEMPLATES = [
@@ -47,16 +47,9 @@ def synthetic_prompts(
         return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
 
     content = F.replace(draw(PROMPT_TEMPLATES, "template"), F.lit("{}"), draw(PROMPT_TOPICS, "topic"))
-    body = request_body(
-        F.to_variant_object(chat_messages(content)), model, {"max_tokens": SYNTHETIC_MAX_TOKENS}
-    )
-    return spark.range(num_prompts).select(
-        i.alias("seq"),
-        F.format_string("bench-%04d", i).alias("custom_id"),
-        F.lit(METHOD).alias("method"),
-        F.lit(CHAT_URL).alias("url"),
-        body.alias("body"),
-        F.lit(None).cast("map<string,variant>").alias("metadata"),
+    return build_requests(
+        spark.range(num_prompts), chat_messages(content), model, F.format_string("bench-%04d", i),
+        max_tokens=SYNTHETIC_MAX_TOKENS, seq="id",
     )
 
 
@@ -108,19 +101,8 @@ def sampled_requests(
     ``messages`` is an array of role/content structs. Without an id column every request gets the
     fixed id ``request1``, so ids then repeat.
     """
-    body = request_body(
-        F.to_variant_object(F.col(messages)), model,
-        {"temperature": temperature, "max_tokens": max_tokens},
-    )
-    custom_id = F.col(id_column).cast("string") if id_column else F.lit("request1")
-    return sample.select(
-        F.col(seq).alias("seq"),
-        custom_id.alias("custom_id"),
-        F.lit(METHOD).alias("method"),
-        F.lit(CHAT_URL).alias("url"),
-        body.alias("body"),
-        F.lit(None).cast("map<string,variant>").alias("metadata"),
-    )
+    key = id_column if id_column else F.lit("request1")
+    return build_requests(sample, messages, model, key, temperature, max_tokens, seq=seq)
 
 
 def batch_chunks(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -40,14 +41,20 @@ def run_batch(
     spark: SparkSession, source: str | list[str] | DataFrame, output_path: str, model: ModelSpec,
     factory: INF.CompleterFactory, defaults: dict[str, Any] | None = None, max_retries: int = 3,
     retry_delay: float = 1.0, partitions: int | None = None, warm: bool = True,
+    input_handler: Callable[..., DataFrame] | None = None,
+    output_handler: Callable[[DataFrame], None] | None = None,
 ) -> RunOutput:
     """Run JSONL files or a request table through the model.
 
     The results are written once as a parquet table and read back before anything is computed from
     them, so a lost executor or a second action never calls the model again for stored rows.
+    ``input_handler(source)`` makes the request table of any other source; ``output_handler`` gets
+    the stored results, to export them in another form (K6).
     """
     configure(spark)
-    if isinstance(source, DataFrame):
+    if input_handler is not None:
+        requests = input_handler(source)
+    elif isinstance(source, DataFrame):
         requests = source
     else:
         wanted = [source] if isinstance(source, str) else list(source)
@@ -61,6 +68,8 @@ def run_batch(
     results.write.mode("errorifexists").parquet(output_path)
     elapsed = time.perf_counter() - started
     stored = spark.read.parquet(output_path)
+    if output_handler is not None:
+        output_handler(stored)
     metrics = M.run_metrics(M.metric_inputs(stored), elapsed, summary=True)
     return RunOutput(stored, metrics, elapsed)
 

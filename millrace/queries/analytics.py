@@ -110,8 +110,8 @@ def _report_sql() -> str:
         if key in shown:
             value, unit_sql = f"{key}::VARCHAR", f"'{unit}'"
         elif key == "error_rate_by_type_pct":
-            members = ", ".join(f"'{c}', error_{c}_pct" for c in ERROR_CATEGORIES)
-            value, unit_sql = f"json_object({members})::VARCHAR", "''"
+            members = " || ', ' || ".join(f"'''{c}'': ' || error_{c}_pct" for c in ERROR_CATEGORIES)
+            value, unit_sql = f"'{{' || {members} || '}}'", "''"
         else:
             value, unit_sql = "'N/A'", "''"
         lines.append(

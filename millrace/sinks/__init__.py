@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -12,11 +11,6 @@ from pyspark.sql import functions as F
 from ..operators.infer import result_json
 from ..operators.requests import request_json
 
-#: K6: a source handler makes a request table, a sink handler stores a result table.
-InputHandler = Callable[..., DataFrame]
-OutputHandler = Callable[[DataFrame, str], None]
-
-
 def write_requests(requests: DataFrame, path: str, mode: str = "append") -> None:
     """Convertible request rows as JSON lines (K1)."""
     rows = requests.where(F.col("error").isNull()) if "error" in requests.columns else requests

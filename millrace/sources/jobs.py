@@ -9,6 +9,12 @@ from ..functions import jobs as J
 from ..functions import variants as V
 
 
+# Members of a registry entry; the submission time may be a number or a text.
+_REGISTRY_MEMBERS = (
+    "struct<job_name string, type string, model string, engine string, input string, output string, "
+    "logs_dir string, workspace string, submitted_at variant>"
+)
+
 # Members of an accounting record; those of varying type stay variants.
 _MEMBERS = (
     "struct<job_state variant, state variant, time struct<start variant, elapsed variant, limit variant>, "
@@ -24,17 +30,12 @@ def registry_jobs(docs: DataFrame, text: str = "value") -> DataFrame:
     """A registry document ``{job_id: {...}}`` to rows; anything but an object gives none."""
     entry = F.explode(V.parse_object(F.col(text))).alias("job_id", "entry")
     rows = docs.select(entry).where(V.kind(F.col("entry")) == "object")
-
-    def get(key, dtype="string"):
-        return F.try_variant_get("entry", f"$.{key}", dtype).alias(key)
-
-    return rows.select(
+    members = rows.select("job_id", F.try_variant_get("entry", "$", _REGISTRY_MEMBERS).alias("m"))
+    kept = ("job_name", "type", "model", "engine", "input", "output", "logs_dir", "workspace")
+    return members.select(
         "job_id",
-        *[
-            get(k)
-            for k in ("job_name", "type", "model", "engine", "input", "output", "logs_dir", "workspace")
-        ],
-        J.timestamp_text(F.try_variant_get("entry", "$.submitted_at", "variant")).alias("submitted"),
+        *[F.col(f"m.{k}").alias(k) for k in kept],
+        J.timestamp_text(F.col("m.submitted_at")).alias("submitted"),
     )
 
 

@@ -35,8 +35,8 @@ def result_from_json(rows: DataFrame, text: str = "line") -> DataFrame:
 def read_run_file(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """Run files in either form, an envelope object or a bare list.
 
-    Returns the result rows and, per file, the three metric maps (empty where absent). One file
-    is parsed by one task; the folder written by ``sinks.write_run`` has no such limit.
+    Returns the result rows and, per file, the three metric maps (empty where absent; values are the
+    JSON texts as written). One file is parsed by one task; the folder written by ``sinks.write_run`` has no such limit.
     """
     docs = spark.read.text(paths, wholetext=True).select(
         P.plain_path(F.col("_metadata.file_path")).alias("source_file"), F.col("value")
@@ -49,9 +49,10 @@ def read_run_file(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
         "array<string>",
     )
     results = docs.select("source_file", F.posexplode(rows).alias("pos", "line"))
+    texts = "map<string,string>"
     maps = [
         F.coalesce(
-            V.parse_object(F.try_element_at(envelope, F.lit(m))), F.from_json(F.lit("{}"), V.OBJECT)
+            F.from_json(F.try_element_at(envelope, F.lit(m)), texts), F.from_json(F.lit("{}"), texts)
         ).alias(m)
         for m in _METRIC_MAPS
     ]

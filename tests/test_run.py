@@ -70,11 +70,12 @@ def test_routing_and_model_check(spark):
         chat("x", model="different/model"),
         chat("y", model=""),
         {},
+        {"body": None},
     ]
     calls, errors = payloads(spark, values)
     assert errors == [
         "Unsupported URL: /v1/embeddings", None, "Unsupported URL: None",
-        "JSONL model 'different/model' does not match requested model 'test/test-model'", None, None,
+        "JSONL model 'different/model' does not match requested model 'test/test-model'", None, None, "body is not an object",
     ]
     assert calls[1]["messages"] == [{"role": "user", "content": "p"}]
     assert calls[4]["model"] == "test/test-model"
@@ -166,7 +167,7 @@ def test_batch_run_calls_the_model_once_per_request(spark, tmp_path):
     assert ordered == [f"text {i}" for i in range(20)]
     assert len(list(calls.iterdir())) == 20
     sinks.write_envelope(
-        out.results, {"vllm_metrics": {}, "gpu_metrics": {"gpu_util_avg_pct": None}, "run_metrics": {"elapsed_sec": 1}},
+        out.results, {"vllm_metrics": {}, "gpu_metrics": {"gpu_util_avg_pct": None}, "run_metrics": {"elapsed_sec": 1.0}},
         str(tmp_path / "envelope"),
     )
     whole = "".join(p.read_text() for p in sorted((tmp_path / "envelope").glob("part-*")))
@@ -176,11 +177,17 @@ def test_batch_run_calls_the_model_once_per_request(spark, tmp_path):
     target.write_text(whole)
     legacy = tmp_path / "legacy.json"
     legacy.write_text(json.dumps(envelope["results"]))
-    for path, metrics in ((target, {"elapsed_sec": 1}), (legacy, {})):
+    for path, metrics in ((target, {"elapsed_sec": "1.0", "gpu_util_avg_pct": None}), (legacy, {})):
         results, maps = RS.read_run_file(spark, str(path))
         assert results.count() == 20
-        assert json.loads(maps.select(F.to_json("run_metrics").alias("m")).first().m) == metrics
-        assert M.success_summary(M.metric_inputs(results)).first().successful_requests == 20
+        merged = M.envelope_metrics(results, maps)
+        assert merged.first().metrics == {
+            "total_requests": "20", "successful_requests": "20", "failed_requests": "0",
+            "success_rate_pct": "100.0", **metrics,
+        }
+        shown = {r.label: (r.value, r.unit) for r in M.metrics_report(M.metrics_of_map(merged)).collect()}
+        assert shown["Successful"] == ("20", "") and shown["GPU utilization avg"] == ("N/A", "")
+        assert shown["Total time"] == (("1.0", "s") if metrics else ("N/A", ""))
 
 
 def test_missing_input(spark, tmp_path):
@@ -209,3 +216,23 @@ def test_stream_picks_up_only_new_files(spark, tmp_path):
         stream_requests(spark, *args, retry_delay=0.0).awaitTermination()
         rows = spark.read.parquet(str(tmp_path / "out")).select("custom_id").collect()
         assert sorted(r.custom_id for r in rows) == sorted(f"f{m} r{i}" for m in range(n + 1) for i in range(4))
+
+
+def test_hooks_of_a_processor(spark, tmp_path):
+    class Picky(Echo):
+        def validate_input(self, payload):
+            return payload["messages"][-1]["content"] != "no"
+
+        def format_output(self, answer):
+            return {**answer, "usage": {"completion_tokens": 1}}
+
+    exported = str(tmp_path / "list")
+    out = run_batch(
+        spark, ["no", "yes"], str(tmp_path / "out"), MODEL, Picky, retry_delay=0.0, warm=False,
+        input_handler=lambda texts: items(spark, [chat(t) for t in texts]),
+        output_handler=lambda stored: sinks.write_results(stored, exported),
+    )
+    row = out.metrics.first()
+    assert (row.failed_requests, row.output_tokens_avg, row.retry_count_total) == (1, 1.0, 0)
+    results = json.loads("".join(p.read_text() for p in sorted((tmp_path / "list").glob("part-*"))))
+    assert [r.get("error") for r in results] == ["input refused by validate_input", None]
