@@ -52,6 +52,7 @@ def run_batch(
     the stored results, to export them in another form (K6).
     """
     configure(spark)
+    model.require_available()
     if input_handler is not None:
         requests = input_handler(source)
     elif isinstance(source, DataFrame):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sinks
+from ..operators import requests as R
 from ..operators import sampling
+from ..plans.benchmark import benchmark_requests
 from ..session import scratch_dir
 from ..sources import jsonl
 from .registry import query
@@ -157,3 +159,35 @@ def stratified_sample(t):
 )
 def prompt_subset(t):
     return sampling.prompt_subset(t.documents.select("doc_id", "text"), 120, "doc_id", seed=7)
+
+
+_CATEGORY_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(R.CATEGORIES)) + " END"
+_PROMPT_SQL = "CASE category " + " ".join(
+    f"WHEN '{c}' THEN '{p}'" for c, p in R.CATEGORY_SYSTEM_PROMPTS.items()
+) + " END"
+
+
+@query(
+    "benchmark_prompts",
+    f"""
+    SELECT category || '-' || doc_id AS custom_id,
+      json_object('custom_id', category || '-' || doc_id, 'method', 'POST', 'url', '/v1/chat/completions',
+        'body', json_object('max_tokens', 300,
+          'messages', list_concat([{{'content': {_PROMPT_SQL}, 'role': 'system'}}],
+            [{{'content': x, 'role': 'user'}} for x in string_split(text, chr(10))]),
+          'model', 'small', 'temperature', 0.7))::VARCHAR AS line
+    FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('42|' || doc_id)) AS rank
+      FROM (SELECT *, {_CATEGORY_SQL} AS category FROM documents))
+    WHERE rank <= 100 // 6
+    """,
+)
+def benchmark_prompts(t):
+    """Documents as a six-category dataset, their lines as turns; 100 prompts asked for, 16 each."""
+    category = F.element_at(
+        F.array(*[F.lit(c) for c in R.CATEGORIES]), (F.col("doc_id") % 6 + 1).cast("int")
+    )
+    dataset = t.documents.select(
+        "doc_id", category.alias("category"), F.split("text", "\n").alias("turns")
+    )
+    out = benchmark_requests(dataset, 100, "small", max_tokens=300, id_column="doc_id")
+    return out.select("custom_id", R.request_json(out))

@@ -50,6 +50,13 @@ class ModelSpec:
             raise ValueError(f"model '{self.key}' has no hf_name, which the vllm engine needs")
         return self.hf_name
 
+    def require_available(self) -> None:
+        """Raise unless the model exists for its engine."""
+        if self.engine not in ("vllm", "ollama"):
+            raise ValueError(f"unknown engine: {self.engine}")
+        if (self.hf_name if self.engine == "vllm" else self.name) in (None, "NA"):
+            raise ValueError(f"model '{self.key}' is not available for the {self.engine} engine")
+
 
 def _entry(key: str, data: dict[str, Any]) -> dict[str, Any]:
     params = {**DEFAULT_PARAMETERS, **(data.get("parameters") or {})}

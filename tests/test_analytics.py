@@ -13,8 +13,10 @@ from millrace.operators import jobs as OPS
 from millrace.operators import metrics as M
 from millrace.operators import sampling as S
 from millrace.operators import telemetry as TEL
+from millrace.operators.requests import CATEGORIES
 from millrace.operators.quantiles import approximate_quantiles, exact_quantiles
 from millrace.operators.ranking import number_rows
+from millrace.plans import benchmark_requests
 from millrace.sources import catalog as CAT
 from millrace.sources import jobs as JS
 from millrace.sources import telemetry as TS
@@ -292,3 +294,16 @@ def test_quality_rules(spark):
     )
     found = {r.key: r.violations for r in C.check_quality(rows).collect()}
     assert found == {"ok": [], "hot": ["temperature in [0,1]"], "mem": ["gpu_memory format"], "span": ["batch_size_range"]}
+
+
+def test_benchmark_prompts_in_category_order(spark):
+    names = ["math", "coding", "language", "reasoning", "data_analysis", "instruction_following"]
+    rows = [(i, names[i % 6], [f"t{i}", "again"]) for i in range(30)]
+    dataset = spark.createDataFrame(rows, "id int, category string, turns array<string>")
+    out = benchmark_requests(dataset, 13).orderBy("seq").select("custom_id", F.to_json("body").alias("b")).collect()
+    assert [r.custom_id.rsplit("-", 1)[0] for r in out] == [c for c in CATEGORIES for _ in range(2)]
+    messages = json.loads(out[0].b)["messages"]
+    assert [m["role"] for m in messages] == ["system", "user", "user"]
+    assert "data analysis" in messages[0]["content"]
+    same = benchmark_requests(dataset, 13, unique_ids=False).collect()
+    assert {r.custom_id for r in same} == {"request1"}

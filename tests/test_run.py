@@ -88,6 +88,9 @@ def test_engine_names():
     assert ModelSpec("k", name="n", engine="ollama").engine_name == "n"
     with pytest.raises(ValueError):
         ModelSpec("k", name="n").engine_name
+    for spec in (ModelSpec("k", name="NA", engine="ollama"), ModelSpec("k", name="n"), ModelSpec("k", name="n", engine="x")):
+        with pytest.raises(ValueError):
+            spec.require_available()
 
 
 def run(spark, values, retries=3):
