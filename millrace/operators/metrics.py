@@ -67,12 +67,13 @@ def combine(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 def run_metrics(
     rows: DataFrame, elapsed_sec: float | Column, keys: Sequence[str] = (), exact: bool = True,
-    summary: bool = False,
+    summary: bool = False, max_keys: int | None = None,
 ) -> DataFrame:
     """One row of run metrics, or one per key; with ``summary`` also the columns of A7.
 
     ``rows`` has ``error, latency_ms, retry_count, tokens`` (see :func:`metric_inputs`).
     ``elapsed_sec`` is the wall clock of the run, or an aggregate expression giving it per key.
+    ``max_keys`` is a known bound on the number of keys, see ``exact_quantiles``.
     Counters take one pass; latency and token quantiles share another.
     """
     keys = list(keys)
@@ -103,8 +104,13 @@ def run_metrics(
             )
         ).alias("m"),
     ).select(*keys, "m.kind", "m.x")
-    quantiles = exact_quantiles if exact else approximate_quantiles
-    q = quantiles(measured, "x", {"p50": 0.50, "p95": 0.95, "p99": 0.99}, [*keys, "kind"])
+    probs = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
+    groups = 1 if not keys else max_keys
+    if exact:
+        bound = None if groups is None else 2 * groups
+        q = exact_quantiles(measured, "x", probs, [*keys, "kind"], bound)
+    else:
+        q = approximate_quantiles(measured, "x", probs, [*keys, "kind"])
     latency, tokens = F.col("kind") == "latency", F.col("kind") == "tokens"
     q = q.select(
         *keys,

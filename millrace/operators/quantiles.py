@@ -1,10 +1,11 @@
 """Exact quantiles whose state stays bounded however many rows one key has.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task. Here values are binned by
-their exponent and leading 18 mantissa bits, so bins order like values. Counting rows per bin
-(combined before the shuffle) tells which bin holds each wanted rank, and only those bins' values
-are looked at. A task sees one key's bin counts, or the distinct values of one bin, a range of
-relative width 2**-18; a key with a third of all rows spreads over tasks by its values.
+their exponent and leading 12 mantissa bits, so bins order like values. A first pass counts rows per
+bin, combined before the shuffle to a few thousand counts per task and key, and tells which bins
+hold the wanted ranks. A second pass looks at the rows of those bins only. A task sees one key's
+bin counts, or one bin's distinct values, a range of relative width 2**-12; a key with a third of
+all rows spreads over tasks by its values.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 _BIN = """
     CASE WHEN isnan(_v) OR abs(_v) = double('infinity') THEN if(_v < 0, -1, 1) * power(2, 40)
          WHEN _v = 0 THEN 0
-         ELSE if(_v < 0, -1, 1) * ((floor(log2(abs(_v))) + 1100) * power(2, 20)
-              + floor(abs(_v) / power(2.0D, floor(log2(abs(_v)))) * power(2, 18)))
+         ELSE if(_v < 0, -1, 1) * ((floor(log2(abs(_v))) + 1100) * power(2, 14)
+              + floor(abs(_v) / power(2.0D, floor(log2(abs(_v)))) * power(2, 12)))
     END"""
 
+#: The wanted bins are broadcast when the number of keys proves that there are no more than this.
+MAX_BROADCAST_BINS = 1_000_000
+
 
 def _positions(probs: Sequence[float]) -> Column:
     """Ranks, from 0, that the quantiles of ``_total`` rows lie between."""
@@ -41,19 +45,20 @@ def join_on(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()
+    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (),
+    max_keys: int | None = None,
 ) -> DataFrame:
     """One row per key: its columns, ``n`` and one column per entry of ``probs``.
 
     Linear interpolation at rank ``(n - 1) * p``, as ``percentile`` does; NULL values are ignored
-    and keys without values are absent.
+    and keys without values are absent. With a known bound on the number of keys the second pass
+    filters its rows by a broadcast table of wanted bins (two per quantile and key) and shuffles
+    only what is left; otherwise the planner chooses the join.
     """
     keys = list(keys)
-    counts = (
+    rows = (
         df.where(F.col(value).isNotNull())
         .select(*keys, F.col(value).cast("double").alias("_v"))
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_bin", F.expr(_BIN).cast("bigint"))
     )
 
@@ -61,7 +66,7 @@ def exact_quantiles(
         w = Window.partitionBy(*partition).orderBy(order)
         return F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
-    bins = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
+    bins = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     bins = bins.select(
         *keys, "_bin", "_n",
         running(keys, "_bin").alias("_cum"),
@@ -69,16 +74,24 @@ def exact_quantiles(
     )
     before = F.col("_cum") - F.col("_n")
     held = F.filter(
-        _positions(list(probs.values())),
-        lambda r: (r >= before) & (r < F.col("_cum")),
+        _positions(list(probs.values())), lambda r: (r >= before) & (r < F.col("_cum"))
     )
     wanted = bins.select(
         *keys, "_bin", "_total", before.alias("_before"), held.alias("_ranks")
     ).where(F.size("_ranks") > 0)
+    if not keys:
+        max_keys = 1
+    if max_keys is not None and max_keys * 2 * len(probs) <= MAX_BROADCAST_BINS:
+        wanted = F.broadcast(wanted)
     # the values of the wanted bins, in order, with the ranks each one covers
-    placed = join_on(counts, wanted, [*keys, "_bin"]).withColumn(
-        "_cum", F.col("_before") + running([*keys, "_bin"], "_v")
+    bin_keys = [*keys, "_bin"]
+    carried = ["_total", "_before", "_ranks"]
+    inside = (
+        join_on(rows, wanted, bin_keys)
+        .groupBy(*bin_keys, *carried, "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
+    placed = inside.withColumn("_cum", F.col("_before") + running(bin_keys, "_v"))
     covered = F.filter(
         "_ranks", lambda r: (r < F.col("_cum")) & (r >= F.col("_cum") - F.col("_n"))
     )
