@@ -35,6 +35,8 @@ def _sorted(rows):
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_matches_sql(spark, duck, name):
     result = entry.queries()[name](spark, FOLDER)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     columns = sorted(result.columns)
     rows = [tuple(_plain(r[c]) for c in columns) for r in result.collect()]
     sql = entry.oracle_sql()[name]
