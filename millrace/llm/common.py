@@ -41,8 +41,11 @@ def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def string_column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
-    """A batch's text column as one large-string array without nulls."""
+    """A batch's text column as one large-string array without nulls, with buffers of its own.
+
+    The copy matters: Arrow's string kernels read slices that were cast at a wrong place.
+    """
     column = batch.column(name)
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.cast(pa.large_string()).fill_null("")
+    return column.take(pa.array(np.arange(len(column)))).cast(pa.large_string()).fill_null("")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, reshard
+from . import exact_dedup, mixing, near_dedup, reshard
 from .common import table
 
 #: Shards of the present layout and of the new one.
@@ -17,6 +17,11 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near duplicates of ``documents`` at a similarity of 0.85."""
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), percent=85)
+
+
 def op7_reshard(spark: SparkSession, folder: str) -> DataFrame:
     """From one shard per source group, which are very unequal, to eight of equal size."""
     docs = table(spark, folder, "documents")
@@ -78,5 +83,5 @@ SELECT *, ('0x' || substr(md5('order-17:' || coalesce(doc_id::VARCHAR, '') || ':
 FROM c
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op7_reshard, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_near_dedup, op7_reshard, op10_mixing)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
