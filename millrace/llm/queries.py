@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, reshard
+from . import bpe, exact_dedup, mixing, near_dedup, reshard
 from .common import table
 
 #: Shards of the present layout and of the new one.
@@ -17,6 +18,18 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+def vocabulary() -> str:
+    """The JSON of the word-level vocabulary; its place is the installed package's matter."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text of ``documents`` encoded and decoded again."""
+    names = vocabulary()
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), names), names))
+
+
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates of ``documents`` at a similarity of 0.85."""
     return near_dedup.near_duplicates(table(spark, folder, "documents"), percent=85)
@@ -83,5 +96,5 @@ SELECT *, ('0x' || substr(md5('order-17:' || coalesce(doc_id::VARCHAR, '') || ':
 FROM c
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_near_dedup, op7_reshard, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_near_dedup, op7_reshard, op10_mixing)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
