@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dedup, reshard
+from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, reshard
 from .common import table
 
 #: Shards of the present layout and of the new one.
@@ -30,6 +30,12 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), names), names))
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` without the lines whose template an earlier document has."""
+    left = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return left.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+
+
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates of ``documents`` at a similarity of 0.85."""
     return near_dedup.near_duplicates(table(spark, folder, "documents"), percent=85)
@@ -96,5 +102,5 @@ SELECT *, ('0x' || substr(md5('order-17:' || coalesce(doc_id::VARCHAR, '') || ':
 FROM c
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_near_dedup, op7_reshard, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_line_dedup, op4_near_dedup, op7_reshard, op10_mixing)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
