@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import store, string_column, utf8_buffer
+from .common import store, string_column, text_slices, utf8_buffer
 
 #: At most so many words are compiled, which bounds the automaton to a few megabytes.
 LEXICON_WORDS = 1 << 17
@@ -218,8 +218,8 @@ def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         texts = string_column(batch, "text")
-        for start in range(0, len(texts), ROWS_AT_ONCE):
-            codes, distinct, _ = _pieces(texts.slice(start, ROWS_AT_ONCE))
+        for _, some in text_slices(texts):
+            codes, distinct, _ = _pieces(some)
             for piece, n in zip(distinct.to_pylist(), np.bincount(codes, minlength=len(distinct)).tolist()):
                 total[piece] += n
             if len(total) >= REMEMBERED:
@@ -275,11 +275,11 @@ def encode(
         lexicon, merger = Lexicon.map(packed), Merger(vocabulary)
         for batch in batches:
             texts = string_column(batch, "text")
-            for start in range(0, len(texts), ROWS_AT_ONCE):
-                ids, bounds = _encode(texts.slice(start, ROWS_AT_ONCE), lexicon, merger)
+            for start, some in text_slices(texts):
+                ids, bounds = _encode(some, lexicon, merger)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, ROWS_AT_ONCE), lists], names=["doc_id", "ids"]
+                    [batch.column("doc_id").slice(start, len(some)), lists], names=["doc_id", "ids"]
                 )
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))

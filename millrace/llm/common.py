@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +42,17 @@ def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
+def text_slices(texts: pa.Array, rows: int = 500, size: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Cut a large-string array into (first row, slice) of few rows and, unless one text is longer, few bytes."""
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    start = 0
+    while start < len(texts):
+        end = int(np.searchsorted(bounds, bounds[start] + size, side="right")) - 1
+        end = min(max(end, start + 1), start + rows, len(texts))
+        yield start, texts.slice(start, end - start)
+        start = end
+
+
 def string_column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     """A batch's text column as one large-string array without nulls, with buffers of its own.
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, string_column, text_of
+from .common import store, string_column, text_of, text_slices
 
 #: Words on either side of a match, in its line, that count as near.
 WINDOW = 8
@@ -32,7 +32,6 @@ GENERALISE_AT, REMOVE_AT = 0.9, 0.99
 MIN_TEXTS = 2
 #: Terms one task counts before it passes the counts on.
 TERMS_AT_ONCE = 1 << 19
-ROWS_AT_ONCE = 500
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -142,9 +141,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        texts = string_column(batch, "text")
-        for start in range(0, len(texts), ROWS_AT_ONCE):
-            lists = pc.ascii_split_whitespace(texts.slice(start, ROWS_AT_ONCE))
+        for _, texts in text_slices(string_column(batch, "text")):
+            lists = pc.ascii_split_whitespace(texts)
             coded = lists.flatten().dictionary_encode()
             terms = pa.array([term_of(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
             term = terms.indices.to_numpy()[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)
