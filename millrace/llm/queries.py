@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, reshard
+from . import ann, bpe, exact_dedup, line_dedup, lm_score, mixing, near_dedup, pii, quality, reshard
 from .common import table
 
 #: Shards of the present layout and of the new one.
@@ -41,6 +41,18 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), percent=85)
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of ``documents`` and the terms that reveal it."""
+    return pii.digests(pii.find(table(spark, folder, "documents")))
+
+
+def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` scored by a model of nine tenths of them."""
+    docs = table(spark, folder, "documents")
+    scored = lm_score.score(docs).withColumn("held_out", lm_score.held_out())
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_reshard(spark: SparkSession, folder: str) -> DataFrame:
     """From one shard per source group, which are very unequal, to eight of equal size."""
     docs = table(spark, folder, "documents")
@@ -57,6 +69,24 @@ def op7_reshard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` judged by what the co-trained views learn from ``labels``."""
+    docs = table(spark, folder, "documents")
+    judged = quality.classify(docs, quality.train(docs, table(spark, folder, "labels")))
+    return judged.select(
+        "doc_id",
+        F.col("_p_text").alias("p_text"),
+        F.col("_p_metadata").alias("p_metadata"),
+        F.col("_p_bad").alias("p_bad"),
+        F.col("_kept").alias("kept"),
+    )
+
+
+def op9_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest ``embeddings`` of every hundredth one."""
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` repeated to shares that grow with the square root of a source's size."""
     mixed = mixing.mix(table(spark, folder, "documents"))
@@ -102,5 +132,5 @@ SELECT *, ('0x' || substr(md5('order-17:' || coalesce(doc_id::VARCHAR, '') || ':
 FROM c
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_line_dedup, op4_near_dedup, op7_reshard, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_line_dedup, op4_near_dedup, op5_pii, op6_lm_score, op7_reshard, op8_quality, op9_nearest, op10_mixing)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
