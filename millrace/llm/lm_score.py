@@ -1,7 +1,7 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-Counts of the five symbols that end at every byte of the training texts are gathered over the whole
-corpus; all shorter contexts are sums of them. The trie holds, for each order from 4 down to 0,
+Counts of the six symbols that end at every byte of the training texts are gathered over the whole
+corpus; all shorter contexts are sums of them. The trie holds, for each order from 5 down to 0,
 the symbols seen after each context. A symbol is coded in the longest context that was seen; if it
 was not seen there, an escape (method C: as likely as the number of distinct symbols) leads to the
 next shorter context, where the symbols of the longer one are excluded. Below order 0 all symbols
@@ -9,7 +9,7 @@ left are equally likely. Every text ends with a symbol of its own, so the scores
 
 A node stays in the trie when its count reaches the share ``MIN_SHARE`` of all training symbols (one occurrence
 at least). At most 1 / MIN_SHARE nodes of an order can reach it, which bounds what is sent to the
-tasks at any size of the corpus; pruned symbols are reached by escapes.
+tasks at any size of the corpus; pruned symbols are reached by escapes, whose estimate grows by their count.
 
 The word baseline needs the counts of all words. The frequent ones are sent to the tasks, the
 rest of each text is joined with the counts.
@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import store, string_column, text_of, text_slices, utf8_buffer
 
-ORDER = 4
+ORDER = 5
 #: Codes: 256 bytes and the end of a text, which also stands before its start.
 END, SYMBOLS, BITS = 256, 257, 9
 MASK = (1 << BITS) - 1
 #: Share of the training symbols from which a node is kept; its inverse bounds the nodes of an order.
-MIN_SHARE = 2.0**-21
+MIN_SHARE = 2.0**-22
 #: Words whose counts are sent to the tasks, at most.
 HEAD_WORDS = 1 << 18
 #: Rows one task gathers before it passes them on.
@@ -116,8 +116,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Trie:
     """The nodes of each order as sorted arrays, and the log10 probabilities of escapes between orders."""
 
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]]):
-        """``nodes[j]``: the packed contexts-and-symbols of order j in ascending order, and their counts."""
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], total: float | None = None):
+        """``nodes[j]``: the packed contexts-and-symbols of order j in ascending order, and their counts.
+
+        ``total`` is the number of training symbols, pruned ones included.
+        """
         self.keys = [k for k, _ in nodes]
         counts = [n.astype(float) for _, n in nodes]
         self.log_count = [np.log10(n) for n in counts]
@@ -129,20 +132,32 @@ class Trie:
             totals.append(np.add.reduceat(n, at) if len(n) else n)
             kinds.append(d.astype(float))
         self.left = SYMBOLS - (kinds[0][0] if len(kinds[0]) else 0)
+        # occurrences of a context whose symbol was pruned: the context is itself a node one order below
+        pruned = [np.maximum(0, (total or 0) - totals[0])]
+        for j in range(1, len(nodes)):
+            at, found = self._find(self.keys[j - 1], self.contexts[j])
+            every = np.where(found, counts[j - 1][at] if len(counts[j - 1]) else 0, totals[j])
+            pruned.append(np.maximum(0, every - totals[j]))
         with np.errstate(divide="ignore"):
             # reached from above by no escape: the context is the longest seen
-            self.fresh = [self._levels(t, d, j) for j, (t, d) in enumerate(zip(totals, kinds))]
+            self.fresh = [self._levels(t, d, r, j) for j, (t, d, r) in enumerate(zip(totals, kinds, pruned))]
             # reached by an escape from each context one longer, whose symbols are excluded
             self.below = [None]
             for j in range(1, len(nodes)):
                 lower = np.searchsorted(self.contexts[j - 1], self._suffix(self.contexts[j], j - 1))
                 known = np.searchsorted(self.keys[j - 1], self._suffix(self.keys[j], j))
                 excluded = np.add.reduceat(counts[j - 1][known], first[j]) if len(known) else counts[j]
-                self.below.append(self._levels(totals[j - 1][lower] - excluded, kinds[j - 1][lower] - kinds[j], j - 1))
-
-    def _levels(self, total: np.ndarray, kinds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+                self.below.append(
+                    self._levels(
+                        totals[j - 1][lower] - excluded, kinds[j - 1][lower] - kinds[j], pruned[j - 1][lower], j - 1
+                    )
+                )
+
+    def _levels(
+        self, total: np.ndarray, kinds: np.ndarray, pruned: np.ndarray, order: int
+    ) -> tuple[np.ndarray, np.ndarray]:
         """log10 of what counts are divided by, and of the escape, where symbols may be excluded."""
-        escape = kinds if order or self.left else np.zeros_like(kinds)
+        escape = kinds + pruned if order or self.left else np.zeros_like(kinds)
         whole = total + escape
         empty = whole == 0  # every symbol is excluded: nothing is coded here
         return np.log10(np.where(empty, 1, whole)), np.where(empty, 0, np.log10(escape) - np.log10(np.where(empty, 1, whole)))
@@ -202,7 +217,8 @@ def counts_of(docs: DataFrame, training: Column, text_column: str = "text") -> D
 def fit(counts: DataFrame, min_share: float = MIN_SHARE) -> Trie:
     """The trie of the nodes that reach ``min_share`` of the training symbols."""
     grams = counts.filter("gram is not null")
-    least = max(1.0, (grams.agg(F.sum("n")).first()[0] or 0) * min_share)
+    total = float(grams.agg(F.sum("n")).first()[0] or 0)
+    least = max(1.0, total * min_share)
     orders = F.array(
         *(
             F.struct(F.lit(j).alias("j"), F.col("gram").bitwiseAND((1 << (BITS * (j + 1))) - 1).alias("key"))
@@ -219,7 +235,7 @@ def fit(counts: DataFrame, min_share: float = MIN_SHARE) -> Trie:
     order, key, n = (nodes.column(c).to_numpy() for c in ("j", "key", "n"))
     sort = np.lexsort((key, order))
     order, key, n = order[sort], key[sort], n[sort]
-    return Trie([(key[order == j], n[order == j]) for j in range(ORDER + 1)])
+    return Trie([(key[order == j], n[order == j]) for j in range(ORDER + 1)], total)
 
 
 def _head(words: DataFrame, limit: int) -> list:

@@ -31,9 +31,16 @@ class Plain:
             for i in range(K, len(s)):
                 for j in range(K + 1):
                     seen[j][tuple(s[i - j : i])][s[i]] += 1
+        self.total = sum(seen[0][()].values())
         self.seen = [{c: {x: n for x, n in d.items() if n >= least} for c, d in level.items()} for level in seen]
         self.seen = [{c: d for c, d in level.items() if d} for level in self.seen]
 
+    def pruned(self, context):
+        """How often the context was followed by a symbol whose node was pruned."""
+        kept = sum(self.seen[len(context)][context].values())
+        every = self.seen[len(context) - 1].get(context[:-1], {}).get(context[-1], kept) if context else self.total
+        return max(0, every - kept)
+
     def distribution(self, context):
         p, scale, excluded = {}, 1.0, set()
         for j in range(K, -1, -1):
@@ -41,10 +48,11 @@ class Plain:
             if found is None:
                 continue
             left = {x: n for x, n in found.items() if x not in excluded}
-            if left:
-                whole = sum(left.values()) + len(left)
+            escape = len(left) + self.pruned(tuple(context[len(context) - j :]))
+            if escape:
+                whole = sum(left.values()) + escape
                 p |= {x: scale * n / whole for x, n in left.items()}
-                scale *= len(left) / whole
+                scale *= escape / whole
             excluded |= set(found)
         rest = 257 - len(excluded)
         return {x: p.get(x, scale / rest) for x in range(257)}
@@ -82,9 +90,9 @@ def test_probabilities_of_all_symbols_add_up_to_one():
     for level in plain.seen:
         packed = sorted((int(sum(x << (9 * k) for k, x in enumerate([s, *reversed(c)]))), n) for c, d in level.items() for s, n in d.items())
         nodes.append((np.array([g for g, _ in packed]), np.array([n for _, n in packed])))
-    trie = lm_score.Trie(nodes)
-    for context in ([END] * 4, list(b"the "), list(b"zzzz"), list(b"zthe"), [END, END, 97, 97]):
-        packed = sum(x << (9 * (4 - k)) for k, x in enumerate(context))
+    trie = lm_score.Trie(nodes, plain.total)
+    for context in ([END] * K, list(b" the "), list(b"zzzzz"), list(b"zzthe"), [END, END, END, 97, 97]):
+        packed = sum(x << (9 * (K - k)) for k, x in enumerate(context))
         p = 10 ** trie.log10(packed + np.arange(257))
         assert p.sum() == pytest.approx(1)
         assert p == pytest.approx(np.array([plain.distribution(context)[x] for x in range(257)]))
@@ -102,9 +110,7 @@ def test_query_base_score_and_held_out_gain(spark):
         assert (r.held_out, r.n_tokens, r.train_tokens) == (out[i], len(tokens), n)
         assert r.n_known == sum(t in counts for t in tokens)
         assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens))
-    held = [r for r in got.values() if r.held_out]
-    bytes_ = sum(len(symbols(rows[r.doc_id])) for r in held)
-    print("bits a byte", -sum(r.score for r in held) / math.log10(2) / bytes_, "words", -sum(r.base_score for r in held) / math.log10(2) / bytes_)
+    held = [r for r in queries.op6_lm_score(spark, "/root/testdata/sf0.1").collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
