@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any, Protocol
 
 import pandas as pd
@@ -34,48 +35,64 @@ class Completer(Protocol):
 CompleterFactory = Callable[[], Completer]
 
 
+def _answer(complete, request: dict[str, Any]) -> str:
+    """One call; the JSON text of its answer, which must be an object."""
+    answer = complete(request)
+    shape = getattr(complete, "format_output", None)
+    answer = answer if shape is None else shape(answer)
+    text = answer if isinstance(answer, str) else json.dumps(answer, allow_nan=False)
+    if not isinstance(json.loads(text), dict):
+        raise ValueError("the answer is not a JSON object")
+    return text
+
+
 def _call(complete, payload: str, max_retries: int, retry_delay: float):
-    """One request: every failure is retried until the attempts are used up."""
+    """One request: every failure is retried until the attempts are used up.
+
+    An answer that is no JSON object, or cannot be written as JSON, is a failure like any other.
+    """
     started = time.perf_counter()
     request = json.loads(payload)
-    retries = 0
+    retries, text = 0, None
     accepts = getattr(complete, "validate_input", None)
-    shape = getattr(complete, "format_output", None)
-    if accepts is not None and not accepts(request):
-        return None, "input refused by validate_input", 0, 0.0, pd.Timestamp.now("UTC")
+    try:
+        refused = None if accepts is None or accepts(request) else "input refused by validate_input"
+    except Exception as exc:  # the row records it, the job goes on
+        refused = f"validate_input failed: {exc}"
+    if refused is not None:
+        return None, refused, 0, 0.0, pd.Timestamp.now("UTC")
     while True:
         try:
-            answer, error = complete(request), None
-            answer = answer if shape is None else shape(answer)
+            text, error = _answer(complete, request), None
             break
-        except Exception as exc:  # the row records it, the job goes on
-            answer, error = None, str(exc)
+        except Exception as exc:
+            error = str(exc) or type(exc).__name__
         if retries == max_retries:
             break
         retries += 1
         time.sleep(retry_delay)
     latency = round((time.perf_counter() - started) * 1000.0, 2)
-    text = answer if answer is None or isinstance(answer, str) else json.dumps(answer)
     return text, error, retries, latency, pd.Timestamp.now("UTC")
 
 
-def _caller(factory: CompleterFactory, max_retries: int, retry_delay: float):
+def _caller(factory: CompleterFactory, max_retries: int, retry_delay: float, concurrency: int):
     @F.pandas_udf(CALL_SCHEMA)
     def call(payloads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         complete = factory()
         names = ["response", "error", "retry_count", "latency_ms", "finished_at"]
+
+        def one(text):
+            if text is None:
+                return (None, None, None, None, pd.NaT)
+            return _call(complete, text, max_retries, retry_delay)
+
         try:
-            for batch in payloads:
-                rows = [
-                    (None, None, None, None, pd.NaT)
-                    if text is None
-                    else _call(complete, text, max_retries, retry_delay)
-                    for text in batch
-                ]
-                out = pd.DataFrame(rows, columns=names)
-                out["retry_count"] = out["retry_count"].astype("Int32")
-                out["finished_at"] = pd.to_datetime(out["finished_at"], utc=True)
-                yield out
+            with ThreadPoolExecutor(concurrency) as pool:
+                for batch in payloads:
+                    out = pd.DataFrame(list(pool.map(one, batch)), columns=names)  # in the batch's order
+                    out["retry_count"] = out["retry_count"].astype("Int32")
+                    out["finished_at"] = pd.to_datetime(out["finished_at"], utc=True)
+                    yield out
         finally:
             close = getattr(complete, "close", None)
             if close is not None:
@@ -107,18 +124,18 @@ def infer(
     factory: CompleterFactory,
     max_retries: int = 3,
     retry_delay: float = 1.0,
-    partitions: int | None = None,
+    partitions: int | None = None, concurrency: int = 1,
 ) -> DataFrame:
     """Adds ``response, error, retry_count, latency_ms, finished_at`` to resolved requests.
 
     A request that could not be resolved never reaches the model; it fails with all its retries
     counted, since no retry could have helped. ``partitions`` spreads a skewed input over that many
-    concurrent callers.
+    callers, and each keeps ``concurrency`` calls under way; the completer must then be thread-safe.
     """
     if partitions:
         resolved = resolved.repartition(partitions)
     called = resolved.withColumn(
-        "_call", _caller(factory, max_retries, retry_delay)(F.col("payload"))
+        "_call", _caller(factory, max_retries, retry_delay, concurrency)(F.col("payload"))
     )
     bad = F.col("resolve_error").isNotNull()
     return called.select(

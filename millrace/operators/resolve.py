@@ -132,7 +132,9 @@ def resolve_requests(
         F.col("route").isNull(), F.concat(F.lit("Unsupported URL: "), F.coalesce("url", F.lit("None")))
     )
     no_body = F.when(body.isNull(), "body is not an object")
-    staged = staged.withColumn("resolve_error", F.coalesce(unsupported, no_body, mismatch))
+    # a line that holds another JSON value is no request; the row stays and counts as failed
+    no_object = F.when(F.col("input").isNull(), "request is not an object") if "input" in requests.columns else F.lit(None)
+    staged = staged.withColumn("resolve_error", F.coalesce(no_object, unsupported, no_body, mismatch))
     call = payload(
         F.col("model"),
         messages(body, F.col("route")),

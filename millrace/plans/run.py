@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import infer as INF
 from ..operators import metrics as M
@@ -29,11 +30,11 @@ class RunOutput:
 def results_of(
     requests: DataFrame, model: ModelSpec, factory: INF.CompleterFactory,
     defaults: dict[str, Any] | None = None, max_retries: int = 3, retry_delay: float = 1.0,
-    partitions: int | None = None,
+    partitions: int | None = None, concurrency: int = 1,
 ) -> DataFrame:
     """Requests to result rows. Lazy, and every evaluation calls the model."""
     resolved = RES.resolve_requests(requests, model, defaults)
-    called = INF.infer(resolved, factory, max_retries, retry_delay, partitions)
+    called = INF.infer(resolved, factory, max_retries, retry_delay, partitions, concurrency)
     return INF.shape_results(called, model.engine_name)
 
 
@@ -41,13 +42,16 @@ def run_batch(
     spark: SparkSession, source: str | list[str] | DataFrame, output_path: str, model: ModelSpec,
     factory: INF.CompleterFactory, defaults: dict[str, Any] | None = None, max_retries: int = 3,
     retry_delay: float = 1.0, partitions: int | None = None, warm: bool = True,
+    concurrency: int = 1, slices: int = 1,
     input_handler: Callable[..., DataFrame] | None = None,
     output_handler: Callable[[DataFrame], None] | None = None,
 ) -> RunOutput:
     """Run JSONL files or a request table through the model.
 
     The results are written once as a parquet table and read back before anything is computed from
-    them, so a lost executor or a second action never calls the model again for stored rows.
+    them, so a lost executor or a second action never calls the model again for stored rows. With
+    several ``slices`` the requests are stored first and dealt by a hash of their ids; each slice is stored when it is done
+    (``slice=N``). A run that is started again on the same path takes the stored requests and calls only what no finished slice holds.
     ``input_handler(source)`` makes the request table of any other source; ``output_handler`` gets
     the stored results, to export them in another form (K6).
     """
@@ -65,10 +69,23 @@ def run_batch(
     if warm:
         INF.warm_up(factory, model.engine_name)
     started = time.perf_counter()
-    results = results_of(requests, model, factory, defaults, max_retries, retry_delay, partitions)
-    results.write.mode("errorifexists").parquet(output_path)
+    calls = (model, factory, defaults, max_retries, retry_delay, partitions, concurrency)
+    if slices == 1:
+        results_of(requests, *calls).write.mode("errorifexists").parquet(output_path)
+    else:
+        asked = f"{output_path.rstrip('/')}/_requests"
+        if not jsonl.existing_paths(spark, [f"{asked}/_SUCCESS"]):
+            requests.write.mode("overwrite").parquet(asked)
+        fixed = spark.read.parquet(asked)
+        for k in range(slices):
+            path = f"{output_path.rstrip('/')}/slice={k}"
+            if not jsonl.existing_paths(spark, [f"{path}/_SUCCESS"]):
+                part = fixed.where(F.pmod(F.xxhash64("custom_id"), F.lit(slices)) == k)
+                results_of(part, *calls).write.mode("overwrite").parquet(path)
     elapsed = time.perf_counter() - started
     stored = spark.read.parquet(output_path)
+    if slices > 1:
+        stored = stored.drop("slice")
     if output_handler is not None:
         output_handler(stored)
     metrics = M.run_metrics(M.metric_inputs(stored), elapsed, summary=True)

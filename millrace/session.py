@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-#: All four are runtime SQL settings, so an existing session can be adopted.
+#: All are runtime SQL settings, so an existing session can be adopted.
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.chunkBase64String.enabled": "false",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # texts may be long: rows of one batch are in a Python worker's memory together
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -41,16 +42,12 @@ def local_session(cores: int | str = 8, app: str = "millrace", **conf: str) -> S
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh folder below ``spark.checkpoint.dir``, else below the warehouse.
 
-    That setting names storage every executor can see. A machine-local folder is used only
-    where the session leaves it unset, which is the case in tests.
+    Both name storage that every executor can see; every session has a warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to storage shared by all executors")
-        base = tempfile.mkdtemp(prefix="millrace-")
+    base = base or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

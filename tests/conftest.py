@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,7 +12,9 @@ from millrace import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests")
+    # tests bring no shared storage of their own
+    scratch = tempfile.mkdtemp(prefix="millrace-")
+    session = local_session(8, "tests", **{"spark.checkpoint.dir": scratch, "spark.sql.warehouse.dir": f"{scratch}/warehouse"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
