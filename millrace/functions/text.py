@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,15 +22,31 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(PY_WHITESPACE))
 
 
+def _decoded(encoding: str):
+    @F.pandas_udf(T.StringType())
+    def decode(content: pd.Series) -> pd.Series:
+        def one(raw):
+            if raw is None:
+                return None
+            try:
+                return raw.decode(encoding).replace("\r\n", "\n").replace("\r", "\n")
+            except UnicodeDecodeError:
+                return raw.decode(encoding, errors="replace")
+
+        return pd.Series([one(c) for c in content], dtype=object)
+
+    return decode
+
+
 def decode_text(content: Column, encoding: str = "utf-8") -> Column:
     """Bytes to text.
 
     Valid input gets universal newlines; input with broken sequences keeps its line ends and
-    has each broken sequence replaced by U+FFFD.
+    has each broken sequence replaced by U+FFFD. Encodings other than UTF-8 are decoded in Arrow batches,
+    since the built-in function fails on a broken sequence.
     """
-    if encoding.lower().replace("_", "-") not in ("utf-8", "utf8"):
-        text = F.decode(content, encoding)
-        return F.regexp_replace(text, "\r\n?", "\n")
+    if codecs.lookup(encoding).name != "utf-8":  # an unknown name fails here, before any job
+        return _decoded(encoding)(content)
     text = content.cast("string")
     return F.when(
         F.is_valid_utf8(text), F.regexp_replace(text, "\r\n?", "\n")

@@ -108,17 +108,12 @@ def python_json_text(raw: pd.Series, mode: pd.Series) -> pd.Series:
     return pd.Series([one(t, m) for t, m in zip(raw, mode)], dtype=object)
 
 
-@F.pandas_udf(T.BooleanType())
-def is_json(text: pd.Series) -> pd.Series:
-    """Exact JSON validity: also rejects trailing content, which Spark's parsers ignore."""
+def is_json(text: Column) -> Column:
+    """Exact JSON validity, NULL for NULL; trailing content, which the parsers ignore, is found too.
 
-    def one(line):
-        if line is None:
-            return None
-        try:
-            json.loads(line)
-        except ValueError:
-            return False
-        return True
-
-    return pd.Series([one(t) for t in text], dtype=object)
+    Content behind a value can close one of two wrappers, an array or an object, but never both.
+    """
+    in_array = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>")
+    in_object = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}")))
+    valid = F.coalesce((F.size(in_array) == 1) & in_object.isNotNull(), F.lit(False))
+    return F.when(text.isNotNull(), valid)

@@ -261,10 +261,6 @@ def image_messages(prompt: Column, path: Column, content: Column, system_prompt:
     return F.to_variant_object(F.array(system, user))
 
 
-#: A dict of prompts becomes constants in the plan up to this many entries.
-MAX_INLINE_PROMPTS = 1000
-
-
 def with_prompts(
     files: DataFrame,
     prompts: dict[str, str] | DataFrame | None,
@@ -281,14 +277,6 @@ def with_prompts(
         return files.withColumn("prompt", F.lit(default))
     name = P.basename(F.col(path))
     if isinstance(prompts, dict):
-        if len(prompts) <= MAX_INLINE_PROMPTS:
-            table = F.create_map(*[F.lit(x) for kv in prompts.items() for x in kv])
-            return files.withColumn(
-                "prompt",
-                F.coalesce(
-                    F.try_element_at(table, F.col(path)), F.try_element_at(table, name), F.lit(default)
-                ),
-            )
         prompts = files.sparkSession.createDataFrame(list(prompts.items()), "key string, prompt string")
     unique = prompts.groupBy("key").agg(F.max("prompt").alias("prompt"))
     by_path = unique.select(F.col("key").alias(path), F.col("prompt").alias("_by_path"))

@@ -46,7 +46,7 @@ def registry(t):
         .alias("submitted_at"),
     )
     return JS.registry_jobs(
-        t.spread(t.orders).select(F.to_json(F.create_map(key.cast("string"), entry)).alias("value"))
+        t.orders.select(F.to_json(F.create_map(key.cast("string"), entry)).alias("value"))
     )
 
 
@@ -78,7 +78,7 @@ def accounting(t):
         F.lit(',"limit":'), limit, F.lit("}}]}"),
     )
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    docs = t.spread(t.lineitem).select(order.alias("seq"), text.alias("value"))
+    docs = t.lineitem.select(order.alias("seq"), text.alias("value"))
     return JS.accounting_jobs(JS.accounting_entries(docs, order_by="seq"))
 
 
@@ -158,7 +158,7 @@ def job_durations(t):
     )
     seconds = J.elapsed_seconds(text)
     memory = F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.when(F.col("l_linenumber") == 1, "MB").otherwise("GB"))
-    return t.spread(t.lineitem).select(
+    return t.lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         seconds.cast("bigint").alias("seconds"), J.duration_text(seconds).alias("shown"),
         J.epoch_text(F.unix_timestamp(F.col("l_shipdate").cast("timestamp"))).alias("started"),

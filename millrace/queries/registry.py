@@ -23,14 +23,6 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
 
 
-    def spread(self, df: DataFrame) -> DataFrame:
-        """Rows over all cores where a table comes in fewer splits, before costly per-row work.
-
-        A table of many files already has its splits and is left alone.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

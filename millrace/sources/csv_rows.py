@@ -16,14 +16,17 @@ MISSING_MARKERS = [
 
 
 def read_csv_rows(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+    one_line_rows: bool = False, **options,
 ) -> DataFrame:
     """CSV rows with header, keeping the cells in one struct column ``row``.
 
     Types are inferred unless a schema is given; inference is one more pass over the input, so
-    large inputs should bring their schema. Extra options go to Spark's CSV reader.
+    large inputs should bring their schema. Quoted cells may hold line breaks, so a file is read by one
+    task; ``one_line_rows`` promises that none does and lets large files be split. Extra options go
+    to Spark's CSV reader.
     """
-    settings = {"header": True, "escape": '"', **options}
+    settings = {"header": True, "escape": '"', "multiLine": not one_line_rows, **options}
     if schema is None:
         inferred = spark.read.options(**settings).option("inferSchema", True).csv(path).schema
         # dates stay text: a prompt shows the cell as it was written
