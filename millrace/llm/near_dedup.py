@@ -5,9 +5,10 @@ range into bins and keeps the least hash of each; an empty bin copies the first
 fixed random probe order of its own (optimal densification). Rows of bins form bands, equal bands
 form buckets. A bucket proposes a star instead of all pairs: every member against one hub, the
 member that shares the most buckets. Every proposal is confirmed on the full sets. A bucket whose
-other members still lie in several components stays open and proposes stars around twice as many further hubs
-in the next round, so no link is lost to the choice of a hub and pairs stay near the number of
-members. Equal sets are collapsed first; copies never meet.
+other members still lie in several components stays open and proposes stars around several times as many
+further hubs in the next round, so no link is lost to the choice of a hub. Before that, members are
+left out whose shingles are too seldom shared for any link, which keeps pairs near a small multiple
+of the members. Equal sets are collapsed first; copies never meet.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, string_column, text_of, utf8_buffer
+from .common import store, string_column, text_of, text_slices, utf8_buffer
 
 WORDS = 5
 BANDS, ROWS = 32, 5
@@ -30,6 +31,9 @@ BINS = BANDS * ROWS
 FILTER_BITS = 1 << 26
 CHUNK_BITS = 1 << 15
 
+#: By how much the number of hubs of an open bucket grows from round to round.
+HUB_GROWTH = 8
+
 _random = np.random.default_rng(20250901)
 MULTIPLIERS = _random.integers(1 << 62, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 ROW_MULTIPLIERS = _random.integers(1 << 62, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
@@ -113,9 +117,9 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            part = batch.slice(start, 500)
-            sets = shingle_sets(string_column(part, "text"))
+        for start, texts in text_slices(string_column(batch, "text")):
+            part = batch.slice(start, len(texts))
+            sets = shingle_sets(texts)
             full = [s for s in sets if len(s)]
             keys = iter(band_keys(signatures(full)).view(np.int64) if full else ())
             yield pa.RecordBatch.from_arrays(
@@ -133,9 +137,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            part = batch.slice(start, 500)
-            sets = [s.view(np.int64) for s in shingle_sets(string_column(part, "text"))]
+        for start, texts in text_slices(string_column(batch, "text")):
+            part = batch.slice(start, len(texts))
+            sets = [s.view(np.int64) for s in shingle_sets(texts)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("text_key"), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"]
             )
@@ -227,29 +231,64 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """The members of buckets that reach over more than one component, stored."""
+    spread = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return store(members.join(spread.filter("lo < hi").select("bucket"), "bucket"), "open")
+
+
+def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members that may still be similar to another one, with ``reach`` counted anew.
+
+    ``reach`` is the number of a set's shingles that any other set among the members has. Two sets
+    of sizes n and m need percent / (100 + percent) * (n + m) common ones, so a member whose reach
+    is too small for even the smallest set of its bucket has no partner left there. This is exact.
+    """
+    shingles = sets.join(members.select("node").distinct(), "node", "left_semi").select(
+        "node", F.explode("shingles").alias("shingle")
+    )
+    shared = shingles.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle")
+    reach = shingles.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("reach"))
+    least = members.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    return (
+        members.drop("reach")
+        .join(reach, "node")
+        .join(least, "bucket")
+        .filter(
+            (100 * F.col("reach") >= percent * F.col("n"))
+            & ((100 + percent) * F.col("reach") >= percent * (F.col("n") + F.col("least_n")))
+        )
+        .select(*MEMBER)
+    )
+
+
+MEMBER = ("bucket", "node", "n", "score", "root", "reach")
+
+
 def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(root, node) of all components of nodes that share buckets and are similar enough.
 
-    ``members``: bucket, node, n (set size), score (how many bucket mates it has), root (its component).
+    ``members``: bucket, node, n (set size), score (how many bucket mates it has), root (its
+    component), reach (how many of its shingles another set may have).
     """
     hubs_each, stars, tested = 1, None, None
     while not members.isEmpty():
-        choice = F.max(F.struct("score", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root")))
+        choice = F.max(F.struct("score", *(F.col(c).alias(f"hub_{c}") for c in ("node", "n", "root", "reach"))))
         hubs = store(
             members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(hubs_each)).alias("salt"))
             .agg(choice.alias("h"))
-            .select("bucket", "h.hub", "h.hub_n", "h.hub_root"),
+            .select("bucket", "h.hub_node", "h.hub_n", "h.hub_root", "h.hub_reach"),
             "hubs",
         )
-        # the set sizes alone rule out what could not reach the similarity
+        # what both sets may have in common rules out most pairs before their sets are compared
         pairs = (
             members.join(hubs, "bucket")
             .filter(
-                (F.col("node") != F.col("hub"))
-                & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+                (F.col("node") != F.col("hub_node"))
                 & (F.col("root") != F.col("hub_root"))
+                & ((100 + percent) * F.least("reach", "hub_reach") >= percent * (F.col("n") + F.col("hub_n")))
             )
-            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            .select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"))
             .distinct()
         )
         if tested is not None:
@@ -257,21 +296,18 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
         pairs = store(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         found = _confirmed(pairs, sets, percent)
-        edges = store(found if stars is None else found.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))), "links")
-        stars = star_components(edges)
+        if stars is not None:
+            found = found.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b")))
+        stars = star_components(store(found, "links"))
         # what a hub was compared with is settled; a bucket is done when the rest hangs together
-        rest = members.select("bucket", "node", "n", "score").join(
-            hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti"
-        )
-        rooted = store(
-            rest.join(stars, "node", "left").select(
-                "bucket", "node", "n", "score", F.coalesce("root", "node").alias("root")
-            ),
-            "rest",
+        rest = members.drop("root").join(
+            hubs.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti"
         )
-        spread = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        members = store(rooted.join(spread.filter("lo < hi").select("bucket"), "bucket"), "open")
-        hubs_each *= 2
+        rooted = rest.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*MEMBER)
+        members = _open(store(rooted, "rest"))
+        if not members.isEmpty():
+            members = _open(store(_able(members, sets, percent), "able"))
+        hubs_each *= HUB_GROWTH
     return stars
 
 
@@ -303,7 +339,12 @@ def near_duplicates(
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("mates")).filter("mates > 1")
     shared = store(banded.join(sizes, "bucket"), "shared")
     scores = shared.groupBy("node").agg(F.sum("mates").alias("score"))
-    members = store(shared.join(scores, "node").select("bucket", "node", "n", "score", F.col("node").alias("root")), "members")
+    members = store(
+        shared.join(scores, "node").select(
+            "bucket", "node", "n", "score", F.col("node").alias("root"), F.col("n").alias("reach")
+        ),
+        "members",
+    )
     wanted = store(classes.select("node", "text_key").join(scores.select("node"), "node", "left_semi"), "wanted")
     sets = _picked_sets(docs, text_column, wanted)
     stars = links(members, sets, percent)
