@@ -50,7 +50,7 @@ def registry(t):
     )
 
 
-def accounting(t):
+def accounting(t, columns=JS.ACCOUNTING_COLUMNS, only=None):
     """Line items as accounting payloads of one record, with the state in one of four layouts."""
     mark = F.concat("l_returnflag", "l_linestatus")
     state = (
@@ -79,7 +79,7 @@ def accounting(t):
     )
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     docs = t.lineitem.select(order.alias("seq"), text.alias("value"))
-    return JS.accounting_jobs(JS.accounting_entries(docs, order_by="seq"))
+    return JS.accounting_jobs(JS.accounting_entries(docs, order_by="seq"), columns, only)
 
 
 _LISTED = """job_id, job_name AS name, coalesce(type, 'batch') AS type, model, coalesce(engine, '--') AS engine, submitted"""
@@ -94,7 +94,7 @@ _LISTED = """job_id, job_name AS name, coalesce(type, 'batch') AS type, model, c
     """,
 )
 def jobs_all(t):
-    return OPS.newest_first(OPS.all_jobs(registry(t), accounting(t)))
+    return OPS.newest_first(OPS.all_jobs(registry(t), accounting(t, ("state", "elapsed"))))
 
 
 @query(
@@ -105,7 +105,8 @@ def jobs_all(t):
     """,
 )
 def jobs_active(t):
-    return OPS.active_jobs(registry(t), accounting(t))
+    known = registry(t)
+    return OPS.active_jobs(known, accounting(t, ("state", "elapsed"), known))
 
 
 @query(
@@ -137,7 +138,8 @@ def job_detail(t):
     """,
 )
 def jobs_running(t):
-    return OPS.by_number(OPS.running_jobs(registry(t), accounting(t)).select("job_id", "state"))
+    known = registry(t)
+    return OPS.by_number(OPS.running_jobs(known, accounting(t, ("state",), known)).select("job_id", "state"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,21 @@ _REGISTRY_MEMBERS = (
     "logs_dir string, workspace string, submitted_at variant>"
 )
 
-# Members of an accounting record; those of varying type stay variants.
-_MEMBERS = (
-    "struct<job_state variant, state variant, time struct<start variant, elapsed variant, limit variant>, "
-    "name string, job_name string, partition string, nodes string, working_directory string, work_dir string, "
-    "stdout_expanded string, standard_output string, stderr_expanded string, standard_error string>"
-)
+# Members of an accounting record behind each column; those of varying type stay variants, and
+# capitalised names are looked up one by one, since the others differ from them only in case.
+_MEMBERS = {
+    "state": {"job_state": "variant", "state": "variant"},
+    "name": {"name": "string", "job_name": "string"},
+    "partition": {"partition": "string", "Partition": "string"},
+    "nodes": {"nodes": "string", "Nodes": "string"},
+    "working_dir": {"working_directory": "string", "work_dir": "string", "WorkDir": "string"},
+    "stdout": {"stdout_expanded": "string", "standard_output": "string"},
+    "stderr": {"stderr_expanded": "string", "standard_error": "string"},
+    "start": {"time.start": "variant"},
+    "elapsed": {"time.elapsed": "variant"},
+    "time_limit": {"time.limit": "variant"},
+}
+ACCOUNTING_COLUMNS = tuple(_MEMBERS)
 
 # A JSON number other than zero.
 _NONZERO_NUMBER = r"^-?(?=[\d.]*[1-9])\d"
@@ -50,55 +61,61 @@ def accounting_entries(docs: DataFrame, text: str = "value", order_by: str | Non
     )
 
 
-def accounting_jobs(entries: DataFrame) -> DataFrame:
+def accounting_jobs(
+    entries: DataFrame, columns: Sequence[str] = ACCOUNTING_COLUMNS, only: DataFrame | None = None
+) -> DataFrame:
     """Accounting entries (VARIANT ``job``, order ``seq``) to one typed row per job id.
 
     Rows without a numeric, non-zero id are step records and are dropped; of several rows for one
-    id the last wins (an aggregate, so repeated ids combine before the shuffle).
+    id the last wins (an aggregate, so repeated ids combine before the shuffle). Only the members
+    behind ``columns`` are taken out of the payload and moved; ``only`` (job_id) drops other jobs
+    before the aggregate.
     """
     job = F.col("job")
     job_id = F.try_variant_get(job, "$.job_id", "variant")
+    wanted = {k: v for c in columns for k, v in _MEMBERS[c].items()}
+    lower = {k: v for k, v in wanted.items() if k[0].islower() and "." not in k}
+    times = {k.split(".")[1]: v for k, v in wanted.items() if "." in k}
+    fields = [f"{k} {v}" for k, v in lower.items()]
+    if times:
+        fields.append(f"time struct<{', '.join(f'{k} {v}' for k, v in times.items())}>")
     # one pass over the payload takes the members out; they are formatted for the winners only
     members = entries.where(F.to_json(job_id).rlike(_NONZERO_NUMBER)).select(
         "seq",
         job_id.cast("string").alias("job_id"),
-        F.try_variant_get(job, "$", _MEMBERS).alias("m"),
+        F.try_variant_get(job, "$", f"struct<{', '.join(fields)}>").alias("m"),
         F.struct(
-            *[F.try_variant_get(job, f"$.{k}", "string").alias(k) for k in ("Partition", "Nodes", "WorkDir")]
+            F.lit(0).alias("none"),
+            *[F.try_variant_get(job, f"$.{k}", v).alias(k) for k, v in wanted.items() if k[0].isupper()],
         ).alias("other"),
     )
+    if only is not None:
+        members = members.join(only.select("job_id"), "job_id", "left_semi")
     latest = members.groupBy("job_id").agg(F.max_by(F.struct("m", "other"), "seq").alias("w"))
     latest = latest.select("job_id", "w.*")
 
-    def text(*names):
-        return F.coalesce(*[F.nullif(J.strip(F.col(n)), F.lit("")) for n in names]).alias(
-            names[0].split(".")[1]
-        )
+    def text(column):
+        names = [f"other.{k}" if k[0].isupper() else f"m.{k}" for k in _MEMBERS[column]]
+        return F.coalesce(*[F.nullif(J.strip(F.col(n)), F.lit("")) for n in names])
 
-    states = F.transform(
-        F.array("m.job_state", "m.state"), lambda s: J.state_text(J.current_state(s))
-    )
-    state = F.try_element_at(F.filter(states, lambda s: s.isNotNull()), F.lit(1))
-    start = F.col("m.time.start")
-    return latest.select(
-        "job_id",
-        F.coalesce(state, F.lit("UNKNOWN")).alias("state"),
-        text("m.name", "m.job_name"),
-        text("m.partition", "other.Partition"),
-        text("m.nodes", "other.Nodes"),
-        text("m.working_directory", "m.work_dir", "other.WorkDir").alias("working_dir"),
-        text("m.stdout_expanded", "m.standard_output").alias("stdout"),
-        text("m.stderr_expanded", "m.standard_error").alias("stderr"),
-        J.timestamp_text(start).alias("start"),
-        J.duration_text(V.number_or_null(F.col("m.time.elapsed"))).alias("elapsed"),
-        J.minutes_text(J.limit_minutes(F.col("m.time.limit"))).alias("time_limit"),
-    )
+    def state():
+        given = F.transform(F.array("m.job_state", "m.state"), lambda s: J.state_text(J.current_state(s)))
+        found = F.try_element_at(F.filter(given, lambda s: s.isNotNull()), F.lit(1))
+        return F.coalesce(found, F.lit("UNKNOWN"))
+
+    shown = {
+        "state": state,
+        "start": lambda: J.timestamp_text(F.col("m.time.start")),
+        "elapsed": lambda: J.duration_text(V.number_or_null(F.col("m.time.elapsed"))),
+        "time_limit": lambda: J.minutes_text(J.limit_minutes(F.col("m.time.limit"))),
+    }
+    return latest.select("job_id", *[(shown[c]() if c in shown else text(c)).alias(c) for c in columns])
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return registry_jobs(spark.read.text(path, wholetext=True))
 
 
-def read_accounting(spark: SparkSession, path) -> DataFrame:
+def read_accounting(spark: SparkSession, path, columns: Sequence[str] = ACCOUNTING_COLUMNS) -> DataFrame:
     docs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    return accounting_jobs(accounting_entries(docs, order_by="file"))
+    return accounting_jobs(accounting_entries(docs, order_by="file"), columns)
