@@ -3,9 +3,10 @@
 Spark's ``percentile`` keeps every distinct value of a group in one task. Here values are binned by
 their exponent and leading 12 mantissa bits, so bins order like values. A first pass counts rows per
 bin, combined before the shuffle to a few thousand counts per task and key, and tells which bins
-hold the wanted ranks. A second pass looks at the rows of those bins only. A task sees one key's
-bin counts, or one bin's distinct values, a range of relative width 2**-12; a key with a third of
-all rows spreads over tasks by its values.
+hold the wanted ranks. A second pass counts the rows of those bins by the next 20 mantissa bits, and
+a third looks at the values of the parts that are left, which differ in their last 20 bits only. So
+no task sees more than one key's bins, or about a million counts, whatever the values are: equal
+values are one count, and values that lie close together part at the second level.
 """
 
 from __future__ import annotations
@@ -23,6 +24,13 @@ _BIN = """
               + floor(abs(_v) / power(2.0D, floor(log2(abs(_v)))) * power(2, 12)))
     END"""
 
+# The 20 mantissa bits behind those of the bin, in the order of the values.
+_PART = """
+    CASE WHEN isnan(_v) OR abs(_v) = double('infinity') OR _v = 0 THEN 0
+         ELSE if(_v < 0, -1, 1) * floor(pmod(
+              abs(_v) / power(2.0D, floor(log2(abs(_v)))) * power(2, 12), 1.0D) * power(2, 20))
+    END"""
+
 #: The wanted bins are broadcast when the number of keys proves that there are no more than this.
 MAX_BROADCAST_BINS = 1_000_000
 
@@ -56,46 +64,43 @@ def exact_quantiles(
     only what is left; otherwise the planner chooses the join.
     """
     keys = list(keys)
+    if not keys:
+        max_keys = 1
+    bounded = max_keys is not None and max_keys * 2 * len(probs) <= MAX_BROADCAST_BINS
     rows = (
         df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"))
+        .select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).cast("bigint").alias("_c"))
         .withColumn("_bin", F.expr(_BIN).cast("bigint"))
+        .withColumn("_part", F.expr(_PART).cast("bigint"))
     )
+    # what a join would move is counted by value first
+    again = rows if bounded else rows.groupBy(*keys, "_bin", "_part", "_v").agg(F.sum("_c").alias("_c"))
 
     def running(partition, order):
         w = Window.partitionBy(*partition).orderBy(order)
         return F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
-    bins = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    bins = bins.select(
-        *keys, "_bin", "_n",
-        running(keys, "_bin").alias("_cum"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
-    )
-    before = F.col("_cum") - F.col("_n")
-    held = F.filter(
-        _positions(list(probs.values())), lambda r: (r >= before) & (r < F.col("_cum"))
-    )
-    wanted = bins.select(
-        *keys, "_bin", "_total", before.alias("_before"), held.alias("_ranks")
-    ).where(F.size("_ranks") > 0)
-    if not keys:
-        max_keys = 1
-    if max_keys is not None and max_keys * 2 * len(probs) <= MAX_BROADCAST_BINS:
-        wanted = F.broadcast(wanted)
-    # the values of the wanted bins, in order, with the ranks each one covers
-    bin_keys = [*keys, "_bin"]
-    carried = ["_total", "_before", "_ranks"]
-    inside = (
-        join_on(rows, wanted, bin_keys)
-        .groupBy(*bin_keys, *carried, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    placed = inside.withColumn("_cum", F.col("_before") + running(bin_keys, "_v"))
-    covered = F.filter(
-        "_ranks", lambda r: (r < F.col("_cum")) & (r >= F.col("_cum") - F.col("_n"))
+    def holding(counts, within, step, ranks):
+        """The steps that hold a rank, with the number of rows before each and the ranks in it."""
+        before = F.col("_before") + running(within, step) - F.col("_n")
+        held = F.filter(ranks, lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_n")))
+        placed = counts.withColumn("_from", before).withColumn("_held", held)
+        return placed.where(F.size("_held") > 0).select(
+            *within, step, "_total", F.col("_from").alias("_before"), F.col("_held").alias("_ranks")
+        )
+
+    def inside(wanted, columns, step):
+        counts = join_on(again, F.broadcast(wanted) if bounded else wanted, columns)
+        return counts.groupBy(*columns, "_total", "_before", "_ranks", step).agg(F.sum("_c").alias("_n"))
+
+    bins = rows.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_n")).withColumn("_before", F.lit(0).cast("bigint"))
+    bins = bins.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+    wanted = holding(bins, keys, "_bin", _positions(list(probs.values())))
+    parts = holding(inside(wanted, [*keys, "_bin"], "_part"), [*keys, "_bin"], "_part", F.col("_ranks"))
+    in_part = [*keys, "_bin", "_part"]
+    found = holding(inside(parts, in_part, "_v"), in_part, "_v", F.col("_ranks")).select(
+        *keys, "_total", "_v", F.explode("_ranks").alias("_rank")
     )
-    found = placed.select(*keys, "_total", "_v", F.explode(covered).alias("_rank"))
     values = found.groupBy(*keys).agg(
         F.max("_total").alias("n"),
         # at most two entries per wanted quantile

@@ -307,3 +307,20 @@ def test_benchmark_prompts_in_category_order(spark):
     assert "data analysis" in messages[0]["content"]
     same = benchmark_requests(dataset, 13, unique_ids=False).collect()
     assert {r.custom_id for r in same} == {"request1"}
+
+
+@pytest.mark.parametrize("bound", [1, None])
+def test_quantiles_of_close_and_of_equal_values(spark, bound):
+    """Values inside one bin, down to their last bits, and one value that half of the rows have."""
+    base = 1.7e9  # seconds of three days lie in one bin
+    close = [base + i * 37.0 + (i % 5) * 2.0**-22 for i in range(3000)]
+    values = close + [base + 1000.0] * 3000
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(7)
+    probs = {"p05": 0.05, "p50": 0.5, "p77": 0.77, "p99": 0.99}
+    got = exact_quantiles(rows, "v", probs, max_keys=bound).first()
+    for name, p in probs.items():
+        assert got[name] == pytest.approx(np.quantile(np.array(values), p), abs=1e-6)
+    keyed = exact_quantiles(rows.selectExpr("v", "cast(v as long) % 2 AS k"), "v", probs, ["k"], max_keys=bound and 2)
+    for r in keyed.collect():
+        own = np.array([v for v in values if int(v) % 2 == r.k])
+        assert r.n == len(own) and r.p77 == pytest.approx(np.quantile(own, 0.77), abs=1e-6)
