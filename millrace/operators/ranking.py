@@ -48,13 +48,37 @@ def bin_offsets(df: DataFrame, keys: Sequence[str], bin_col: str, coarse: Column
     )
 
 
-def number_rows(df: DataFrame, order_by: str, bin_bits: int = 16) -> DataFrame:
+def _steps_below(value: Column, bounds: Sequence[int]) -> Column:
+    """How many of the ascending bounds are at most the value, by bisection."""
+    table = F.lit([int(b) for b in bounds])
+    turns = max(1, len(bounds).bit_length())
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = ((state["low"] + state["high"]) / 2).cast("int")
+        open_ = state["low"] < state["high"]
+        above = F.coalesce(F.get(table, middle) <= value, F.lit(False))
+        return F.struct(
+            F.when(open_ & above, middle + 1).otherwise(state["low"]).alias("low"),
+            F.when(open_ & ~above, middle).otherwise(state["high"]).alias("high"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(turns)), start, halve)["low"]
+
+
+def number_rows(df: DataFrame, order_by: str, bins: int = 4096) -> DataFrame:
     """Adds ``row_number`` (from 0) and ``_total`` in the order of a unique integer column.
 
-    The rows shuffle once, by bin; the offsets join on the same key.
+    Bins lie between approximate quantiles of the column, so they fill evenly whether the numbers
+    are dense, hashed or times; one aggregate of ``bins`` numbers comes to the driver. The rows
+    shuffle once, by bin; the offsets, one row per bin, join on the same key.
     """
-    binned = df.withColumn("_bin", F.shiftright(F.col(order_by).cast("bigint"), bin_bits))
-    offsets = bin_offsets(binned, [], "_bin", coarse=F.shiftright("_bin", bin_bits))
+    probs = [i / bins for i in range(1, bins)]
+    found = df.agg(F.percentile_approx(F.col(order_by).cast("bigint"), probs, 10 * bins)).first()[0]
+    bounds = sorted(set(found or []))
+    value = F.col(order_by).cast("bigint")
+    binned = df.withColumn("_bin", _steps_below(value, bounds) if bounds else F.lit(0))
+    offsets = bin_offsets(binned, [], "_bin")
     inner = Window.partitionBy("_bin").orderBy(order_by)
     return (
         binned.withColumn("_rn", F.row_number().over(inner))

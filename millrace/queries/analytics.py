@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..functions.errors import ERROR_CATEGORIES, error_category
 from ..operators import metrics as M
 from ..operators import telemetry as TEL
@@ -419,7 +420,10 @@ def snapshot_files(t):
     """,
 )
 def stream_gauges(t):
-    """Daily gauge windows computed by a stream over the events, results kept per micro-batch."""
+    """Daily gauge windows computed by a stream over the events.
+
+    Each micro-batch stores the windows it changed; reading takes the last state of each.
+    """
     work = scratch_dir(t.spark, "gauges")
     events = (
         t.spark.readStream.schema(t.events.schema)
@@ -428,15 +432,17 @@ def stream_gauges(t):
     )
     out = windowed_gauges(events, "ts", "value", "1 day", "1 hour", ("event_type",))
     query_ = (
-        out.writeStream.outputMode("complete")
+        out.writeStream.outputMode("update")
         .option("checkpointLocation", f"{work}/state")
         .trigger(availableNow=True)
-        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{work}/out"))
+        .foreachBatch(lambda df, i: sinks.append_batch(df, f"{work}/out", i))
         .start()
     )
     query_.awaitTermination()
-    stored = t.spark.read.parquet(f"{work}/out")
-    return stored.select(
+    kept = ("samples", "avg_value", "peak_value", "stddev_value")
+    last = F.max_by(F.struct(*kept), "batch_id").alias("last")
+    stored = t.spark.read.parquet(f"{work}/out").groupBy("window_start", "event_type").agg(last)
+    return stored.select("window_start", "event_type", "last.*").select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "samples",
         F.round("avg_value", 9).alias("avg_value"), "peak_value",
         F.round("stddev_value", 9).alias("stddev_value"),

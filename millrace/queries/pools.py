@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..operators import requests as R
-from ..operators import sampling
+from ..operators import ranking, sampling
 from ..plans.benchmark import benchmark_requests
 from ..session import scratch_dir
 from ..sources import jsonl
@@ -133,6 +133,20 @@ def batch_chunks(t):
     )
 
 
+@query(
+    "sparse_numbers",
+    """
+    SELECT spread, row_number() OVER (ORDER BY spread) - 1 AS row_number, (SELECT count(*) FROM events) AS total
+    FROM (SELECT event_id * 7919000003 % 1099511627689 AS spread FROM events)
+    """,
+)
+def sparse_numbers(t):
+    """Row numbers in the order of numbers that lie far apart."""
+    spread = F.col("event_id") * F.lit(7919000003) % F.lit(1099511627689)
+    rows = ranking.number_rows(t.events.select(spread.alias("spread")), "spread")
+    return rows.select("spread", "row_number", F.col("_total").alias("total"))
+
+
 _LANGS = ("en", "de", "fr", "es")
 
 
