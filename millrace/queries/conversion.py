@@ -340,6 +340,13 @@ def conversion_report(t):
 )
 def json_documents(t):
     """Documents holding a list, an object, a bare string or broken text."""
+    return _order_documents(t).select(
+        F.col("source_file").cast("bigint").alias("o_orderkey"), F.col("seq.pos").alias("pos"),
+        F.try_variant_get("item", "$.label", "string").alias("label"), "error",
+    )
+
+
+def _order_documents(t):
     key, label = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
     item = F.concat(F.lit('{"label":"'), label, F.lit('"}'))
     text = (
@@ -348,11 +355,26 @@ def json_documents(t):
         .when(F.col("o_orderkey") % 2 == 0, F.concat(item, F.lit(" trailing")))
         .otherwise(F.concat(F.lit('"'), label, F.lit('"')))
     )
-    items = jsonl.json_items(t.orders.select(key.alias("source_file"), text.alias("value")))
-    return items.select(
-        F.col("source_file").cast("bigint").alias("o_orderkey"), F.col("seq.pos").alias("pos"),
-        F.try_variant_get("item", "$.label", "string").alias("label"), "error",
-    )
+    return jsonl.json_items(t.orders.select(key.alias("source_file"), text.alias("value")))
+
+
+@query(
+    "json_report",
+    """
+    SELECT o_orderkey, o_orderstatus <> 'P' AS success,
+      CASE WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'JSON decode error'
+        ELSE 'Unsupported JSON format: string' END END AS error,
+      CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS total_items,
+      CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS successful_conversions,
+      0 AS failed_conversions
+    FROM orders
+    """,
+)
+def json_report(t):
+    """What became of each document: an unusable one fails and counts no items."""
+    items = _order_documents(t)
+    report = reports.document_report(items, I.convert_items(items.where("error IS NULL"), model="small"))
+    return report.select(F.col("source_file").cast("bigint").alias("o_orderkey"), *report.columns[1:])
 
 
 _PAGE_PATH = """'/site/' || CASE page_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'build' ELSE 'fr' END || '/'
