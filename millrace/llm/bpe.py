@@ -31,8 +31,9 @@ from .common import store, string_column, text_slices, utf8_buffer
 
 #: At most so many words are compiled, which bounds the automaton to a few megabytes.
 LEXICON_WORDS = 1 << 17
-#: Pieces one task counts, or remembers after merging them, before it starts anew.
-REMEMBERED = 1 << 19
+#: Pieces one task counts, and words it remembers after merging them, before it starts anew.
+COUNTED = 1 << 18
+REMEMBERED = 1 << 17
 ROWS_AT_ONCE = 500
 
 
@@ -45,7 +46,11 @@ def byte_letters() -> list[str]:
 
 
 class Merger:
-    """Exact encoding of one piece by the merge ranks of a vocabulary with word ends."""
+    """Exact encoding of pieces by the merge ranks of a vocabulary with word ends.
+
+    Words are merged together, one merge of each in a step: pairs of adjacent symbols are looked up in a
+    sorted table of all merges, and every word merges its pair of the least rank.
+    """
 
     ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -54,46 +59,84 @@ class Merger:
         model = parsed["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {tuple(p): i for i, p in enumerate(pairs)}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         self.find_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         library = Tokenizer.from_str(vocabulary)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.to_letters = {b: letters[b] for b in range(128)}
         self.known: dict[str, list[int]] = {}
-
-    def encode(self, piece: str) -> list[int]:
-        if not self.find_special or not self.find_special.search(piece):
-            return self._plain(piece)
-        ids = []
+        # ids of each letter inside and at the end of a word, by code point
+        self.inside, self.last = (np.full(512, -1, np.int64) for _ in range(2))
+        for letter in letters:
+            self.inside[ord(letter)] = self.ids.get(letter, -1)
+            self.last[ord(letter)] = self.ids.get(letter + self.end, -1)
+        if min(x[[ord(c) for c in letters]].min() for x in (self.inside, self.last)) < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        size = max(self.ids.values()) + 1
+        keys = np.array([self.ids[a] * size + self.ids[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.size, self.keys, self.rank = size, keys[order], order
+        self.merged = np.array([self.ids[a + b] for a, b in pairs], np.int64)[order]
+
+    def encode(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each piece; pieces hold no ASCII white space."""
+        parts = [self._parts(p) for p in pieces]
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        fresh = list({w for words in parts for w in words if isinstance(w, str) and w not in self.known})
+        self.known.update(zip(fresh, self._merge(fresh)))
+        known = self.known
+        return [[i for w in words for i in ((w,) if isinstance(w, int) else known[w])] for words in parts]
+
+    def _parts(self, piece: str) -> list[str | int]:
+        """The words of a piece in byte letters; special tokens are their ids already."""
+        if self.find_special is None or not self.find_special.search(piece):
+            return self._words(piece)
+        found: list[str | int] = []
         for part in self.find_special.split(piece):
-            ids += [self.special[part]] if part in self.special else self._plain(part)
-        return ids
+            found += [self.special[part]] if part in self.special else self._words(part)
+        return found
 
-    def _plain(self, text: str) -> list[int]:
+    def _words(self, text: str) -> list[str]:
         if text.isascii():
-            parts = ("".join(self.letters[b] for b in p.encode()) for p in self.ASCII_PARTS.findall(text.lower()))
-        else:  # composition, case and letter classes of other scripts come from the library's tables
-            parts = (w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)))
-        return [i for p in parts for i in self._merge(p)]
-
-    def _merge(self, word: str) -> list[int]:
-        if not word:
-            return []
-        done = self.known.get(word)
-        if done is None:
-            symbols = [*word[:-1], word[-1] + self.end]
-            while len(symbols) > 1:
-                rank, at = min((self.ranks.get(p, len(self.ranks)), k) for k, p in enumerate(zip(symbols, symbols[1:])))
-                if rank == len(self.ranks):
-                    break
-                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-            done = [self.ids[s] for s in symbols if s in self.ids]
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = done
-        return done
+            words = self.ASCII_PARTS.findall(text.lower())
+            return words if text.isprintable() else [w.translate(self.to_letters) for w in words]
+        # composition, case and letter classes of other scripts come from the library's tables
+        return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)) if w]
+
+    def _merge(self, words: list[str]) -> list[list[int]]:
+        done: list[list[int]] = [[]] * len(words)
+        if not words:
+            return done
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        ends = np.append(owner[1:] != owner[:-1], True)
+        symbol = np.where(ends, self.last[points], self.inside[points])
+        while True:
+            same = owner[1:] == owner[:-1]
+            key = symbol[:-1] * self.size + symbol[1:]
+            at = np.searchsorted(self.keys, key)
+            at[at == len(self.keys)] = 0
+            can = same & (self.keys[at] == key) if len(self.keys) else np.zeros(len(key), bool)
+            rank = np.append(np.where(can, self.rank[at] if len(self.keys) else 0, len(self.keys)), len(self.keys))
+            first = np.flatnonzero(np.append(True, ~same))
+            best = np.minimum.reduceat(rank, first)
+            finished = best == len(self.keys)
+            bounds = np.append(first, len(symbol)).tolist()
+            for k in np.flatnonzero(finished).tolist():
+                done[owner[bounds[k]]] = symbol[bounds[k] : bounds[k + 1]].tolist()
+            if finished.all():
+                return done
+            length = np.diff(bounds)
+            wanted = np.repeat(best, length)
+            hit = np.flatnonzero((rank == wanted) & (rank < len(self.keys)))
+            hit = hit[np.append(True, owner[hit[1:]] != owner[hit[:-1]])]  # the leftmost of each word
+            symbol[hit] = self.merged[at[hit]]
+            stay = np.repeat(~finished, length)
+            stay[hit + 1] = False
+            symbol, owner = symbol[stay], owner[stay]
 
 
 class Lexicon:
@@ -222,7 +265,7 @@ def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             codes, distinct, _ = _pieces(some)
             for piece, n in zip(distinct.to_pylist(), np.bincount(codes, minlength=len(distinct)).tolist()):
                 total[piece] += n
-            if len(total) >= REMEMBERED:
+            if len(total) >= COUNTED:
                 yield out()
                 total.clear()
     yield out()
@@ -267,7 +310,7 @@ def encode(
     """
     merger = Merger(vocabulary)
     frequent = frequent_pieces(docs, lexicon_words, text_column)
-    packed = Lexicon.compile({p.encode(): merger.encode(p) for p in frequent})
+    packed = Lexicon.compile(dict(zip((p.encode() for p in frequent), merger.encode(frequent))))
     sent = docs.sparkSession.sparkContext.broadcast((packed, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +333,7 @@ def _encode(texts: pa.Array, lexicon: Lexicon, merger: Merger) -> tuple[np.ndarr
     codes, distinct, bounds = _pieces(texts)
     place = lexicon.find(*utf8_buffer(distinct))
     unseen = np.flatnonzero(place < 0)
-    merged = [merger.encode(p) for p in distinct.take(pa.array(unseen)).to_pylist()]
+    merged = merger.encode(distinct.take(pa.array(unseen)).to_pylist())
     # ids of the unseen pieces go behind the lexicon's pool
     pool = np.concatenate([lexicon.ids, np.array([i for x in merged for i in x], np.int32)])
     first, length = np.empty(len(place), np.int64), np.empty(len(place), np.int64)

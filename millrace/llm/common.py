@@ -42,7 +42,7 @@ def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
-def text_slices(texts: pa.Array, rows: int = 500, size: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def text_slices(texts: pa.Array, rows: int = 500, size: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Cut a large-string array into (first row, slice) of few rows and, unless one text is longer, few bytes."""
     bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     start = 0
@@ -58,6 +58,7 @@ def string_column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
 
     The copy matters: Arrow's string kernels read slices that were cast at a wrong place.
     """
+    pa.default_memory_pool().release_unused()  # what the batch before has freed
     column = batch.column(name)
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
