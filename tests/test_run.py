@@ -239,3 +239,35 @@ def test_hooks_of_a_processor(spark, tmp_path):
     assert (row.failed_requests, row.output_tokens_avg, row.retry_count_total) == (1, 1.0, 0)
     results = json.loads("".join(p.read_text() for p in sorted((tmp_path / "list").glob("part-*"))))
     assert [r.get("error") for r in results] == ["input refused by validate_input", None]
+
+
+def test_finished_slices_are_not_called_again(spark, tmp_path):
+    requests = items(spark, [chat(f"text {i}") for i in range(40)])
+    out = str(tmp_path / "sliced")
+    first = run_batch(spark, requests, out, MODEL, Echo, slices=3, concurrency=4, retry_delay=0.0)
+    before = {r.custom_id: str(r.output) for r in first.results.collect()}
+    assert len(before) == 40 and first.metrics.first()["total_requests"] == 40
+
+    def broken():
+        raise RuntimeError("no calls are left to make")
+
+    again = run_batch(spark, requests, out, MODEL, broken, slices=3, warm=False)
+    assert {r.custom_id: str(r.output) for r in again.results.collect()} == before
+
+
+def test_folder_of_parts_reads_like_one_file(spark, tmp_path):
+    line = F.concat(F.lit('{"input":{"custom_id":"'), "id", F.lit('"},"metadata":{"retry_count":1},"error":"x,]["}'))
+    results = RS.result_from_json(spark.range(0, 500, 1, 6).select(F.col("id").alias("seq"), line.alias("line")))
+    for name, write in (
+        ("envelope", lambda p: sinks.write_envelope(results, {"run_metrics": {"a": 1}, "gpu_metrics": {"b": {"c": 2}}}, p)),
+        ("list", lambda p: sinks.write_results(results, p)),
+        ("none", lambda p: sinks.write_envelope(results.limit(0), {"run_metrics": {"a": 1}}, p)),
+    ):
+        folder = str(tmp_path / name)
+        write(folder)
+        rows, maps = RS.read_run_file(spark, folder)
+        ids = {r[0] for r in rows.select(F.variant_get(F.col("input")["custom_id"], "$", "string")).collect()}
+        assert ids == ({str(i) for i in range(500)} if name != "none" else set())
+        found = maps.first()
+        assert found.run_metrics == ({"a": "1"} if name != "list" else {})
+        assert found.gpu_metrics == ({"b": '{"c":2}'} if name == "envelope" else {})
