@@ -32,7 +32,9 @@ ROUNDS = 3
 #: Probability at which a view's label is taken over by the other view.
 CONFIDENT = 0.97
 #: A feature is used if that many documents have it and its share of bad ones is that unusual.
-MIN_DOCUMENTS, MIN_DEVIATIONS, MAX_FEATURES = 5, 5.0, 4000
+MIN_DOCUMENTS, MIN_DEVIATIONS, MAX_FEATURES = 5, 5.0, 2000
+#: Text features that reach the fit at all.
+CANDIDATES = 5_000
 RIDGE = 1e-4
 STRINGS, NUMBERS = ("source", "lang"), ("n_chars",)
 
@@ -167,7 +169,7 @@ class View:
         step = 4 * len(bad) / np.maximum(np.bincount(column, width[row], minlength=len(chosen)), 1)
         bias_step = 4 * len(bad) / width.sum()
         ahead, ahead_bias, momentum = weights.copy(), bias, 1.0
-        for _ in range(300):
+        for _ in range(200):
             margin = np.bincount(row, ahead[column], minlength=len(bad)) + ahead_bias
             error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - bad) / len(bad)
             new = ahead - step * (np.bincount(column, error[row], minlength=len(chosen)) + RIDGE * ahead)
@@ -278,21 +280,23 @@ def train(
     others = ids.join(known, "_id", "left_anti").orderBy(order).limit(pool).withColumn("_bad", F.lit(-1))
     picked = store(some.union(others), "picked")
 
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), *_with_metadata(docs, text_column, strings, numbers))
+    # the picked ids are bounded by the two parameters
+    rows = rows.join(F.broadcast(picked), "_id")
+    telling = _telling_features(rows.filter("_bad >= 0").select("_bad", "_text"), picked)
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             metadata = metadata_features(batch, strings, numbers)
             for start, texts in text_slices(string_column(batch, "_text")):
-                value, bounds = text_features(texts)
+                value, bounds = text_features(texts, telling)
                 columns = [batch.column(c).slice(start, len(texts)) for c in ("_id", "_bad")]
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value))
                 columns += [lists, pa.array(metadata[start : start + len(texts)], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["_id", "_bad", "words", "metadata"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), *_with_metadata(docs, text_column, strings, numbers))
-    # the picked ids are bounded by the two parameters
     sample = (
-        rows.join(F.broadcast(picked), "_id")
-        .select("_id", "_bad", *(c for c in rows.columns if c != "_id"))
+        rows.select("_id", "_bad", *(c for c in rows.columns if c not in ("_id", "_bad")))
         .mapInArrow(features, "_id long, _bad int, words array<long>, metadata array<long>")
         .toArrow()
         .combine_chunks()
@@ -311,6 +315,35 @@ def train(
     return CoTrained.fit(*views, label)
 
 
+def _telling_features(labelled: DataFrame, picked: DataFrame) -> dict[int, int]:
+    """The ``CANDIDATES`` text features that depart most from the labels' share, each mapped to itself."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = batch.column("_bad").to_numpy()
+            for start, texts in text_slices(string_column(batch, "_text")):
+                value, bounds = text_features(texts)
+                names, number = np.unique(value, return_inverse=True)
+                weight = np.repeat(bad[start : start + len(texts)], np.diff(bounds))
+                counts = [np.bincount(number, w, minlength=len(names)).astype(np.int64) for w in (None, weight)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (names, *counts))], names=["feature", "n", "n_bad"])
+
+    share = picked.filter("_bad >= 0").agg(F.avg("_bad")).first()[0] or 0.0
+    spread = max(share * (1 - share), 1e-9)
+    deviation = F.abs(F.col("n_bad") - F.col("n") * share) / F.sqrt(F.col("n") * spread)
+    chosen = (
+        labelled.mapInArrow(tally, "feature long, n long, n_bad long")
+        .groupBy("feature")
+        .agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+        .filter(F.col("n") >= MIN_DOCUMENTS)
+        .withColumn("deviation", deviation)
+        .filter(F.col("deviation") >= MIN_DEVIATIONS / 2)
+        .orderBy(F.desc("deviation"), "feature")
+        .limit(CANDIDATES)
+    )
+    return {r["feature"]: r["feature"] for r in chosen.select("feature").collect()}
+
+
 def classify(
     docs: DataFrame,
     model: CoTrained | None,
