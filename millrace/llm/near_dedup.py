@@ -280,11 +280,19 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
             .select("bucket", "h.hub_node", "h.hub_n", "h.hub_root", "h.hub_reach"),
             "hubs",
         )
+        asked, once = members, F.lit(True)
+        if hubs_each > 1:
+            # the best members lead in many buckets: a pair is proposed in the first where it could be
+            led = hubs.groupBy("hub_node").agg(F.collect_set("bucket").alias("led"))
+            inside = members.groupBy("node").agg(F.collect_set("bucket").alias("inside"))  # BANDS at most
+            asked, hubs = members.join(inside, "node"), hubs.join(led, "hub_node")
+            once = F.array_min(F.array_intersect("inside", "led")) == F.col("bucket")
         # what both sets may have in common rules out most pairs before their sets are compared
         pairs = (
-            members.join(hubs, "bucket")
+            asked.join(hubs, "bucket")
             .filter(
-                (F.col("node") != F.col("hub_node"))
+                once
+                & (F.col("node") != F.col("hub_node"))
                 & (F.col("root") != F.col("hub_root"))
                 & ((100 + percent) * F.least("reach", "hub_reach") >= percent * (F.col("n") + F.col("hub_n")))
             )
