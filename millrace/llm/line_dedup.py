@@ -32,11 +32,20 @@ def _tokens(line: Column) -> Column:
     # a token with a digit in it; the first part takes no digits, so nothing is tried twice
     number = r"[^\x20\t\x0B\f\r0-9]*+[0-9][^\x20\t\x0B\f\r]*+"
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, number, FIELD)).otherwise(line)
-    return F.split(F.regexp_replace(masked, f"^{SPACES}|{SPACES}$", ""), SPACES)
+    return F.split(F.btrim(masked, F.lit(" \t\x0b\f\r")), SPACES)
 
 
-def _xor(hashes: Column) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+def _templates(tokens: Column) -> Column:
+    """The hash of all tokens and, for a long line, those of all but one stretch of the tail."""
+    n = F.size(tokens)
+    # stretch k is tokens LEADING + k * tail / STRETCHES up to the next stretch
+    cuts = [(F.floor((n - LEADING) * k / STRETCHES) + LEADING).cast("int") for k in range(STRETCHES + 1)]
+    open_ = [
+        F.xxhash64(F.lit(k), n, F.slice(tokens, 1, cuts[k]), F.slice(tokens, cuts[k + 1] + 1, n))
+        for k in range(STRETCHES)
+    ]
+    whole = F.array(F.xxhash64(F.lit(-1), tokens))
+    return F.when(n >= MIN_OPEN_TOKENS, F.concat(whole, F.array(*open_))).otherwise(whole)
 
 
 def lines_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -53,43 +62,13 @@ def lines_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     parsed = lines.select("doc_id", "text_hash", "pos", _tokens(F.col("line")).alias("tokens")).filter(
         F.size("tokens") >= MIN_TOKENS
     )
-    n = F.size("tokens")
-    tail = n - LEADING
-    placed = parsed.select(
-        "doc_id",
-        "text_hash",
-        "pos",
-        n.alias("n"),
-        F.xxhash64(n, F.slice("tokens", 1, LEADING)).alias("leaf"),
-        F.transform("tokens", lambda t, i: F.xxhash64(t, i)).alias("hashes"),
-        # stretch k is tokens LEADING + k * tail / STRETCHES up to the next stretch
-        F.transform(
-            F.sequence(F.lit(0), F.lit(STRETCHES)), lambda k: (F.floor(k * tail / STRETCHES) + LEADING).cast("int")
-        ).alias("cuts"),
-    )
-    whole = placed.withColumn("whole", _xor(F.col("hashes"))).withColumn(
-        "stretches",
-        F.when(
-            F.col("n") >= MIN_OPEN_TOKENS,
-            F.transform(
-                F.sequence(F.lit(0), F.lit(STRETCHES - 1)),
-                lambda k: F.xxhash64(
-                    F.col("whole").bitwiseXOR(
-                        _xor(F.slice("hashes", F.get("cuts", k) + 1, F.get("cuts", k + 1) - F.get("cuts", k)))
-                    ),
-                    "n",
-                    k,
-                ),
-            ),
-        ).otherwise(F.array().cast("array<long>")),
-    )
     return store(
-        whole.select(
+        parsed.select(
             "doc_id",
             "text_hash",
             "pos",
-            "leaf",
-            F.concat(F.array(F.xxhash64("whole", "n")), "stretches").alias("templates"),
+            F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"),
+            _templates(F.col("tokens")).alias("templates"),
         ),
         "lines",
     )
