@@ -39,15 +39,19 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -
     """
     configure(spark)
     judged = near_dedup.near_duplicates(docs, percent=SIMILAR)
-    gone = judged.filter("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
-    ids = left.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null")
+    gone = judged.filter("not kept").select("doc_id").distinct()
+    left = _by_id(docs, gone, "left_anti")
+    ids = left.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
     if ids.isEmpty():
         return left
     # of rows that repeat an id, equal texts are copies; their ids are few unless the table is a mixture
-    again = left.join(ids.select(F.col("doc_id").alias("_again_id")), F.col("doc_id") == F.col("_again_id"))
-    single = left.join(ids.select(F.col("doc_id").alias("_again_id")), F.col("doc_id") == F.col("_again_id"), "left_anti")
-    return single.unionByName(again.drop("_again_id").dropDuplicates(["doc_id", "text"]))
+    again = _by_id(left, ids, "left_semi").dropDuplicates(["doc_id", "text"])
+    return _by_id(left, ids, "left_anti").unionByName(again)
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join whose names cannot clash with columns of ``docs``."""
+    return docs.alias("_docs").join(ids.alias("_ids"), F.col("_docs.doc_id") == F.col("_ids.doc_id"), how)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
