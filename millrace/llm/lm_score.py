@@ -7,9 +7,11 @@ was not seen there, an escape (method C: as likely as the number of distinct sym
 next shorter context, where the symbols of the longer one are excluded. Below order 0 all symbols
 left are equally likely. Every text ends with a symbol of its own, so the scores are probabilities of whole texts.
 
-A node stays in the trie when its count reaches the share ``MIN_SHARE`` of all training symbols (one occurrence
-at least). At most 1 / MIN_SHARE nodes of an order can reach it, which bounds what is sent to the
-tasks at any size of the corpus; pruned symbols are reached by escapes, whose estimate grows by their count.
+The trie is a set of tables, one of the nodes of each order, and no node is left out at any size of the corpus.
+The probabilities of the most frequent nodes are sent to the tasks; the distinct grams of the texts that
+are not among them are looked up by joins, order by order, and summed per text.
+A caller may prune instead: nodes below a share of all training symbols are dropped, the rest is sent
+as a whole, and pruned symbols are reached by escapes, whose estimate grows by their count.
 
 The word baseline needs the counts of all words. The frequent ones are sent to the tasks, the
 rest of each text is joined with the counts.
@@ -32,8 +34,8 @@ ORDER = 5
 #: Codes: 256 bytes and the end of a text, which also stands before its start.
 END, SYMBOLS, BITS = 256, 257, 9
 MASK = (1 << BITS) - 1
-#: Share of the training symbols from which a node is kept; its inverse bounds the nodes of an order.
-MIN_SHARE = 2.0**-22
+#: Grams whose probabilities are sent to the tasks, at most.
+HEAD_GRAMS = 1 << 21
 #: Words whose counts are sent to the tasks, at most.
 HEAD_WORDS = 1 << 18
 #: Rows one task gathers before it passes them on.
@@ -214,8 +216,8 @@ def counts_of(docs: DataFrame, training: Column, text_column: str = "text") -> D
     )
 
 
-def fit(counts: DataFrame, min_share: float = MIN_SHARE) -> Trie:
-    """The trie of the nodes that reach ``min_share`` of the training symbols."""
+def fit(counts: DataFrame, min_share: float) -> Trie:
+    """The trie of the nodes that reach ``min_share`` of the training symbols; its inverse bounds those of an order."""
     grams = counts.filter("gram is not null")
     total = float(grams.agg(F.sum("n")).first()[0] or 0)
     least = max(1.0, total * min_share)
@@ -238,16 +240,92 @@ def fit(counts: DataFrame, min_share: float = MIN_SHARE) -> Trie:
     return Trie([(key[order == j], n[order == j]) for j in range(ORDER + 1)], total)
 
 
-def _head(words: DataFrame, limit: int) -> list:
-    """(word, n) of the words above the count at which no more than ``limit`` remain."""
+def _head(counted: DataFrame, limit: int) -> DataFrame:
+    """The rows above the count ``n`` at which no more than ``limit`` remain."""
     step = F.floor(F.log2("n") * 20).cast("int")
     total, least = 0, None
-    for row in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), reverse=True):
+    for row in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), reverse=True):
         total += row["k"]
         if total > limit:
             break
         least = row["step"]
-    return [] if least is None else words.filter(step >= least).select("word", "n").collect()
+    return counted.filter(F.lit(False) if least is None else step >= least)
+
+
+def known_grams(counts: DataFrame) -> DataFrame:
+    """gram, n, log_p of every gram of the training texts: each is coded in its longest context. Stored."""
+    grams = counts.filter("gram is not null").select("gram", "n", F.shiftright("gram", BITS).alias("context"))
+    contexts = grams.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    log_p = F.log10("n") - F.log10(F.col("total") + F.col("kinds"))
+    return store(grams.join(contexts, "context").select("gram", "n", log_p.alias("log_p")), "known")
+
+
+def _last(gram: str, symbols: int) -> Column:
+    return F.col(gram).bitwiseAND((1 << (BITS * symbols)) - 1)
+
+
+def unseen_grams(known: DataFrame, unseen: DataFrame) -> DataFrame:
+    """gram, log_p of distinct grams that the training texts do not have, by escapes through all nodes."""
+    nodes = [known.select(F.col("gram").alias("key"), "n")]
+    for j in range(ORDER - 1, -1, -1):
+        nodes.insert(0, store(nodes[0].groupBy(_last("key", j + 1).alias("key")).agg(F.sum("n").alias("n")), "nodes"))
+    left = SYMBOLS - nodes[0].count()
+    done = []
+    # without: the occurrences and the number of the symbols excluded by the context one longer
+    todo = unseen.select("gram", *(F.lit(0).cast(t).alias(c) for c, t in (("log_p", "double"), ("without", "long"), ("without_kinds", "long"))))
+    for j in range(ORDER, -1, -1):
+        todo = todo.withColumn("key", _last("gram", j + 1)).withColumn("context", F.shiftright("key", BITS))
+        inside = nodes[j].withColumn("context", F.shiftright("key", BITS)).join(todo.select("context").distinct(), "context", "left_semi")
+        if j:
+            shorter = nodes[j - 1].select(F.col("key").alias("short"), F.col("n").alias("n_short"))
+            inside = inside.withColumn("short", _last("key", j)).join(shorter, "short")
+        else:
+            inside = inside.withColumn("n_short", F.lit(0))
+        contexts = inside.groupBy("context").agg(
+            F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("n_short").alias("n_short")
+        )
+        own = nodes[j]
+        if j < 2:  # at most SYMBOLS ** 2 rows, which all grams ask for
+            contexts, own = F.broadcast(contexts), F.broadcast(own)
+        escape = F.col("kinds") - F.col("without_kinds") if j or left else F.lit(0)
+        whole = F.col("total") - F.col("without") + escape
+        step = (
+            F.when(F.col("total").isNull() | (whole == 0), F.lit(0.0))
+            .when(F.col("n").isNotNull(), F.log10("n") - F.log10(whole))
+            .otherwise(F.log10(escape) - F.log10(whole))
+        )
+        met = store(
+            todo.join(contexts, "context", "left")
+            .join(own, "key", "left")
+            .select(
+                "gram",
+                (F.col("log_p") + step).alias("log_p"),
+                F.coalesce("n_short", F.lit(0)).cast("long").alias("without"),
+                F.coalesce("kinds", F.lit(0)).cast("long").alias("without_kinds"),
+                F.col("n").isNotNull().alias("found"),
+            ),
+            "met",
+        )
+        done.append(met.filter("found").select("gram", "log_p"))
+        todo = met.filter("not found").drop("found")
+    result = todo.select("gram", (F.col("log_p") - F.lit(float(np.log10(max(left, 1))))).alias("log_p"))
+    for part in done:
+        result = result.union(part)
+    return result
+
+
+class Head:
+    """The probabilities of the most frequent grams."""
+
+    def __init__(self, known: pa.Table):
+        grams = known.column("gram").to_numpy()
+        sort = np.argsort(grams)
+        self.grams, self.log_p = grams[sort], known.column("log_p").to_numpy()[sort]
+
+    def log10(self, grams: np.ndarray) -> np.ndarray:
+        """log10 P of each gram; NaN for those to be looked up."""
+        at, found = Trie._find(self.grams, grams)
+        return np.where(found, self.log_p[at] if len(self.grams) else 0, np.nan)
 
 
 def score(
@@ -256,7 +334,8 @@ def score(
     id_column: str = "doc_id",
     text_column: str = "text",
     head_words: int = HEAD_WORDS,
-    min_share: float = MIN_SHARE,
+    min_share: float | None = None,
+    head_grams: int = HEAD_GRAMS,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -265,6 +344,8 @@ def score(
     ``base_score`` is that of the words and the end under the smoothed word counts. A null or blank
     text is an end alone. Without training rows every symbol and word is unseen. Repeated rows
     count and are scored each; an empty table gives no rows. Only the two named columns are read.
+    All nodes count unless ``min_share`` is given: then only those with that share of the training
+    symbols. ``head_words`` and ``head_grams`` bound what is sent to the tasks and change no result.
     """
     training = ~held_out(id_column) if training is None else training
     counts = counts_of(docs, training, text_column)
@@ -274,17 +355,22 @@ def score(
     total, kinds = (tally["n"] or 0) + ends, tally["kinds"] + (ends > 0)
     below = float(np.log10(total + SMOOTHING * (kinds + 1)))
     end = (float(np.log10(ends + SMOOTHING)), int(ends > 0))
+    known = known_grams(counts) if min_share is None else None
+    model = fit(counts, min_share) if known is None else Head(_head(known, head_grams).select("gram", "log_p").toArrow())
     sent = docs.sparkSession.sparkContext.broadcast(
-        (fit(counts, min_share), {r["word"]: r["n"] for r in _head(words, head_words)})
+        (model, {r["word"]: r["n"] for r in _head(words, head_words).select("word", "n").collect()})
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, head = sent.value
+        model, head = sent.value
         for batch in batches:
             for start, texts in text_slices(string_column(batch, "text")):
-                yield _score(texts, batch.slice(start, len(texts)), trie, head, end)
+                yield _score(texts, batch.slice(start, len(texts)), model, head, end)
 
-    schema = "doc_id long, row long, n_tokens long, n_head long, head_sum double, score double, rest array<struct<word:string,n:long>>"
+    schema = (
+        "doc_id long, row long, n_tokens long, n_head long, head_sum double, score double, "
+        "rest array<struct<word:string,n:long>>, grams array<struct<gram:long,n:long>>"
+    )
     rows = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
@@ -301,33 +387,55 @@ def score(
             F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_rest"),
         )
     )
+    score = F.col("score")
+    if known is not None:
+        looked_up = scored.select("row", F.explode("grams").alias("g")).select("row", "g.gram", F.col("g.n").alias("times"))
+        asked = store(looked_up.select("gram").distinct().join(known.select("gram", "log_p"), "gram", "left"), "asked")
+        log_p = asked.filter("log_p is not null")
+        unseen = asked.filter("log_p is null").select("gram")
+        if not unseen.isEmpty():
+            log_p = log_p.union(unseen_grams(known, unseen))
+        sums = looked_up.join(log_p, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log_p")).alias("gram_sum"))
+        scored = scored.join(sums, "row", "left")
+        score = score + F.coalesce("gram_sum", F.lit(0.0))
     return scored.join(rest, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_head") + F.coalesce("n_rest", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)).alias("base_score"),
-        "score",
+        score.alias("score"),
     )
 
 
-def _score(texts: pa.Array, rows: pa.RecordBatch, trie: Trie, head: dict[str, int], end: tuple[float, int]) -> pa.RecordBatch:
+def _lists(owner: np.ndarray, codes: np.ndarray, n_texts: int, kinds: int) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """The bounds of each text's distinct codes, these codes, and how often each stands in it."""
+    pairs, times = np.unique(owner * np.int64(max(kinds, 1)) + codes, return_counts=True)
+    bounds = np.searchsorted(pairs, np.arange(n_texts + 1) * np.int64(max(kinds, 1)))
+    return pa.array(bounds, pa.int32()), pairs % max(kinds, 1), pa.array(times, pa.int64())
+
+
+def _score(
+    texts: pa.Array, rows: pa.RecordBatch, model: Trie | Head, head: dict[str, int], end: tuple[float, int]
+) -> pa.RecordBatch:
     codes, distinct, bounds = words_of(texts)
     grams, starts = grams_of(codes, distinct, bounds)
     coded = pa.array(grams).dictionary_encode()
-    each = trie.log10(coded.dictionary.to_numpy())[coded.indices.to_numpy()]
-    sums = np.add.reduceat(each, starts[:-1])  # a text has its end at least
+    indices, kinds = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    each = model.log10(kinds)[indices]
+    absent = np.isnan(each)
+    sums = np.add.reduceat(np.where(absent, 0, each), starts[:-1])  # a text has its end at least
+    symbol_owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+    gram_lists, gram, gram_times = _lists(symbol_owner[absent], indices[absent], len(texts), len(kinds))
+    asked = pa.StructArray.from_arrays([pa.array(kinds[gram], pa.int64()), gram_times], names=["gram", "n"])
     n = np.array([head.get(w, 0) for w in distinct.to_pylist()], np.int64)
     known = np.concatenate(([0], np.cumsum(n[codes] > 0)))
     logs = np.log10(np.maximum(n, 1) + SMOOTHING) * (n > 0)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     head_sum = np.bincount(owner, logs[codes], minlength=len(texts)) + end[0]
     outside = n[codes] == 0
-    pairs, times = np.unique(owner[outside] * np.int64(max(len(n), 1)) + codes[outside], return_counts=True)
-    lists = np.searchsorted(pairs, np.arange(len(texts) + 1) * np.int64(max(len(n), 1)))
-    rest = pa.StructArray.from_arrays(
-        [distinct.take(pa.array(pairs % max(len(n), 1))).cast(pa.string()), pa.array(times, pa.int64())], names=["word", "n"]
-    )
+    lists, word, times = _lists(owner[outside], codes[outside], len(texts), len(n))
+    rest = pa.StructArray.from_arrays([distinct.take(pa.array(word)).cast(pa.string()), times], names=["word", "n"])
     return pa.RecordBatch.from_arrays(
         [
             rows.column("doc_id"),
@@ -336,7 +444,8 @@ def _score(texts: pa.Array, rows: pa.RecordBatch, trie: Trie, head: dict[str, in
             pa.array(known[bounds[1:]] - known[bounds[:-1]] + end[1], pa.int64()),
             pa.array(head_sum),
             pa.array(sums),
-            pa.ListArray.from_arrays(pa.array(lists, pa.int32()), rest),
+            pa.ListArray.from_arrays(lists, rest),
+            pa.ListArray.from_arrays(gram_lists, asked),
         ],
-        names=["doc_id", "row", "n_tokens", "n_head", "head_sum", "score", "rest"],
+        names=["doc_id", "row", "n_tokens", "n_head", "head_sum", "score", "rest", "grams"],
     )

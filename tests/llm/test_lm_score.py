@@ -120,3 +120,40 @@ def test_no_training_rows_and_no_rows(spark):
     assert got[1].score == pytest.approx(-3 * math.log10(257)) and got[None].n_tokens == 1
     assert got[1].n_known == 0 and got[1].train_tokens == 0
     assert lm_score.score(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("head_grams", [0, 8, 1 << 21])
+def test_looked_up_grams_against_plain_model(spark, head_grams):
+    texts = TEXTS + ["cat hat xyz", "zzz \x7f the mat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = Plain(TEXTS[1:4] + TEXTS[5:])
+    got = lm_score.score(docs, F.col("doc_id").isin([1, 2, 3, 5, 6]), head_grams=head_grams).collect()
+    for r in got:
+        assert r.score == pytest.approx(plain.log10(texts[r.doc_id]), abs=1e-9)
+    assert len(got) == len(texts)
+
+
+def test_nodes_seen_once_count_in_a_large_corpus(spark):
+    """More than 2 ** 22 training symbols, where a share of 2 ** -22 would drop what is seen once."""
+    filler, many = "abcabcabd " * 5000, 90
+    rare = ["quick zebu", "the fjord"]
+    once = spark.createDataFrame(list(enumerate(rare)) + [(2, "quick fjord zebra")], "doc_id long, text string")
+    docs = spark.range(3, many + 3, 1, 8).select(F.col("id").alias("doc_id"), F.lit(filler).alias("text")).union(once)
+    seen = [Counter() for _ in range(K + 1)]
+    weights = [(filler, many)] + [(t, 1) for t in rare]
+    assert sum(len(symbols(t)) * n for t, n in weights) > 2**22
+    for text, n in weights:
+        s = [END] * K + symbols(text)
+        for j in range(K + 1):
+            for gram, times in Counter(tuple(s[i - j : i + 1]) for i in range(K, len(s))).items():
+                seen[j][gram] += n * times
+    plain = Plain([])
+    plain.seen = [defaultdict(dict) for _ in seen]
+    for level, grams in zip(plain.seen, seen):
+        for gram, n in grams.items():
+            level[gram[:-1]][gram[-1]] = n
+    plain.seen = [dict(level) for level in plain.seen]
+    plain.total = sum(seen[0].values())
+    got = {r.doc_id: r.score for r in lm_score.score(docs, F.col("doc_id") != 2, head_grams=16).collect()}
+    for i, text in enumerate([*rare, "quick fjord zebra"]):
+        assert got[i] == pytest.approx(plain.log10(text), abs=1e-9)
