@@ -34,13 +34,14 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, folder: str) -> D
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates.
 
-    Rows that repeat the id and the text of the one that stays are dropped too. Rows without an id
+    A document is known by its id and its text: of rows that share only an id each has its own verdict. Rows that repeat the id and the text of the one that stays are dropped too. Rows without an id
     cannot be named and stay.
     """
     configure(spark)
-    judged = near_dedup.near_duplicates(docs, percent=SIMILAR)
-    gone = judged.filter("not kept").select("doc_id").distinct()
-    left = _by_id(docs, gone, "left_anti")
+    judged = near_dedup.verdicts(docs, percent=SIMILAR)
+    gone = judged.filter("not kept").select("doc_id", "text_key").distinct().alias("_gone")
+    same = (F.col("_docs.doc_id") == F.col("_gone.doc_id")) & (near_dedup.text_key_of("_docs.text") == F.col("_gone.text_key"))
+    left = docs.alias("_docs").join(gone, same, "left_anti")
     ids = left.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
     if ids.isEmpty():
         return left

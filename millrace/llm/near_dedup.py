@@ -145,8 +145,9 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _text_key() -> F.Column:
-    return F.unhex(F.md5(text_of()))
+def text_key_of(text_column: str = "text") -> F.Column:
+    """The hash under which a text is known."""
+    return F.unhex(F.md5(text_of(text_column)))
 
 
 def fingerprints(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -155,7 +156,7 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
         F.col(id_column).cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
         F.col(text_column).alias("text"),
-    ).select("doc_id", "row", _text_key().alias("text_key"), "text")
+    ).select("doc_id", "row", text_key_of().alias("text_key"), "text")
     return store(
         rows.mapInArrow(
             _fingerprints,
@@ -184,7 +185,7 @@ def _picked_sets(docs: DataFrame, text_column: str, wanted: DataFrame) -> DataFr
     byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     texts = (
         docs.select(F.col(text_column).alias("text"))
-        .select(_text_key().alias("text_key"), "text")
+        .select(text_key_of().alias("text_key"), "text")
         .withColumn("bit", bit(F.col("text_key")))
         .withColumn("chunk", F.floor(F.col("bit") / CHUNK_BITS))
         .join(F.broadcast(bitmap), "chunk")  # at most FILTER_BITS / CHUNK_BITS rows of 4 kB
@@ -322,7 +323,12 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
 def near_duplicates(
     docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+    """doc_id, n_shingles, component_id, kept for every row; see ``verdicts``."""
+    return verdicts(docs, percent, id_column, text_column).drop("text_key")
+
+
+def verdicts(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, text_key (see ``text_key_of``), n_shingles, component_id, kept for every row.
 
     Texts are linked when 100 times the common shingles are at least ``percent`` times all of both;
     ``component_id`` is the smallest id reachable over links. A null or wordless text has no
@@ -366,10 +372,11 @@ def near_duplicates(
         labels = rooted.join(least, "root").select("set_key", "component_id")
     # a class of copies may hold much of the table; adaptive execution splits its rows
     return (
-        prints.select("doc_id", "n_shingles", "set_key")
+        prints.select("doc_id", "text_key", "n_shingles", "set_key")
         .join(labels, "set_key", "left")
         .select(
             "doc_id",
+            "text_key",
             "n_shingles",
             F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         )

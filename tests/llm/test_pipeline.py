@@ -56,3 +56,11 @@ def test_stages_take_empty_tables_and_odd_columns(spark):
             assert out.count() <= 1
     plan = corpus_pipeline.drop_recurring_lines(spark, docs, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_near_dedup_stage_judges_rows_of_one_id_by_their_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    unique = "the only copy of this text stands under an id used twice"
+    docs = spark.createDataFrame([(1, text), (3, text + " x"), (3, unique)], "doc_id long, text string")
+    out = corpus_pipeline.keep_one_of_near_copies(spark, docs, FOLDER)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, text), (3, unique)]
