@@ -3,7 +3,8 @@
 The tree has a fixed depth: a line descends by its number of tokens and then by its leading tokens, where
 tokens that hold digits count as a variable field. Leaves that only one document reaches need no
 further look. Inside a leaf a line offers several templates: itself with its number fields
-masked, and, if it is long enough, itself with one stretch of the remaining tokens left open. Lines
+masked, and, if it is long enough, itself with one stretch of the remaining tokens left open. A line that is
+mostly numbers, such as a row of a table, offers its exact tokens alone. Lines
 that differ in the fields of one stretch meet in the template that leaves it open. A template found
 in several documents is dropped from all of them but the first, so one copy of every passage stays.
 
@@ -24,6 +25,8 @@ LEADING = 3
 MIN_TOKENS = 3
 #: Lines with fewer tokens have no open stretch, so that most of a template is fixed.
 MIN_OPEN_TOKENS = 12
+#: Share of tokens without digits from which a line's numbers are fields; below it they are its content.
+MIN_FIXED = 0.5
 STRETCHES = 8
 SPACES = r"[\x20\t\x0B\f\r]+"
 
@@ -35,8 +38,11 @@ def _tokens(line: Column) -> Column:
     return F.split(F.btrim(masked, F.lit(" \t\x0b\f\r")), SPACES)
 
 
-def _templates(tokens: Column) -> Column:
-    """The hash of all tokens and, for a long line, those of all but one stretch of the tail."""
+def _templates(tokens: Column, line: Column) -> Column:
+    """The hash of all tokens and, for a long line, those of all but one stretch of the tail.
+
+    If too few tokens are fixed, only the hash of the tokens with their numbers.
+    """
     n = F.size(tokens)
     # stretch k is tokens LEADING + k * tail / STRETCHES up to the next stretch
     cuts = [(F.floor((n - LEADING) * k / STRETCHES) + LEADING).cast("int") for k in range(STRETCHES + 1)]
@@ -45,7 +51,13 @@ def _templates(tokens: Column) -> Column:
         for k in range(STRETCHES)
     ]
     whole = F.array(F.xxhash64(F.lit(-1), tokens))
-    return F.when(n >= MIN_OPEN_TOKENS, F.concat(whole, F.array(*open_))).otherwise(whole)
+    fixed = F.size(F.filter(tokens, lambda t: t != FIELD))
+    exact = F.array(F.xxhash64(F.lit(-2), F.split(F.btrim(line, F.lit(" \t\x0b\f\r")), SPACES)))
+    return (
+        F.when(fixed < MIN_FIXED * n, exact)
+        .when(n >= MIN_OPEN_TOKENS, F.concat(whole, F.array(*open_)))
+        .otherwise(whole)
+    )
 
 
 def lines_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -59,7 +71,7 @@ def lines_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         F.xxhash64(text).alias("text_hash"),
         F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"),
     ).filter("line <> ''")
-    parsed = lines.select("doc_id", "text_hash", "pos", _tokens(F.col("line")).alias("tokens")).filter(
+    parsed = lines.select("doc_id", "text_hash", "pos", "line", _tokens(F.col("line")).alias("tokens")).filter(
         F.size("tokens") >= MIN_TOKENS
     )
     return store(
@@ -68,7 +80,7 @@ def lines_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             "text_hash",
             "pos",
             F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"),
-            _templates(F.col("tokens")).alias("templates"),
+            _templates(F.col("tokens"), F.col("line")).alias("templates"),
         ),
         "lines",
     )

@@ -77,3 +77,15 @@ def test_repeated_rows_are_one_document_and_threshold(spark):
         got[r.doc_id].append(r.text)
     assert got == {1: [line, line], 2: [""], 3: [""]}
     assert {r._n_dropped for r in line_dedup.dedup_lines(docs, min_docs=4).collect()} == {0}
+
+
+def test_lines_of_numbers_meet_only_when_equal(spark):
+    long = " ".join(f"{i}.5" for i in range(20))
+    rows = [
+        (1, f"2021-01-03 14:22 17.5\nTotal 1 2 3\n{long}\nError 17 at node a7"),
+        (2, f"2021-01-04 09:10 3.25\nTotal 4 5 6\n{long}1\nError 18 at node a8"),
+        (3, f"2021-01-04  09:10 3.25\nTotal 7 8 9\n{long}"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: rows[0][1], 2: f"2021-01-04 09:10 3.25\nTotal 4 5 6\n{long}1", 3: "Total 7 8 9"}
