@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, line_dedup, lm_score, mixing, near_dedup, pii, quality, reshard
+from . import ann, bpe, exact_dedup, line_dedup, lm_score, mixing, near_dedup, phrases, pii, quality, reshard
 from .common import table
 
 #: Shards of the present layout and of the new one.
@@ -93,6 +93,11 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.withColumnsRenamed({"_copy": "copy", "_spot": "spot"})
 
 
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 strongest collocations of each language of ``documents``."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -132,5 +137,44 @@ SELECT *, ('0x' || substr(md5('order-17:' || coalesce(doc_id::VARCHAR, '') || ':
 FROM c
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_line_dedup, op4_near_dedup, op5_pii, op6_lm_score, op7_reshard, op8_quality, op9_nearest, op10_mixing)}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+g AS (
+  SELECT lang, 1 AS words, unnest(w) AS phrase FROM p
+  UNION ALL
+  SELECT lang, 2, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2])) FROM p WHERE len(w) > 1
+  UNION ALL
+  SELECT lang, 3, unnest(list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda x: x[1] || ' ' || x[2] || ' ' || x[3]))
+  FROM p WHERE len(w) > 2),
+f AS MATERIALIZED (
+  SELECT lang, words, phrase, count(*) AS n, string_split(phrase, ' ') AS w
+  FROM g GROUP BY lang, words, phrase HAVING count(*) >= 10),
+s AS (SELECT lang, count(*) AS n FROM g WHERE words = 1 GROUP BY lang),
+c AS (
+  SELECT lang, phrase, words, n AS a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM f WHERE words > 1)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.words, c.a, c.k, x.n AS l, y.n AS r,
+    (1000000::HUGEINT * c.a * c.a // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = rest),
+lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, inside, max(n) AS f
+  FROM (SELECT lang, n, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS inside FROM f WHERE words = 3)
+  GROUP BY lang, inside),
+ranked AS (
+  SELECT lowest.lang, phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest LEFT JOIN around ON around.lang = lowest.lang AND inside = phrase
+  WHERE f IS NULL OR 100 * f < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN s USING (lang) WHERE rank <= 2000
+"""
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_line_dedup, op4_near_dedup, op5_pii, op6_lm_score, op7_reshard, op8_quality, op9_nearest, op10_mixing, op12_phrases)}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL, "op12_phrases": OP12_SQL}
