@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, line_dedup, lm_score, mixing, near_dedup, phrases, pii, quality, reshard
+from . import ann, bpe, exact_dedup, line_dedup, lm_score, mixing, near_dedup, packing, phrases, pii, quality, reshard
 from .common import table
 
 #: Shards of the present layout and of the new one.
@@ -93,6 +95,20 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.withColumnsRenamed({"_copy": "copy", "_spot": "spot"})
 
 
+def byte_vocabulary() -> tuple[str, dict[bytes, int], str]:
+    """The byte-level vocabulary as JSON and as ranks, and its way to split."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        names = file.read()
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        pairs = [line.split() for line in file]
+    return names, {base64.b64decode(token): int(rank) for token, rank in pairs}, public_tokenizers.PATTERN
+
+
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text of ``documents`` in sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, folder, "documents"), *byte_vocabulary())
+
+
 def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
     """The 2000 strongest collocations of each language of ``documents``."""
     return phrases.collocations(table(spark, folder, "documents"))
@@ -176,5 +192,5 @@ ranked AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN s USING (lang) WHERE rank <= 2000
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_line_dedup, op4_near_dedup, op5_pii, op6_lm_score, op7_reshard, op8_quality, op9_nearest, op10_mixing, op12_phrases)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_line_dedup, op4_near_dedup, op5_pii, op6_lm_score, op7_reshard, op8_quality, op9_nearest, op10_mixing, op11_packing, op12_phrases)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL, "op12_phrases": OP12_SQL}
