@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..session import configure, scratch_dir
 
+#: Where the stored tables lie that may be deleted again.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
@@ -21,7 +25,17 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: later plans start from files any executor sees."""
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[stored] = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete what ``store`` wrote for these tables, once no later plan reads them."""
+    for df in stored:
+        spark, path = df.sparkSession, _paths.pop(df)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_of(name: str = "text") -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, line_dedup, lm_score, mixing, near_dedup, packing, phrases, pii, quality, reshard
+from . import ann, bpe, exact_dedup, line_dedup, lm_score, mixing, near_dedup, packing, phrases, pii, quality, reshard, vector_codes
 from .common import table
 
 #: Shards of the present layout and of the new one.
@@ -114,6 +114,11 @@ def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """``embeddings`` as four entry numbers each."""
+    return vector_codes.coded(table(spark, folder, "embeddings"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -192,5 +197,42 @@ ranked AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN s USING (lang) WHERE rank <= 2000
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_line_dedup, op4_near_dedup, op5_pii, op6_lm_score, op7_reshard, op8_quality, op9_nearest, op10_mixing, op11_packing, op12_phrases)}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL, "op12_phrases": OP12_SQL}
+def op13_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds one after the other, every part compared with all entries."""
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""
+d{t} AS (
+  SELECT x.part, x.vec_id, c.entry, sum((x.v - c.v) * (x.v - c.v)) AS d
+  FROM x JOIN c{t} c ON c.part = x.part AND c.place = x.place GROUP BY ALL),
+a{t} AS MATERIALIZED (SELECT part, vec_id, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM d{t} GROUP BY part, vec_id)""")
+        if t < rounds:
+            steps.append(f"""
+m{t} AS (
+  SELECT x.part, a.entry, x.place, floor(sum(x.v)::DOUBLE / count(*))::HUGEINT AS v
+  FROM x JOIN a{t} a ON a.part = x.part AND a.vec_id = x.vec_id GROUP BY ALL),
+c{t + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, c.place, coalesce(m.v, c.v) AS v
+  FROM c{t} c LEFT JOIN m{t} m ON m.part = c.part AND m.entry = c.entry AND m.place = c.place)""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, embedding AS e, len(embedding) // 4 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT vec_id, i // w AS part, i % w AS place, floor(e[i + 1]::DOUBLE * 1024)::HUGEINT AS v
+  FROM (SELECT *, unnest(range(len(e))) AS i FROM k)),
+c0 AS MATERIALIZED (
+  SELECT x.part, n AS entry, x.place, x.v
+  FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM k) USING (vec_id) WHERE n < 256),
+{",".join(steps)},
+r AS (
+  SELECT vec_id, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, place)) FROM c{rounds}) AS codebooks_sha256
+FROM r JOIN k USING (vec_id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_line_dedup, op4_near_dedup, op5_pii, op6_lm_score, op7_reshard, op8_quality, op9_nearest, op10_mixing, op11_packing, op12_phrases, op13_vector_codes)}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL, "op12_phrases": OP12_SQL, "op13_vector_codes": op13_sql()}
