@@ -1,17 +1,17 @@
 """Phrase collocations by partitioned mining (SON) with exact global counts.
 
-Words of every language are counted first. Then phrases are found length by length: each task mines the shard of
-documents that it reads completely, at the global support lowered to the shard's share of the
-language's words (never below 1), and names what is locally frequent by a 64-bit hash and its local count. A phrase
-that is frequent in the corpus is so in one shard at least. The union over the shards also bounds
-each phrase's count from above: its counts where it was named, and one less than the local support elsewhere. Phrases whose bound is
-too low are no candidates. A phrase is mined only if both its parts, without the last and without
+The documents are dealt into a few shards by a hash of their text, and words are counted first, per language and per shard. Then
+phrases are found length by length: each shard is mined completely, at the global support lowered to its share of
+the language's words. A phrase that is frequent in the corpus is so in one shard at least, so the union of what is locally frequent
+misses none. A shard is mined by as many tasks as hold its documents: each counts its own phrases first, by a 64-bit hash, and
+Spark adds the counts up. A phrase is mined only if both its parts, without the last and without
 the first word, are candidates. Last, all candidates are counted exactly, as texts, over all documents;
 hashes and the bitmaps made of them only rule phrases out, so a collision costs a little work and
 changes no result.
 
 Tasks combine their counts before anything is shuffled, so a very frequent word or phrase is one row
-per task. Bitmaps have a fixed size; in a corpus with more candidates than bits they filter less.
+per task. The number of shards is fixed, since with more of them than the support every phrase would be locally frequent.
+Bitmaps have a fixed size; in a corpus with more candidates than bits they filter less.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import store, string_column, text_of, text_slices, utf8_buffer
 
-#: Phrases a task mines at once: its shard ends there, and a new one begins.
-SHARD_PHRASES = 6_000_000
+#: Shards of the corpus; their local support is about a quarter of the global one.
+SHARDS = 4
+#: Phrases that a task holds before it counts them and passes the counts on.
+PHRASES_AT_ONCE = 6_000_000
 #: Words or phrases that one task counts before it passes the counts on.
 COUNTED_AT_ONCE = 1 << 19
 #: Languages whose local support is lowered by their shares; in others it is 1, which is always safe.
@@ -98,16 +100,17 @@ class Words:
         return np.fromiter(found, np.uint64, len(ends) - 1)
 
 
-def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[tuple[str, int, int]]]]:
-    """Slices of texts in order of their language, and (language, first text, end) of each."""
+def _by_shard(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[tuple[str, int, int, int]]]]:
+    """Slices of texts in order of language and shard, and (language, shard, first text, end) of each run."""
     languages = batch.column("lang").dictionary_encode()
-    codes = languages.indices.to_numpy()
+    names = languages.dictionary.to_pylist()
+    codes = languages.indices.to_numpy().astype(np.int64) * SHARDS + batch.column("shard").to_numpy()
     order = np.argsort(codes, kind="stable")
-    names, codes = languages.dictionary.to_pylist(), codes[order]
+    codes = codes[order]
     for start, texts in text_slices(string_column(batch, "text").take(pa.array(order)), 2000, 4 << 20):
         own = codes[start : start + len(texts)]
         cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-        yield texts, [(names[own[a]], a, b) for a, b in zip(cuts, cuts[1:])]
+        yield texts, [(names[own[a] // SHARDS], int(own[a] % SHARDS), a, b) for a, b in zip(cuts, cuts[1:])]
 
 
 def _counted(total: Counter[tuple[str, str]], words: int) -> Iterator[pa.RecordBatch]:
@@ -129,19 +132,24 @@ COUNTS = "lang string, words int, phrase string, n long"
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words, and as ``words`` 0 the number of words of each shard, with its number as ``phrase``."""
     total: Counter[tuple[str, str]] = Counter()
+    sizes: Counter[tuple[str, str]] = Counter()
     for batch in batches:
-        for texts, segments in _by_language(batch):
+        for texts, segments in _by_shard(batch):
             words = Words(texts)
             names = words.distinct.to_pylist()
-            for lang, a, b in segments:
-                found = np.bincount(words.codes[words.bounds[a] : words.bounds[b]], minlength=len(names))
+            for lang, shard, a, b in segments:
+                own = words.codes[words.bounds[a] : words.bounds[b]]
+                sizes[lang, str(shard)] += len(own)
+                found = np.bincount(own, minlength=len(names))
                 for code in np.flatnonzero(found).tolist():
                     total[lang, names[code]] += int(found[code])
             if len(total) >= COUNTED_AT_ONCE:
                 yield from _counted(total, 1)
                 total.clear()
     yield from _counted(total, 1)
+    yield from _counted(sizes, 0)
 
 
 class Phrases:
@@ -181,59 +189,38 @@ def _inside(bitmap: np.ndarray, hashed: np.ndarray, asked: np.ndarray | None = N
     return found
 
 
-def _mine(n: int, bitmaps, sizes: dict[str, int], least: int):
-    """Mine each shard for phrases of ``n`` words: hash, language number, count less (local support - 1).
-
-    For each shard and language that has a local support above 1 also a row without a hash, with (local support - 1).
-    """
-    numbers = {lang: i for i, lang in enumerate(sizes)}
-    totals = list(sizes.values())
-
-    def batches_of(found: list[np.ndarray], number: int, words: int) -> Iterator[pa.RecordBatch]:
-        support = max(1, -(-least * words // totals[number])) if number >= 0 else 1
-        # -(-a // b) is the quotient rounded up
-        hashed, counts = np.unique(np.concatenate(found), return_counts=True)
-        frequent = counts >= support
-        hashed, surplus = hashed[frequent].view(np.int64), counts[frequent] - (support - 1)
-        for at in range(0, len(hashed), ROWS_AT_ONCE):
-            part = slice(at, at + ROWS_AT_ONCE)
-            rows = len(hashed[part])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashed[part]), pa.array(np.full(rows, number, np.int32)), pa.array(surplus[part])],
-                names=["hash", "language", "n"],
-            )
-        if support > 1:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.int64()), pa.array([number], pa.int32()), pa.array([support - 1], pa.int64())],
-                names=["hash", "language", "n"],
-            )
+def _mine(n: int, bitmaps, numbers: dict[str, int]):
+    """Count phrases of ``n`` words in each task: hash, cell (number of the language and shard, or -1) and count."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[np.ndarray]] = {}
-        words_read: Counter[int] = Counter()
         filters, held = [b.value for b in bitmaps], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for number, arrays in found.items():
-                yield from batches_of(arrays, number, words_read[number])
+        def counts() -> Iterator[pa.RecordBatch]:
+            for cell, arrays in found.items():
+                hashed, many = np.unique(np.concatenate(arrays), return_counts=True)
+                for at in range(0, len(hashed), ROWS_AT_ONCE):
+                    part = hashed[at : at + ROWS_AT_ONCE].view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part), pa.array(np.full(len(part), cell, np.int32)), pa.array(many[at : at + ROWS_AT_ONCE])],
+                        names=["hash", "cell", "n"],
+                    )
 
         for batch in batches:
-            for texts, segments in _by_language(batch):
+            for texts, segments in _by_shard(batch):
                 words = Words(texts)
                 hashed = words.hashes()
-                for lang, a, b in segments:
-                    number = numbers.get(lang, -1)
+                for lang, shard, a, b in segments:
                     spots = Phrases(words, hashed, lang, a, b, filters, n)
                     mined = spots.hash[n][spots.able[n]]
-                    found.setdefault(number, []).append(mined)
-                    words_read[number] += int(words.bounds[b] - words.bounds[a])
+                    cell = numbers[lang] * SHARDS + shard if lang in numbers else -1
+                    found.setdefault(cell, []).append(mined)
                     held += len(mined)
-                if held >= SHARD_PHRASES:
-                    yield from flush()
+                if held >= PHRASES_AT_ONCE:
+                    yield from counts()
                     found.clear()
-                    words_read.clear()
                     held = 0
-        yield from flush()
+        yield from counts()
 
     return mine
 
@@ -243,10 +230,10 @@ def _count_phrases(bitmaps, longest: int):
         totals: dict[int, Counter[tuple[str, str]]] = {n: Counter() for n in range(2, longest + 1)}
         filters = [b.value for b in bitmaps]
         for batch in batches:
-            for texts, segments in _by_language(batch):
+            for texts, segments in _by_shard(batch):
                 words = Words(texts)
                 hashed = words.hashes()
-                for lang, a, b in segments:
+                for lang, _, a, b in segments:
                     spots = Phrases(words, hashed, lang, a, b, filters, longest)
                     for n, total in totals.items():
                         at = np.flatnonzero(spots.able[n])
@@ -299,31 +286,38 @@ def counted_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """(words, phrases), both lang, words, phrase, n and stored.
 
-    The first holds every word with its count, the second every phrase of 2 to ``longest`` words
+    The first holds every word with its count, and as ``words`` 0 the sizes of the shards, the second every phrase of 2 to ``longest`` words
     that occurs ``least`` times or more in its language.
     """
     if not 2 <= longest <= MAX_WORDS:
         raise ValueError(f"phrases have 2 to {MAX_WORDS} words")
     spark = docs.sparkSession
+    text = text_of(text_column)
     texts = docs.select(
         F.coalesce(F.col(lang_column).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
-        text_of(text_column).alias("text"),
+        F.pmod(F.xxhash64(text), F.lit(SHARDS)).cast("int").alias("shard"),
+        text.alias("text"),
     )
-    words = store(
+    counted = store(
         texts.mapInArrow(_count_words, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")), "words"
     )
-    largest = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    sizes = {r["lang"]: r["n"] for r in largest.collect()}
+    words = counted.filter("words = 1")
+    sizes = counted.filter("words = 0").select("lang", F.col("phrase").cast("int").alias("shard"), "n")
+    total = sizes.groupBy("lang").agg(F.sum("n").alias("total"))
+    largest = total.orderBy(F.desc("total"), "lang").limit(LANGUAGES)
+    numbers = {r["lang"]: i for i, r in enumerate(largest.collect())}
+    cells = sizes.join(largest, "lang").collect()  # at most LANGUAGES x SHARDS rows
+    supports = spark.createDataFrame(
+        # the quotient rounded up; a shard without words of the language has none of its phrases
+        [(numbers[r["lang"]] * SHARDS + r["shard"], max(1, -(-least * r["n"] // max(r["total"], 1)))) for r in cells],
+        "cell int, support long",
+    )
     frequent = words.filter(F.col("n") >= least).select("lang", "phrase")
     bitmaps = [_bitmap(spark, frequent.mapInArrow(_word_hashes, "hash long"))]
     for n in range(2, longest + 1):
-        mined = store(texts.mapInArrow(_mine(n, bitmaps, sizes, least), "hash long, language int, n long"), "mined")
-        elsewhere = mined.filter("hash is null").groupBy("language").agg(F.sum("n").alias("slack"))
-        union = mined.filter("hash is not null").groupBy("hash", "language").agg(F.sum("n").alias("n"))
-        # at most LANGUAGES rows
-        bound = F.col("n") + F.coalesce("slack", F.lit(0))
-        candidates = union.join(F.broadcast(elsewhere), "language", "left").filter(bound >= least)
-        bitmaps.append(_bitmap(spark, candidates.select("hash")))
+        mined = texts.mapInArrow(_mine(n, bitmaps, numbers), "hash long, cell int, n long")
+        local = mined.groupBy("hash", "cell").agg(F.sum("n").alias("n")).join(F.broadcast(supports), "cell", "left")
+        bitmaps.append(_bitmap(spark, local.filter(F.col("n") >= F.coalesce("support", F.lit(1))).select("hash")))
     phrases = store(
         texts.mapInArrow(_count_phrases(bitmaps, longest), COUNTS)
         .groupBy("lang", "words", "phrase")
@@ -331,7 +325,7 @@ def counted_phrases(
         .filter(F.col("n") >= least),
         "phrases",
     )
-    return words, phrases
+    return counted, phrases
 
 
 def _cut(phrase: Column, first: int, words: int) -> tuple[Column, Column]:
@@ -359,8 +353,9 @@ def collocations(
     language ``und``; repeated rows count repeatedly; without phrases of that support there are no
     rows. Only the two named columns are read.
     """
-    words, phrases = counted_phrases(docs, longest, least, text_column, lang_column)
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    counted, phrases = counted_phrases(docs, longest, least, text_column, lang_column)
+    words = counted.filter("words = 1")
+    sizes = counted.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     # parts of a frequent phrase are frequent, so every part is in one of the two tables
     parts = words.filter(F.col("n") >= least).union(phrases)
     scored = None
