@@ -36,8 +36,8 @@ PHRASES_AT_ONCE = 6_000_000
 COUNTED_AT_ONCE = 1 << 19
 #: Languages whose local support is lowered by their shares; in others it is 1, which is always safe.
 LANGUAGES = 10_000
-#: Bits of the bitmaps that rule words and phrases out: 16 MB each.
-FILTER_BITS = 1 << 27
+#: Bits of the bitmaps that rule words and phrases out: 8 MB each.
+FILTER_BITS = 1 << 26
 CHUNK_BITS = 1 << 15
 #: Rows of one Arrow batch that a task passes on.
 ROWS_AT_ONCE = 250_000
