@@ -7,7 +7,7 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_dir
@@ -30,6 +30,14 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return stored
 
 
+def store_counted(df: DataFrame, label: str, *more: Column) -> tuple[DataFrame, list]:
+    """``store``, and the number of rows and further aggregates of them, counted by the same job."""
+    seen = Observation()
+    counted = [F.count(F.lit(1)).alias("_0"), *(c.alias(f"_{i}") for i, c in enumerate(more, 1))]
+    stored = store(df.observe(seen, *counted), label)
+    return stored, [seen.get[f"_{i}"] for i in range(len(counted))]
+
+
 def discard(*stored: DataFrame) -> None:
     """Delete what ``store`` wrote for these tables, once no later plan reads them."""
     for df in stored:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, string_column, text_of, text_slices, utf8_buffer
+from .common import discard, store, store_counted, string_column, text_of, text_slices, utf8_buffer
 
 WORDS = 5
 BANDS, ROWS = 32, 5
@@ -199,43 +199,54 @@ def _picked_sets(docs: DataFrame, text_column: str, wanted: DataFrame) -> DataFr
     )
 
 
+def _join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that shuffles both sides: in loops, relations built by the driver would pile up there."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def star_components(edges: DataFrame) -> DataFrame:
     """(root, node) for every node with an edge that is not a root itself; roots are the least nodes.
 
     ``edges`` has ``a < b``. Alternates the large star (neighbours above a node go to its least
-    neighbour) and the small star (neighbours below it do) until nothing changes.
+    neighbour) and the small star (neighbours below it do) until nothing changes. A turn is one job, which also counts
+    the edges and sums their hashes up.
     """
-    before = None
+    before, held = None, None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
+        large = _join(both, least, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(
+        small = _join(large, low, "b").select(
             F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")
         )
-        edges = store(small.select("e.a", "e.b").filter("a < b").distinct(), "stars")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        edges, state = store_counted(small.select("e.a", "e.b").filter("a < b").distinct(), "stars", checksum)
+        if held is not None:
+            discard(held)
+        held = edges
         if state == before:
             return edges.select(F.col("a").alias("root"), F.col("b").alias("node"))
         before = state
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, similar: whether the full sets of each pair are similar enough."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - F.col("both")
     return (
-        pairs.join(a, "a").join(b, "b").withColumn("both", both).filter(100 * F.col("both") >= percent * union).select("a", "b")
+        _join(_join(pairs, a, "a"), b, "b")
+        .withColumn("both", both)
+        .select("a", "b", (100 * F.col("both") >= percent * union).alias("similar"))
     )
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """The members of buckets that reach over more than one component, stored."""
+    """The members of buckets that reach over more than one component."""
     spread = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return store(members.join(spread.filter("lo < hi").select("bucket"), "bucket"), "open")
+    return _join(members, spread.filter("lo < hi").select("bucket"), "bucket")
 
 
 def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,16 +256,14 @@ def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     of sizes n and m need percent / (100 + percent) * (n + m) common ones, so a member whose reach
     is too small for even the smallest set of its bucket has no partner left there. This is exact.
     """
-    shingles = sets.join(members.select("node").distinct(), "node", "left_semi").select(
+    shingles = _join(sets, members.select("node").distinct(), "node", "left_semi").select(
         "node", F.explode("shingles").alias("shingle")
     )
     shared = shingles.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle")
-    reach = shingles.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("reach"))
+    reach = _join(shingles, shared, "shingle").groupBy("node").agg(F.count("*").alias("reach"))
     least = members.groupBy("bucket").agg(F.min("n").alias("least_n"))
     return (
-        members.drop("reach")
-        .join(reach, "node")
-        .join(least, "bucket")
+        _join(_join(members.drop("reach"), reach, "node"), least, "bucket")
         .filter(
             (100 * F.col("reach") >= percent * F.col("n"))
             & ((100 + percent) * F.col("reach") >= percent * (F.col("n") + F.col("least_n")))
@@ -266,14 +275,14 @@ def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 MEMBER = ("bucket", "node", "n", "score", "root", "reach")
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def links(members: DataFrame, n_members: int, sets: DataFrame, percent: int) -> DataFrame | None:
     """(root, node) of all components of nodes that share buckets and are similar enough.
 
-    ``members``: bucket, node, n (set size), score (how many bucket mates it has), root (its
+    ``members`` (stored, ``n_members`` rows): bucket, node, n (set size), score (how many bucket mates it has), root (its
     component), reach (how many of its shingles another set may have).
     """
     hubs_each, stars, tested = 1, None, None
-    while not members.isEmpty():
+    while n_members:
         choice = F.max(F.struct("score", *(F.col(c).alias(f"hub_{c}") for c in ("node", "n", "root", "reach"))))
         hubs = store(
             members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(hubs_each)).alias("salt"))
@@ -281,16 +290,16 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
             .select("bucket", "h.hub_node", "h.hub_n", "h.hub_root", "h.hub_reach"),
             "hubs",
         )
-        asked, once = members, F.lit(True)
+        asked, asking, once = members, hubs, F.lit(True)
         if hubs_each > 1:
             # the best members lead in many buckets: a pair is proposed in the first where it could be
             led = hubs.groupBy("hub_node").agg(F.collect_set("bucket").alias("led"))
             inside = members.groupBy("node").agg(F.collect_set("bucket").alias("inside"))  # BANDS at most
-            asked, hubs = members.join(inside, "node"), hubs.join(led, "hub_node")
+            asked, asking = _join(members, inside, "node"), _join(hubs, led, "hub_node")
             once = F.array_min(F.array_intersect("inside", "led")) == F.col("bucket")
         # what both sets may have in common rules out most pairs before their sets are compared
         pairs = (
-            asked.join(hubs, "bucket")
+            _join(asked, asking, "bucket")
             .filter(
                 once
                 & (F.col("node") != F.col("hub_node"))
@@ -301,21 +310,24 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
             .distinct()
         )
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = _confirmed(pairs, sets, percent)
+            pairs = _join(pairs, tested.select("a", "b"), ["a", "b"], "left_anti")
+        compared = store(_compared(pairs, sets, percent), "pairs")
+        tested = compared if tested is None else tested.union(compared)
+        found = compared.filter("similar").select("a", "b")
         if stars is not None:
             found = found.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b")))
-        stars = star_components(store(found, "links"))
+        stars = star_components(found)
         # what a hub was compared with is settled; a bucket is done when the rest hangs together
-        rest = members.drop("root").join(
-            hubs.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti"
+        rest = _join(
+            members.drop("root"), hubs.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti"
         )
-        rooted = rest.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*MEMBER)
-        members = _open(store(rooted, "rest"))
-        if not members.isEmpty():
-            members = _open(store(_able(members, sets, percent), "able"))
+        rooted = _join(rest, stars, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*MEMBER)
+        opened, (n_members,) = store_counted(_open(rooted), "open")
+        discard(hubs, members)
+        members = opened
+        if n_members:
+            members, (n_members,) = store_counted(_able(opened, sets, percent), "able")
+            discard(opened)
         hubs_each *= HUB_GROWTH
     return stars
 
@@ -353,7 +365,7 @@ def verdicts(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("mates")).filter("mates > 1")
     shared = store(banded.join(sizes, "bucket"), "shared")
     scores = shared.groupBy("node").agg(F.sum("mates").alias("score"))
-    members = store(
+    members, (n_members,) = store_counted(
         shared.join(scores, "node").select(
             "bucket", "node", "n", "score", F.col("node").alias("root"), F.col("n").alias("reach")
         ),
@@ -361,7 +373,8 @@ def verdicts(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     )
     wanted = store(classes.select("node", "text_key").join(scores.select("node"), "node", "left_semi"), "wanted")
     sets = _picked_sets(docs, text_column, wanted)
-    stars = links(members, sets, percent)
+    stars = links(members, n_members, sets, percent)
+    discard(shared, wanted, sets)
     if stars is None:
         labels = classes.select("set_key", F.col("least_id").alias("component_id"))
     else:
