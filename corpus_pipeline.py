@@ -42,7 +42,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -
     gone = judged.filter("not kept").select("doc_id", "text_key").distinct().alias("_gone")
     same = (F.col("_docs.doc_id") == F.col("_gone.doc_id")) & (near_dedup.text_key_of("_docs.text") == F.col("_gone.text_key"))
     left = docs.alias("_docs").join(gone, same, "left_anti")
-    ids = left.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    # asked of the ids alone, before the join above is run
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
     if ids.isEmpty():
         return left
     # of rows that repeat an id, equal texts are copies; their ids are few unless the table is a mixture
