@@ -1,12 +1,13 @@
 """Personal data: pattern matches, and the terms that reveal them by co-occurrence in the corpus.
 
-The protected entities are the matches of fixed patterns (addresses and numbers). A term near an
-entity is measured by how much of the entity's information it gives away: with document frequencies
-over the whole corpus, PMI(term, entity) = log2(D * df(term near entity) / (df(term) * df(entity))), and
-the entity's information is IC = log2(D / df(entity)). The share PMI / IC is 1 when the term occurs
-nowhere else and 0 when it is independent. Terms whose share reaches a threshold are generalised to
-their lexical class; those that give away nearly all are removed. One text is no evidence, however often
-it is copied: a term must stand near the entity in several different texts.
+The protected entities are the matches of fixed patterns (addresses and numbers), each one by its value and all of one
+kind together. Document frequencies over the whole corpus tell how much of an entity's information a term gives away:
+with P(entity | term) = df(both) / (df(term) + SMOOTHING), PMI = log2(D * P / df(entity)), and
+the entity's information is IC = log2(D / df(entity)). The share PMI / IC is near 1 when the term occurs
+nowhere else and 0 when it is independent; smoothing lowers it for rare terms. For a value, documents count that have the term near it,
+for a kind those that have the term anywhere, in two different texts at least. Every occurrence of a term whose share
+reaches a threshold is generalised to its lexical class in the documents that hold the entity; terms that give away nearly all are
+removed.
 """
 
 from __future__ import annotations
@@ -28,18 +29,25 @@ from .common import store, string_column, text_of, text_slices
 WINDOW = 8
 #: Share of an entity's information from which a term is generalised, and removed.
 GENERALISE_AT, REMOVE_AT = 0.9, 0.99
-#: Different texts that must have the term near the entity.
-MIN_TEXTS = 2
+#: Documents with the term but without the entity that are taken to be there unseen.
+SMOOTHING = 0.5
+#: Words of a document whose terms are handed on in one row.
+WORDS_AT_ONCE = 20_000
 #: Terms one task counts before it passes the counts on.
 TERMS_AT_ONCE = 1 << 19
 
 KINDS = ("email", "ip", "card", "phone")
+# What a match takes is never given back, which changes no match: what follows each part begins with another character.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"[0-9]++(?:\.[0-9]++){3}",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a match of the kind begins with; it begins where a run of these begins, or right behind another match.
+BEGINS = {"email": r"[A-Za-z0-9._%+-]", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+"}
+HERE = {k: re.compile(p) for k, p in PATTERNS.items()}
+FIRST = {k: re.compile(p if k == "phone" else f"(?<!{BEGINS[k]}){p}") for k, p in PATTERNS.items()}
 #: Without this character a text has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,18 +67,33 @@ def _valid(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        parts = [p.lstrip("0") or "0" for p in found.split(".")]
+        return all(len(p) <= 3 and int(p) <= 255 for p in parts)
     digits = "".join(DIGIT.findall(found))
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+def matches(kind: str, text: str) -> Iterator[re.Match[str]]:
+    """Leftmost matches that do not overlap, in time proportional to the text.
+
+    If no match begins where a run begins, none begins inside it: the rest of the run would have to match the same way.
+    """
+    at = 0
+    while True:
+        found = (HERE[kind].match(text, at) if at else None) or FIRST[kind].search(text, at)
+        if found is None:
+            return
+        yield found
+        at = found.end()
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind and then start."""
     spans = []
     digits = DIGIT.search(text) is not None
     for kind in KINDS:
         if NEEDS[kind] in text and (digits or kind == "email"):
-            spans += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _valid(kind, m[0])]
+            spans += [(kind, m.start(), m.end()) for m in matches(kind, text) if _valid(kind, m[0])]
     return spans
 
 
@@ -90,21 +113,24 @@ def term_of(word: str) -> str:
     return word[start:end]
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words near each span, words inside spans left out."""
-    if not spans:
-        return []
+def covered_words(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[bool]]:
+    """The words of a text, and which of them a span touches."""
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     starts = [a for a, _ in words]
-    breaks = [m.start() for m in re.finditer("\n", text)]
-    taken = sorted((a, b) for _, a, b in spans)
     covered = [False] * len(words)
-    for a, b in taken:
+    for _, a, b in spans:
         at = max(bisect_right(starts, a) - 1, 0)
         while at < len(words) and words[at][0] < b:
             covered[at] = covered[at] or words[at][1] > a
             at += 1
-    found = []
+    return words, covered
+
+
+def near_words(text: str, spans: list[tuple[str, int, int]], words: list[tuple[int, int]]) -> dict[int, set[str]]:
+    """The entities near each word, by its number: at most ``WINDOW`` words away, in one line."""
+    starts = [a for a, _ in words]
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    found: dict[int, set[str]] = {}
     for kind, a, b in spans:
         name = entity(kind, text[a:b])
         line = bisect_left(breaks, a)
@@ -112,24 +138,45 @@ def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
         high = breaks[line] if line < len(breaks) else len(text)
         at, after = bisect_left(starts, a), bisect_left(starts, b)
         for i in range(max(at - WINDOW - 1, 0), min(after + WINDOW, len(words))):
-            if not covered[i] and low < words[i][0] < high and (term := term_of(text[words[i][0] : words[i][1]])):
-                found.append((name, term, *words[i]))
+            if low < words[i][0] < high:
+                found.setdefault(i, set()).add(name)
     return found
 
 
+SPOT = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+TERM = pa.struct([("term", pa.string()), ("entities", pa.list_(pa.string())), ("spots", pa.list_(SPOT))])
+SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    near = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    """One row per document, and for one with matches, further rows for every ``WORDS_AT_ONCE`` words."""
     for batch in batches:
-        spans, terms = [], []
-        for text in batch.column("text").to_pylist():
+        for i, text in enumerate(batch.column("text").to_pylist()):
             own = base_spans(text)
-            spans.append([dict(zip(("kind", "start", "end"), s)) for s in own])
-            terms.append([dict(zip(("entity", "term", "start", "end"), t)) for t in near_terms(text, own)])
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "row", "text_hash")), pa.array(spans, pa.list_(span)), pa.array(terms, pa.list_(near))],
-            names=["doc_id", "row", "text_hash", "base", "near"],
-        )
+            kinds = sorted({kind for kind, *_ in own})
+            words, covered = covered_words(text, own) if own else ([], [])
+            near = near_words(text, own, words) if own else {}
+            entities = [*kinds, *sorted({entity(kind, text[a:b]) for kind, a, b in own})]
+            for first in range(0, max(len(words), 1), WORDS_AT_ONCE):
+                terms: dict[str, tuple[set[str], list[dict[str, int]]]] = {}
+                for k in range(first, min(first + WORDS_AT_ONCE, len(words))):
+                    a, b = words[k]
+                    if not covered[k] and (term := term_of(text[a:b])):
+                        by, spots = terms.setdefault(term, (set(kinds), []))
+                        by |= near.get(k, set())
+                        spots.append({"start": a, "end": b})
+                listed = [{"term": t, "entities": sorted(by), "spots": spots} for t, (by, spots) in terms.items()]
+                head = first == 0
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).slice(i, 1) for c in ("doc_id", "row", "text_hash")),
+                        pa.array([head]),
+                        pa.array([[dict(zip(("kind", "start", "end"), s)) for s in own] if head else []], pa.list_(SPAN)),
+                        pa.array([entities if head else []], pa.list_(pa.string())),
+                        pa.array([listed], pa.list_(TERM)),
+                    ],
+                    names=["doc_id", "row", "text_hash", "head", "base", "entities", "terms"],
+                )
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +205,11 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, row (unique), text_hash, base (spans), near (terms near them) of every row, stored."""
+    """What each document holds, stored: doc_id, row (unique), text_hash, head, base, entities, terms.
+
+    ``base`` (spans) and ``entities`` (values as ``kind:value``, and kinds) stand in the one row of a document that is its
+    head; ``terms`` are the words outside the spans with their places and the entities that they may disclose.
+    """
     text = text_of(text_column)
     rows = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
@@ -169,63 +220,67 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     return store(
         rows.mapInArrow(
             _scan,
-            "doc_id long, row long, text_hash long, base array<struct<kind:string,start:int,end:int>>, "
-            "near array<struct<entity:string,term:string,start:int,end:int>>",
+            "doc_id long, row long, text_hash long, head boolean, base array<struct<kind:string,start:int,end:int>>, "
+            "entities array<string>, "
+            "terms array<struct<term:string,entities:array<string>,spots:array<struct<start:int,end:int>>>>",
         ),
         "scanned",
     )
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame, text_column: str = "text") -> DataFrame:
-    """entity, term, share for the pairs seen together in enough texts; the share is PMI / IC."""
-    near = scanned.select("row", "text_hash", F.explode("near").alias("p")).select(
-        "row", "text_hash", "p.entity", "p.term"
-    ).distinct()
+    """entity (a value or a kind), term, share of its information that the term gives away."""
+    by_term = scanned.select("row", "text_hash", F.explode("terms").alias("t")).select("row", "text_hash", "t.term", "t.entities")
     together = (
-        near.groupBy("entity", "term", "text_hash")
-        .agg(F.count("*").alias("n"))
+        by_term.select("row", "text_hash", "term", F.explode("entities").alias("entity"))
+        .distinct()
         .groupBy("entity", "term")
-        .agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts"))
-        .filter(F.col("n_texts") >= MIN_TEXTS)
+        .agg(F.count("*").alias("n_both"), F.min("text_hash").alias("one"), F.max("text_hash").alias("other"))
+        .filter(F.contains("entity", F.lit(":")) | (F.col("one") != F.col("other")))
     )
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = (
         docs.select(text_of(text_column).alias("text"))
         .mapInArrow(_count_terms, "term string, n long")
         .groupBy("term")
         .agg(F.sum("n").alias("n_term"))
     )
-    documents = F.lit(float(scanned.count()))
-    both = F.col("n_both").cast("double")
-    pmi = F.log2(documents * both / (F.col("n_term") * F.col("n_entity")))
+    documents = F.lit(float(scanned.filter("head").count()))
+    given = F.col("n_both") / (F.col("n_term") + F.lit(SMOOTHING))
     information = F.log2(documents / F.col("n_entity"))
+    share = (F.log2(given) + information) / information
     return (
         together.join(entities, "entity")
         .join(terms, "term")
-        .select("entity", "term", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)).alias("share"))
+        .select("entity", "term", F.when(information > 0, share).otherwise(F.lit(0.0)).alias("share"))
     )
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, row, text_hash, base, terms for every row; terms have start, end and action.
 
-    ``base`` are the pattern matches, ``terms`` the words near them that disclose them, each with
-    the action ``generalise`` or ``remove``, by start. A null text is empty and has none. Repeated
-    rows get equal answers, an empty table gives no rows, and only the two named columns are read.
+    ``base`` are the pattern matches, ``terms`` the words of the same document that disclose them, each with
+    the action ``generalise`` or ``remove``, by start. A null text is empty and has none. Rows count as documents, repeated
+    ones too, and get equal answers; an empty table gives no rows, and only the two named columns are read. The time
+    grows with the length of a text, whatever it holds, and a long one is handed on in several rows.
     """
     scanned = scan(docs, id_column, text_column)
     action = F.when(F.col("share") >= REMOVE_AT, "remove").otherwise("generalise")
     telling = disclosures(docs, scanned, text_column).filter(F.col("share") >= GENERALISE_AT)
-    near = scanned.select("row", F.explode("near").alias("p")).select("row", "p.entity", "p.term", "p.start", "p.end")
+    held = scanned.select("row", F.explode("terms").alias("t")).select(
+        "row", "t.term", "t.spots", F.explode("t.entities").alias("entity")
+    )
     terms = (
-        near.join(telling.select("entity", "term", action.alias("action")), ["entity", "term"])
-        # a word near two entities takes the stronger action
-        .groupBy("row", "start", "end")
+        held.join(telling.select("entity", "term", action.alias("action")), ["entity", "term"])
+        # a word that discloses two entities takes the stronger action
+        .select("row", "action", F.explode("spots").alias("s"))
+        .groupBy("row", "s.start", "s.end")
         .agg(F.max("action").alias("action"))
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     )
-    return scanned.drop("near").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array()))
+    heads = scanned.filter("head").select("doc_id", "row", "text_hash", "base")
+    return heads.join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array()))
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,4 +333,5 @@ def digests(found: DataFrame) -> DataFrame:
         F.sha2(base, 256).alias("base_sha256"),
         F.concat_ws(",", *(F.when(x != "", x) for x in (base, terms))).alias("spans"),
         F.size("terms").cast("long").alias("n_term"),
+        (F.size("base") + F.size("terms")).cast("long").alias("n_spans"),
     )
