@@ -31,16 +31,18 @@ from .common import store, string_column, text_of, text_slices, utf8_buffer
 #: Shards of the corpus; their local support is about a quarter of the global one.
 SHARDS = 4
 #: Phrases that a task holds before it counts them and passes the counts on.
-PHRASES_AT_ONCE = 6_000_000
+PHRASES_AT_ONCE = 3_000_000
 #: Words or phrases that one task counts before it passes the counts on.
-COUNTED_AT_ONCE = 1 << 19
+COUNTED_AT_ONCE = 1 << 18
 #: Languages whose local support is lowered by their shares; in others it is 1, which is always safe.
 LANGUAGES = 10_000
 #: Bits of the bitmaps that rule words and phrases out: 8 MB each.
 FILTER_BITS = 1 << 26
 CHUNK_BITS = 1 << 15
+#: Bytes of texts that are split into words together.
+SLICE = 2 << 20
 #: Rows of one Arrow batch that a task passes on.
-ROWS_AT_ONCE = 250_000
+ROWS_AT_ONCE = 100_000
 NO_LANGUAGE = "und"
 
 #: What a byte is: part of a word, between words, or the end of a piece.
@@ -107,7 +109,7 @@ def _by_shard(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[tuple[str,
     codes = languages.indices.to_numpy().astype(np.int64) * SHARDS + batch.column("shard").to_numpy()
     order = np.argsort(codes, kind="stable")
     codes = codes[order]
-    for start, texts in text_slices(string_column(batch, "text").take(pa.array(order)), 2000, 4 << 20):
+    for start, texts in text_slices(string_column(batch, "text").take(pa.array(order)), 2000, SLICE):
         own = codes[start : start + len(texts)]
         cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
         yield texts, [(names[own[a] // SHARDS], int(own[a] % SHARDS), a, b) for a, b in zip(cuts, cuts[1:])]
