@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .. import sinks
@@ -157,3 +158,44 @@ def merge_files(t):
     n_lines = jsonl.count_requests(t.spark, [f"{folder}/{name}" for name in ("a", "b", "a")]).first()[0]
     key = F.get_json_object("line", "$.o_orderkey").cast("bigint")
     return merged.select(key.alias("o_orderkey"), F.col("seq.input").alias("copy"), F.lit(n_lines).alias("n_lines"))
+
+
+def _one_document_each(opening: str, closing: str):
+    """Frame the lines of every partition as one document; rows after the first begin with a comma."""
+
+    def frame(batches):
+        first = opening
+        for batch in batches:
+            lines = batch.column("value").to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_pydict({"value": [first + lines[0], *("," + line for line in lines[1:])]})
+                first = ","
+        yield pa.RecordBatch.from_pydict({"value": [(opening if first == opening else "") + closing]})
+
+    return frame
+
+
+@query(
+    "large_documents",
+    """
+    SELECT doc_id, text AS content, octet_length(encode(text)) AS bytes, 'list' AS shape FROM documents
+    UNION ALL SELECT doc_id, text, octet_length(encode(text)), 'member' FROM documents
+    """,
+)
+def large_documents(t):
+    """Texts in JSON documents that are larger than a split, as a list and as a member of an object."""
+    parts, read = 4, []
+    line = F.to_json(F.struct("doc_id", "text")).alias("value")
+    shapes = {"list": ("[", "]", None), "member": ('{"made": [1, 2], "items": [', '], "more": {"a": [1, 2]}}', "items")}
+    for shape, (opening, closing, key) in shapes.items():
+        folder = scratch_dir(t.spark, shape)
+        lines = t.documents.repartition(parts, "doc_id").select(line)
+        lines.mapInArrow(_one_document_each(opening, closing), "value string").write.text(folder)
+        items = jsonl.read_json_items(t.spark, folder, key, split_over=1 << 14)
+        read.append(items.select(
+            F.try_variant_get("item", "$.doc_id", "bigint").alias("doc_id"),
+            F.try_variant_get("item", "$.text", "string").alias("content"),
+            F.lit(shape).alias("shape"),
+        ))
+    both = read[0].union(read[1])
+    return both.select("doc_id", "content", F.octet_length("content").cast("bigint").alias("bytes"), "shape")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jobs as J
 from ..functions import variants as V
+from . import json_split, jsonl
 
 
 # Members of a registry entry; the submission time may be a number or a text.
@@ -112,10 +113,33 @@ def accounting_jobs(
     return latest.select("job_id", *[(shown[c]() if c in shown else text(c)).alias(c) for c in columns])
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return registry_jobs(spark.read.text(path, wholetext=True))
+def read_registry(spark: SparkSession, path, split_over: int = jsonl.SPLIT_OVER) -> DataFrame:
+    """Registry files; one larger than ``split_over`` bytes is cut at its members by many tasks."""
+    wanted = [path] if isinstance(path, str) else list(path)
+    small = spark.read.text(wanted, wholetext=True).where(F.col("_metadata.file_size") <= split_over)
+    rows = registry_jobs(small)
+    lengths = json_split.large_files(spark, wanted, split_over)
+    if not lengths:
+        return rows
+    members = json_split.large_members(spark, lengths)
+    # a repeated id keeps its last entry
+    last = members.groupBy("file", F.json_object_keys("value")[0].alias("job_id")).agg(F.max_by("value", "number").alias("value"))
+    return rows.unionByName(registry_jobs(last))
 
 
-def read_accounting(spark: SparkSession, path, columns: Sequence[str] = ACCOUNTING_COLUMNS) -> DataFrame:
-    docs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    return accounting_jobs(accounting_entries(docs, order_by="file"), columns)
+def read_accounting(
+    spark: SparkSession, path, columns: Sequence[str] = ACCOUNTING_COLUMNS, split_over: int = jsonl.SPLIT_OVER
+) -> DataFrame:
+    """Accounting files; the job list of one larger than ``split_over`` bytes is cut by many tasks."""
+    wanted = [path] if isinstance(path, str) else list(path)
+    small = spark.read.text(wanted, wholetext=True).where(F.col("_metadata.file_size") <= split_over)
+    docs = small.select("value", json_split.comparable(F.col("_metadata.file_path")).alias("file"))
+    order = "struct<_doc:string,_pos:bigint>"
+    entries = accounting_entries(docs, order_by="file").select(F.col("seq").cast(order).alias("seq"), "job")
+    lengths = json_split.large_files(spark, wanted, split_over)
+    if lengths:
+        items, _ = json_split.large_items(spark, lengths, "jobs")
+        if items is not None:
+            jobs = items.where(F.col("error").isNull() & (V.kind(F.col("item")) == "object"))
+            entries = entries.unionByName(jobs.select(F.col("seq").cast(order).alias("seq"), F.col("item").alias("job")))
+    return accounting_jobs(entries, columns)

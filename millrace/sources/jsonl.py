@@ -155,15 +155,30 @@ def count_requests(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return spark.read.text(paths).agg(F.count(F.lit(1)).alias("requests"))
 
 
+#: Bytes above which a document is read by several tasks.
+SPLIT_OVER = 64 << 20
+
+
 def read_json_items(
-    spark: SparkSession, paths: str | Sequence[str], json_key: str | None = None
+    spark: SparkSession, paths: str | Sequence[str], json_key: str | None = None, split_over: int = SPLIT_OVER
 ) -> DataFrame:
-    """Items of JSON document files (S2). A file is parsed by one task, so very large inputs belong
-    in JSON lines, or in the folder form of ``sinks.write_json_document``."""
-    docs = spark.read.text(
-        paths if isinstance(paths, str) else list(paths), wholetext=True
-    ).select(P.plain_path(F.col("_metadata.file_path")).alias("source_file"), "value")
-    return json_items(docs, json_key)
+    """Items of JSON document files (S2), with the position in the document.
+
+    A file up to ``split_over`` bytes is parsed by one task. A larger one is cut at its top-level elements by many
+    tasks first (see ``json_split``), when this is called; one that is a single object is one item and stays with one task.
+    """
+    from . import json_split
+
+    wanted = [paths] if isinstance(paths, str) else list(paths)
+    lengths = json_split.large_files(spark, wanted, split_over)
+    cut, whole = json_split.large_items(spark, lengths, json_key) if lengths else (None, [])
+    file = json_split.comparable(F.col("_metadata.file_path"))
+    docs = spark.read.text(wanted, wholetext=True)
+    # files that are cut are left out by the listing
+    docs = docs.where((F.col("_metadata.file_size") <= split_over) | file.isin(whole) if whole else F.col("_metadata.file_size") <= split_over)
+    docs = docs.select(P.plain_path(F.col("_metadata.file_path")).alias("source_file"), "value")
+    items = json_split._long_positions(json_items(docs, json_key))
+    return items if cut is None else items.unionByName(cut)
 
 
 def json_items(docs: DataFrame, json_key: str | None = None) -> DataFrame:
