@@ -193,6 +193,10 @@ def iso_timestamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
+#: Number of a stored request; results carry it, so that a run can tell which requests it has answered.
+REQUEST_KEY = "_request"
+
+
 def shape_results(called: DataFrame, run_model: str) -> DataFrame:
     """Result rows ``seq, custom_id, input, output, error, metadata``.
 
@@ -231,7 +235,7 @@ def shape_results(called: DataFrame, run_model: str) -> DataFrame:
         response_usage(F.col("_doc")), F.col("finished_at"),
     )
     return staged.select(
-        *[c for c in ("seq",) if c in called.columns],
+        *[c for c in ("seq", REQUEST_KEY) if c in called.columns],
         "custom_id",
         request.alias("input"),
         F.when(ok, output).alias("output"),

@@ -1,8 +1,8 @@
 """Exact row numbers without sorting a whole group in one task.
 
-Rows are binned by a prefix of their sort key. Bin sizes are counted first (combined before the
-shuffle), a running sum over the bins gives each bin its offset, and rows are numbered inside
-their bin only. A bin must hold few rows; a prefix of a hash, or of a dense unique number, does.
+Rows are cut into ranges of their sort key. The rows of each are counted, a running sum gives each range its
+offset, and rows are numbered inside their range only. For all rows of a table, the ranges are those that Spark's
+sampler draws; for the first rows of each key, they are prefixes of a hash, counted before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 #: Bin tables proven to have no more rows than this (about 50 MB) are broadcast.
 MAX_BROADCAST_BINS = 1_000_000
 
@@ -48,43 +50,28 @@ def bin_offsets(df: DataFrame, keys: Sequence[str], bin_col: str, coarse: Column
     )
 
 
-def _steps_below(value: Column, bounds: Sequence[int]) -> Column:
-    """How many of the ascending bounds are at most the value, by bisection."""
-    table = F.lit([int(b) for b in bounds])
-    turns = max(1, len(bounds).bit_length())
-    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = ((state["low"] + state["high"]) / 2).cast("int")
-        open_ = state["low"] < state["high"]
-        above = F.coalesce(F.get(table, middle) <= value, F.lit(False))
-        return F.struct(
-            F.when(open_ & above, middle + 1).otherwise(state["low"]).alias("low"),
-            F.when(open_ & ~above, middle).otherwise(state["high"]).alias("high"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(turns)), start, halve)["low"]
+def number_rows(df: DataFrame, order_by: str, partitions: int | None = None) -> DataFrame:
+    """Adds ``row_number`` (from 0) and ``_total`` in the order of a unique column, nulls first.
 
-
-def number_rows(df: DataFrame, order_by: str, bins: int = 4096) -> DataFrame:
-    """Adds ``row_number`` (from 0) and ``_total`` in the order of a unique integer column.
-
-    Bins lie between approximate quantiles of the column, so they fill evenly whether the numbers
-    are dense, hashed or times; one aggregate of ``bins`` numbers comes to the driver. The rows
-    shuffle once, by bin; the offsets, one row per bin, join on the same key.
+    Rows are dealt over ranges of the column that Spark's sampler draws, sorted inside their range and
+    stored with their place in it, when this is called: the sampler may draw other ranges next time. Then the rows of each range are
+    counted, and every row adds the number of rows in the ranges before its own. Rows shuffle once.
     """
-    probs = [i / bins for i in range(1, bins)]
-    found = df.agg(F.percentile_approx(F.col(order_by).cast("bigint"), probs, 10 * bins)).first()[0]
-    bounds = sorted(set(found or []))
-    value = F.col(order_by).cast("bigint")
-    binned = df.withColumn("_bin", _steps_below(value, bounds) if bounds else F.lit(0))
-    offsets = bin_offsets(binned, [], "_bin")
-    inner = Window.partitionBy("_bin").orderBy(order_by)
-    return (
-        binned.withColumn("_rn", F.row_number().over(inner))
-        .join(offsets, "_bin")
-        .withColumn("row_number", F.col("_before") + F.col("_rn") - 1)
-        .drop("_bin", "_rn", "_before")
+    ranged = df.repartitionByRange(partitions, order_by) if partitions else df.repartitionByRange(order_by)
+    placed = ranged.sortWithinPartitions(order_by).withColumn("_place", F.monotonically_increasing_id())
+    path = scratch_dir(df.sparkSession, "numbered")
+    placed.write.parquet(path)
+    stored = df.sparkSession.read.schema(placed.schema).parquet(path)
+    # the upper bits of a place are the number of the range, the lower 33 count inside it
+    part, inside = F.shiftright("_place", 33).cast("int"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["part"]: r["n"] for r in stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for k in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(k, 0)
+    offset = F.get(F.lit(before), part) if before else F.lit(0)
+    return stored.select(
+        *(F.col(f"`{c}`") for c in df.columns), (offset + inside).alias("row_number"), F.lit(total).cast("bigint").alias("_total")
     )
 
 

@@ -302,3 +302,35 @@ def streamed_requests(t):
         max_retries=2, retry_delay=0.0,
     ).awaitTermination()
     return _flat_results(t.spark.read.parquet(f"{work}/out"))
+
+
+class _Cut(Exception):
+    """Stands for whatever ends a run early."""
+
+
+@query(
+    "resumed_run",
+    """
+    SELECT doc_id::VARCHAR AS custom_id, count(*) AS answers,
+      max(CASE WHEN length(text) % 97 <> 0 THEN length(text) || ' characters' END) AS content
+    FROM documents GROUP BY doc_id
+    """,
+)
+def resumed_run(t):
+    """A run that is cut after two of six slices and started again with another number of slices."""
+    text = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))
+    requests = R.build_requests(t.documents, F.array(text), "small", F.col("doc_id").cast("string"), 0.7, 500, seq="doc_id")
+    folder = scratch_dir(t.spark, "resumed")
+    options = {"max_retries": 1, "retry_delay": 0.0, "warm": False}
+
+    def cut(saved):
+        if saved == 2:
+            raise _Cut
+
+    try:
+        run_batch(t.spark, requests, folder, MODEL, LengthModel, slices=6, on_save_point=cut, **options)
+    except _Cut:
+        pass
+    results = run_batch(t.spark, requests, folder, MODEL, LengthModel, slices=3, **options).results
+    content = F.col("output.choices")[0]["message"]["content"]
+    return results.groupBy("custom_id").agg(F.count("*").alias("answers"), F.max(content).alias("content"))

@@ -255,6 +255,43 @@ def test_finished_slices_are_not_called_again(spark, tmp_path):
     assert {r.custom_id: str(r.output) for r in again.results.collect()} == before
 
 
+@pytest.mark.parametrize("again", [1, 2, 8])
+def test_run_goes_on_with_any_number_of_slices(spark, tmp_path, again):
+    class Down(Exception):
+        pass
+
+    def stop(saved):
+        if saved == 3:
+            raise Down
+
+    # ids repeat: every request is answered, not every id
+    requests = items(spark, [chat(f"text {i % 30}") for i in range(40)])
+    out = str(tmp_path / "sliced")
+    with pytest.raises(Down):
+        run_batch(spark, requests, out, MODEL, Echo, slices=5, retry_delay=0.0, on_save_point=stop)
+    kept = {(r.custom_id, str(r.output)) for r in spark.read.parquet(f"{out}/save=0", f"{out}/save=1").collect()}
+    assert 0 < len(kept) < 40
+    # a cut in the middle of a slice leaves files that Spark has not committed
+    part = next((tmp_path / "sliced" / "save=2").glob("part-*"))
+    (tmp_path / "sliced" / "save=2" / "_SUCCESS").unlink()
+    (tmp_path / "sliced" / "save=7").mkdir()
+    (tmp_path / "sliced" / "save=7" / part.name).write_bytes(part.read_bytes())
+    results = run_batch(spark, requests, out, MODEL, Echo, slices=again, retry_delay=0.0).results
+    rows = results.collect()
+    assert sorted(r.custom_id for r in rows) == sorted(f"text {i % 30}" for i in range(40))
+    assert kept <= {(r.custom_id, str(r.output)) for r in rows}
+    assert spark.read.parquet(out).count() == 40
+
+
+def test_another_run_on_the_same_path_is_refused(spark, tmp_path):
+    requests = items(spark, [chat(f"text {i}") for i in range(6)])
+    out = str(tmp_path / "sliced")
+    run_batch(spark, requests, out, MODEL, Echo, slices=2, retry_delay=0.0)
+    for other, options in ((items(spark, [chat("else")]), {}), (requests, {"defaults": {"temperature": 0.1}})):
+        with pytest.raises(ValueError, match="another run"):
+            run_batch(spark, other, out, MODEL, Echo, slices=2, retry_delay=0.0, **options)
+
+
 def test_folder_of_parts_reads_like_one_file(spark, tmp_path):
     line = F.concat(F.lit('{"input":{"custom_id":"'), "id", F.lit('"},"metadata":{"retry_count":1},"error":"x,]["}'))
     results = RS.result_from_json(spark.range(0, 500, 1, 6).select(F.col("id").alias("seq"), line.alias("line")))
