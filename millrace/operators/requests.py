@@ -206,7 +206,7 @@ def convert_text_files(
 ) -> DataFrame:
     """Text files (``path, length, content``) to requests.
 
-    ``content`` may be binary or already text. A file over the limit is a failed row.
+    ``content`` may be binary or already text. A file over the limit is a failed row, and so is one with an ``error`` of its source.
     """
     is_text = isinstance(files.schema["content"].dataType, T.StringType)
     content = F.col("content") if is_text else X.decode_text(F.col("content"), encoding)
@@ -216,6 +216,8 @@ def convert_text_files(
             "File %s exceeds size limit: %d > %d", "path", "length", F.lit(max_file_size)
         ),
     )
+    if "error" in files.columns:
+        too_large = F.coalesce(too_large, F.col("error"))
     staged = files.select(
         F.col("path"), F.col("length"), content.alias("_text"), too_large.alias("_large"),
         id_or_uuid(custom_id).alias("_custom"),
@@ -301,7 +303,8 @@ def convert_images(
 ) -> DataFrame:
     """Images (``path, length, content``) to vision requests.
 
-    Adds ``status``: converted or skipped_too_large. The prompt is used as it is, braces included.
+    Adds ``status``: converted, skipped_too_large, or failed where the source has an ``error``, which is then the row's.
+    The prompt is used as it is, braces included.
     """
     path = F.col("path")
     too_large = F.col("length") > max_image_size
@@ -314,19 +317,20 @@ def convert_images(
         F.lit("filename"), P.basename(path).cast("variant"),
         F.lit("size"), F.col("length").cast("variant"),
     )
+    unreadable = F.col("error") if "error" in images.columns else F.lit(None).cast("string")
+    staged = staged.withColumn("_unreadable", unreadable)
     error = F.when(
         too_large,
         F.format_string(
             "image too large (%d bytes > max_image_size %d)", "length", F.lit(max_image_size)
         ),
-    )
+    ).otherwise(F.col("_unreadable"))
     out = _finish(
-        staged, ["seq", "path", "length"], id_or_uuid(P.stem(path)),
+        staged, ["seq", "path", "length", "_unreadable"], id_or_uuid(P.stem(path)),
         request_body(messages, model), metadata, error,
     )
-    return out.withColumn(
-        "status", F.when(F.col("error").isNull(), "converted").otherwise("skipped_too_large")
-    )
+    status = F.when(F.col("error").isNull(), "converted").when(F.col("_unreadable").isNotNull(), "failed")
+    return out.withColumn("status", status.otherwise("skipped_too_large")).drop("_unreadable")
 
 
 def request_json(df: DataFrame, name: str = "line") -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyarrow import fs as afs
 from pyspark.sql import functions as F
 
 from .. import sinks
 from ..functions import text as TX
 from ..operators import infer as INF
 from ..operators import metrics as M
+from ..operators import ranking
 from ..operators import requests as R
 from ..operators import resolve as RES
 from ..session import scratch_dir
@@ -16,6 +18,7 @@ from ..sources import csv_rows
 from ..sources import files as FI
 from ..sources import jsonl
 from ..sources import results as RS
+from ..sources import tree
 from .registry import query
 from .serving import MODEL
 
@@ -119,6 +122,21 @@ def csv_documents(t):
     return out.select("custom_id", message.alias("content"), source.alias("source"))
 
 
+@query(
+    "large_csv",
+    "SELECT doc_id, source, text, n_chars FROM documents",
+)
+def large_csv(t):
+    """Texts with quotes and line breaks in CSV files that are larger than a split."""
+    folder = scratch_dir(t.spark, "csv")
+    exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    columns = t.documents.select("doc_id", "source", F.concat(F.lit('"'), "text", F.lit('",\n"')).alias("text"), "n_chars")
+    columns.repartition(4, "doc_id").write.csv(folder, header=True, escape='"', **exact)
+    rows = csv_rows.read_csv_rows(t.spark, folder, columns.schema, split_over=1 << 14, range_bytes=1 << 17, **exact)
+    text = F.expr("substr(row.text, 2, length(row.text) - 5)")
+    return rows.select("row.doc_id", "row.source", text.alias("text"), "row.n_chars")
+
+
 @query(
     "text_folder",
     """
@@ -140,6 +158,87 @@ def text_folder(t):
     )
 
 
+def _write_files(files, folder: str) -> None:
+    """One file per row ``name, content``, written by the tasks; names may hold one folder."""
+
+    def write(rows):
+        local = tree.is_local(folder)
+        system, base = (afs.LocalFileSystem(), local) if local else afs.FileSystem.from_uri(folder)
+        system.create_dir(base)
+        for row in rows:
+            if "/" in row.name:
+                system.create_dir(f"{base}/{row.name.rsplit('/', 1)[0]}")
+            with system.open_output_stream(f"{base}/{row.name}") as file:
+                file.write(bytes(row.content))
+
+    files.select("name", "content").foreachPartition(write)
+
+
+def _page_name():
+    page = F.col("page_id")
+    start = F.when(page % 5 == 0, "_").when(page % 5 == 1, ".").otherwise("")
+    end = F.when(page % 4 == 0, ".png").when(page % 4 == 1, ".JPG").when(page % 4 == 2, ".webp").otherwise(".txt")
+    return F.concat(start, F.lit("p"), page.cast("string"), end)
+
+
+_PAGE_NAME = """CASE page_id % 5 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END || 'p' || page_id
+      || CASE page_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.webp' ELSE '.txt' END"""
+
+
+class _SomeUnreadable:
+    """Opens files, but refuses those whose number is a multiple of 7."""
+
+    def __call__(self, path):
+        if int("".join(c for c in path.rsplit("/", 1)[1] if c.isdigit())) % 7 == 0:
+            raise PermissionError(13, "Permission denied")
+        return tree.open_path(path)
+
+
+@query(
+    "image_folder",
+    f"""
+    SELECT page_id, strlen(html) AS size, row_number() OVER (ORDER BY name) - 1 AS position,
+      CASE WHEN strlen(html) > 3000 THEN 'skipped_too_large' WHEN page_id % 7 = 0 THEN 'failed' ELSE 'converted' END AS status,
+      CASE WHEN strlen(html) > 3000 THEN 'image too large (' || strlen(html) || ' bytes > max_image_size 3000)'
+        WHEN page_id % 7 = 0 THEN 'cannot be read: Permission denied' END AS error,
+      CASE WHEN strlen(html) <= 3000 AND page_id % 7 <> 0 THEN 'data:image/'
+        || CASE page_id % 4 WHEN 0 THEN 'png' ELSE 'jpeg' END || ';base64,' || base64(encode(html)) END AS url
+    FROM (SELECT *, {_PAGE_NAME} AS name FROM pages) WHERE page_id % 4 IN (0, 1)
+    """,
+)
+def image_folder(t):
+    """Images chosen by a brace group, hidden names among them, some too large and some unreadable, in the order of their paths."""
+    folder = scratch_dir(t.spark, "images")
+    _write_files(t.pages.select(_page_name().alias("name"), F.encode("html", "UTF-8").alias("content")), folder)
+    images = FI.read_images(t.spark, folder, "*.{png,JPG}", 3000, _SomeUnreadable())
+    out = R.convert_images(images, folder, "What is it?", model="small", max_image_size=3000)
+    url = F.variant_get(F.try_element_at("body", F.lit("messages")), "$[0].content[1].image_url.url", "string")
+    rows = out.select("path", F.col("length").alias("size"), "status", "error", url.alias("url"))
+    return ranking.number_rows(rows, "path").select(
+        F.regexp_extract("path", r"p([0-9]+)\.[^/]*$", 1).cast("bigint").alias("page_id"),
+        "size", F.col("row_number").alias("position"), "status", "error", "url",
+    )
+
+
+@query(
+    "hidden_texts",
+    """
+    SELECT doc_id, text AS content FROM documents
+    """,
+)
+def hidden_texts(t):
+    """Text files in folders and under names of every kind."""
+    doc, folder = F.col("doc_id"), scratch_dir(t.spark, "tree")
+    place = F.concat(
+        F.when(doc % 3 == 0, "_sub/").when(doc % 3 == 1, ".deep/").otherwise(""),
+        F.when(doc % 2 == 0, "_").otherwise("."), doc.cast("string"), F.lit(".txt"),
+    )
+    _write_files(t.documents.select(place.alias("name"), F.encode("text", "UTF-8").alias("content")), folder)
+    out = R.convert_text_files(FI.read_text_files(t.spark, folder, "*.txt"), model="small")
+    message = F.variant_get(F.try_element_at("body", F.lit("messages")), "$[0].content", "string")
+    return out.select(F.regexp_extract("seq.path", r"([0-9]+)\.txt$", 1).cast("bigint").alias("doc_id"), message.alias("content"))
+
+
 @query(
     "merge_files",
     """
@@ -191,7 +290,7 @@ def large_documents(t):
         folder = scratch_dir(t.spark, shape)
         lines = t.documents.repartition(parts, "doc_id").select(line)
         lines.mapInArrow(_one_document_each(opening, closing), "value string").write.text(folder)
-        items = jsonl.read_json_items(t.spark, folder, key, split_over=1 << 14)
+        items = jsonl.read_json_items(t.spark, folder, key, split_over=1 << 14, range_bytes=1 << 17)
         read.append(items.select(
             F.try_variant_get("item", "$.doc_id", "bigint").alias("doc_id"),
             F.try_variant_get("item", "$.text", "string").alias("content"),

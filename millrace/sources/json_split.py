@@ -397,28 +397,31 @@ def object_pieces(spark: SparkSession, files: list[str], known: Layout, inner: b
 
 
 @contextmanager
-def fixed_ranges(spark: SparkSession) -> Iterator[None]:
-    """Ranges that do not depend on how many executors there are at the moment."""
-    name = "spark.sql.files.minPartitionNum"
-    before = spark.conf.get(name, None)
-    if before is None:
-        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+def fixed_ranges(spark: SparkSession, range_bytes: int | None = None) -> Iterator[None]:
+    """Ranges that do not depend on how many executors there are at the moment; of a given size, if there is one."""
+    wanted = {"spark.sql.files.minPartitionNum": spark.conf.get("spark.sql.files.minPartitionNum", None) or str(spark.sparkContext.defaultParallelism)}
+    if range_bytes is not None:
+        wanted["spark.sql.files.maxPartitionBytes"] = str(range_bytes)
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read back."""
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _broken(stored: DataFrame, files: list[str], known: Layout) -> set[str]:
+def _broken(pieces: DataFrame, files: list[str], known: Layout) -> set[str]:
     """The files that are not valid JSON."""
-    found = stored.filter(~F.col("ok")).select("file").distinct().collect()  # large files only
+    found = pieces.filter(~F.col("ok")).select("file").distinct().collect()  # large files only
     return {r["file"] for r in found} | {f for f in files if not known.closed[f]}
 
 
@@ -442,13 +445,15 @@ def _items(rows: DataFrame) -> DataFrame:
     )
 
 
-def large_items(spark: SparkSession, lengths: dict[str, int], json_key: str | None = None) -> tuple[DataFrame | None, list[str]]:
+def large_items(
+    spark: SparkSession, lengths: dict[str, int], json_key: str | None = None, range_bytes: int | None = None
+) -> tuple[DataFrame | None, list[str]]:
     """The items of large documents as in ``jsonl.json_items``, and the files that cannot be cut.
 
     A root array is cut into its elements; with ``json_key`` a root object is, too, and an array under that key.
     A single object or scalar without a key is one item and has to be parsed as a whole. The pieces are stored once.
     """
-    with fixed_ranges(spark):
+    with fixed_ranges(spark, range_bytes):
         return _large_items(spark, lengths, json_key)
 
 
@@ -458,24 +463,24 @@ def _large_items(spark: SparkSession, lengths: dict[str, int], json_key: str | N
     objects = [f for f, c in known.roots.items() if c == "{"] if json_key is not None else []
     found, errors = [], {}
     if arrays:
-        stored = _stored(array_elements(spark, arrays, known), "elements")
-        bad = _broken(stored, arrays, known)
+        pieces = stored(array_elements(spark, arrays, known), "elements")
+        bad = _broken(pieces, arrays, known)
         good = [f for f in arrays if f not in bad]
         errors |= dict.fromkeys(bad, "JSON decode error")
         if json_key is not None:
             errors |= dict.fromkeys(good, f"Key '{json_key}' not found in JSON")
         else:
-            rows = stored.filter(F.col("file").isin(good) & F.col("raw").isNotNull())
+            rows = pieces.filter(F.col("file").isin(good) & F.col("raw").isNotNull())
             found.append(_items(rows.select("file", "pos", F.col("raw").alias("text"), F.lit(None).cast("string").alias("error"))))
     if objects:
-        stored = _stored(object_pieces(spark, objects, known, True, json_key), "members")
-        bad = _broken(stored, objects, known)
-        last = stored.filter("wanted").groupBy("file").agg(F.max("member").alias("of")).collect()  # a repeated key: the last
+        pieces = stored(object_pieces(spark, objects, known, True, json_key), "members")
+        bad = _broken(pieces, objects, known)
+        last = pieces.filter("wanted").groupBy("file").agg(F.max("member").alias("of")).collect()  # a repeated key: the last
         members = {r["file"]: r["of"] for r in last if r["file"] not in bad}
         errors |= dict.fromkeys(bad, "JSON decode error")
         errors |= {f: f"Key '{json_key}' not found in JSON" for f in objects if f not in bad and f not in members}
         chosen = spark.createDataFrame(list(members.items()), "file string, member long")  # one row per large file
-        rows = _stored(stored.join(F.broadcast(chosen), ["file", "member"]).filter(F.col("wanted")), "wanted")
+        rows = stored(pieces.join(F.broadcast(chosen), ["file", "member"]).filter(F.col("wanted")), "wanted")
         text = F.col("raw").alias("text")
         elements = rows.filter("form = 'element'").select("file", (F.col("number") - F.col("member")).alias("pos"), text, F.lit(None).cast("string").alias("error"))
         single = jsonl.json_items(rows.filter("form = 'member'").select(P.plain_path(F.col("file")).alias("source_file"), F.col("raw").alias("value")), json_key)
@@ -499,6 +504,6 @@ def large_members(spark: SparkSession, lengths: dict[str, int]) -> DataFrame:
         objects = [f for f, c in known.roots.items() if c == "{"]
         if not objects:
             return spark.createDataFrame([], "file string, number long, value string")
-        stored = _stored(object_pieces(spark, objects, known, False, None), "members")
-    good = [f for f in objects if f not in _broken(stored, objects, known)]
-    return stored.filter(F.col("file").isin(good) & (F.col("form") == "member")).select("file", "number", F.col("raw").alias("value"))
+        pieces = stored(object_pieces(spark, objects, known, False, None), "members")
+    good = [f for f in objects if f not in _broken(pieces, objects, known)]
+    return pieces.filter(F.col("file").isin(good) & (F.col("form") == "member")).select("file", "number", F.col("raw").alias("value"))

@@ -160,18 +160,19 @@ SPLIT_OVER = 64 << 20
 
 
 def read_json_items(
-    spark: SparkSession, paths: str | Sequence[str], json_key: str | None = None, split_over: int = SPLIT_OVER
+    spark: SparkSession, paths: str | Sequence[str], json_key: str | None = None, split_over: int = SPLIT_OVER,
+    range_bytes: int | None = None,
 ) -> DataFrame:
     """Items of JSON document files (S2), with the position in the document.
 
     A file up to ``split_over`` bytes is parsed by one task. A larger one is cut at its top-level elements by many
-    tasks first (see ``json_split``), when this is called; one that is a single object is one item and stays with one task.
+    tasks first (see ``json_split``), when this is called, in ranges of ``range_bytes`` or of the session's size; one that is a single object is one item and stays with one task.
     """
     from . import json_split
 
     wanted = [paths] if isinstance(paths, str) else list(paths)
     lengths = json_split.large_files(spark, wanted, split_over)
-    cut, whole = json_split.large_items(spark, lengths, json_key) if lengths else (None, [])
+    cut, whole = json_split.large_items(spark, lengths, json_key, range_bytes) if lengths else (None, [])
     file = json_split.comparable(F.col("_metadata.file_path"))
     docs = spark.read.text(wanted, wholetext=True)
     # files that are cut are left out by the listing
