@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import store, string_column, text_of, text_slices, utf8_buffer
 
-#: Shards of the corpus; their local support is about a quarter of the global one.
-SHARDS = 4
+#: Shards of the corpus; their local support is about half of the global one.
+SHARDS = 2
 #: Phrases that a task holds before it counts them and passes the counts on.
-PHRASES_AT_ONCE = 3_000_000
+PHRASES_AT_ONCE = 5_000_000
 #: Words or phrases that one task counts before it passes the counts on.
 COUNTED_AT_ONCE = 1 << 18
+#: Occurrences of candidates that a task holds as word numbers, and words that it numbers, before it counts them.
+OCCURRENCES_AT_ONCE, NUMBERED_AT_ONCE = 3_000_000, 1 << 19
 #: Languages whose local support is lowered by their shares; in others it is 1, which is always safe.
 LANGUAGES = 10_000
 #: Bits of the bitmaps that rule words and phrases out: 8 MB each.
@@ -227,34 +229,74 @@ def _mine(n: int, bitmaps, numbers: dict[str, int]):
     return mine
 
 
+class _Occurrences:
+    """Occurrences of phrases as the numbers of their words, which a task gives out itself, so counts are exact."""
+
+    def __init__(self, longest: int):
+        self.longest = longest
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.languages: dict[str, int] = {}
+        self.found: dict[int, list[np.ndarray]] = {n: [] for n in range(2, self.longest + 1)}
+        self.held = 0
+
+    def add(self, words: Words, lang: str, spots: Phrases) -> None:
+        places = {n: np.flatnonzero(spots.able[n]) for n in self.found}
+        inside = np.zeros(len(spots.codes), bool)
+        for n, at in places.items():
+            for k in range(n):
+                inside[at + k] = True
+        used = np.unique(spots.codes[inside])
+        numbers = np.zeros(len(words.distinct), np.int32)
+        number = self.number
+        numbers[used] = [number.setdefault(w, len(number)) for w in words.distinct.take(pa.array(used)).to_pylist()]
+        language = self.languages.setdefault(lang, len(self.languages))
+        for n, at in places.items():
+            rows = np.full((n + 1, len(at)), language, np.int32)
+            for k in range(n):
+                rows[k] = numbers[spots.codes[at + k]]
+            self.found[n].append(rows)
+            self.held += len(at)
+
+    def counts(self) -> Iterator[pa.RecordBatch]:
+        words = pa.array(list(self.number), pa.large_string())
+        languages = pa.array(list(self.languages), pa.string())
+        for n, parts in self.found.items():
+            if not parts:
+                continue
+            rows = np.concatenate(parts, axis=1)
+            key = rows[n].astype(np.int64)
+            for k in range(n):
+                key = key * len(words) + rows[k]
+                if k < n - 1 and k:  # equal words at all places so far have equal keys; two numbers fit in 64 bits
+                    key = np.unique(key, return_inverse=True)[1]
+            _, first, many = np.unique(key, return_index=True, return_counts=True)
+            for at in range(0, len(first), ROWS_AT_ONCE):
+                some = rows[:, first[at : at + ROWS_AT_ONCE]]
+                parts_of = [words.take(pa.array(some[k])) for k in range(n)]
+                phrase = pc.binary_join_element_wise(*parts_of, pa.scalar(" ", pa.large_string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [languages.take(pa.array(some[n])), pa.array(np.full(some.shape[1], n, np.int32)), phrase, pa.array(many[at : at + ROWS_AT_ONCE])],
+                    names=["lang", "words", "phrase", "n"],
+                )
+
+
 def _count_phrases(bitmaps, longest: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, Counter[tuple[str, str]]] = {n: Counter() for n in range(2, longest + 1)}
+        held = _Occurrences(longest)
         filters = [b.value for b in bitmaps]
         for batch in batches:
             for texts, segments in _by_shard(batch):
                 words = Words(texts)
                 hashed = words.hashes()
                 for lang, _, a, b in segments:
-                    spots = Phrases(words, hashed, lang, a, b, filters, longest)
-                    for n, total in totals.items():
-                        at = np.flatnonzero(spots.able[n])
-                        if not len(at):
-                            continue
-                        # equal words at all places have equal keys
-                        key = spots.codes[at]
-                        for k in range(1, n):
-                            _, key = np.unique(key * len(words.distinct) + spots.codes[at + k], return_inverse=True)
-                        _, first, counts = np.unique(key, return_index=True, return_counts=True)
-                        parts = [words.distinct.take(pa.array(spots.codes[at[first] + k])) for k in range(n)]
-                        for phrase, m in zip(pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).to_pylist(), counts.tolist()):
-                            total[lang, phrase] += m
-            for n, total in totals.items():
-                if len(total) >= COUNTED_AT_ONCE:
-                    yield from _counted(total, n)
-                    total.clear()
-        for n, total in totals.items():
-            yield from _counted(total, n)
+                    held.add(words, lang, Phrases(words, hashed, lang, a, b, filters, longest))
+                if held.held >= OCCURRENCES_AT_ONCE or len(held.number) >= NUMBERED_AT_ONCE:
+                    yield from held.counts()
+                    held.clear()
+        yield from held.counts()
 
     return count
 
