@@ -67,6 +67,11 @@ def kind(value: Column) -> Column:
     return _lookup(_KINDS, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
 
 
+def is_object(value: Column) -> Column:
+    """Whether a value is a JSON object, without a look at its members."""
+    return F.try_variant_get(value, "$", "struct<_:variant>").isNotNull()
+
+
 def truthy(value: Column) -> Column:
     """Python truth of a JSON value; a missing value is false."""
     empty = ("null", "false", '""', "[]", "{}", "0", "0.0", "-0", "-0.0")

@@ -105,8 +105,7 @@ def jobs_all(t):
     """,
 )
 def jobs_active(t):
-    known = registry(t)
-    return OPS.active_jobs(known, accounting(t, ("state", "elapsed"), known))
+    return OPS.active_jobs(registry(t), accounting(t, ("state", "elapsed")))
 
 
 @query(
@@ -138,8 +137,7 @@ def job_detail(t):
     """,
 )
 def jobs_running(t):
-    known = registry(t)
-    return OPS.by_number(OPS.running_jobs(known, accounting(t, ("state",), known)).select("job_id", "state"))
+    return OPS.by_number(OPS.running_jobs(registry(t), accounting(t, ("state",))).select("job_id", "state"))
 
 
 @query(

@@ -41,7 +41,7 @@ _NONZERO_NUMBER = r"^-?(?=[\d.]*[1-9])\d"
 def registry_jobs(docs: DataFrame, text: str = "value") -> DataFrame:
     """A registry document ``{job_id: {...}}`` to rows; anything but an object gives none."""
     entry = F.explode(V.parse_object(F.col(text))).alias("job_id", "entry")
-    rows = docs.select(entry).where(V.kind(F.col("entry")) == "object")
+    rows = docs.select(entry).where(V.is_object(F.col("entry")))
     members = rows.select("job_id", F.try_variant_get("entry", "$", _REGISTRY_MEMBERS).alias("m"))
     kept = ("job_name", "type", "model", "engine", "input", "output", "logs_dir", "workspace")
     return members.select(
@@ -57,7 +57,7 @@ def accounting_entries(docs: DataFrame, text: str = "value", order_by: str | Non
     order = F.col(order_by) if order_by else F.lit(0)
     jobs = F.try_variant_get(doc, "$.jobs", V.LIST)
     exploded = docs.select(order.alias("_doc"), F.posexplode(jobs).alias("_pos", "job"))
-    return exploded.where(V.kind(F.col("job")) == "object").select(
+    return exploded.where(V.is_object(F.col("job"))).select(
         F.struct("_doc", "_pos").alias("seq"), "job"
     )
 
@@ -140,6 +140,6 @@ def read_accounting(
     if lengths:
         items, _ = json_split.large_items(spark, lengths, "jobs")
         if items is not None:
-            jobs = items.where(F.col("error").isNull() & (V.kind(F.col("item")) == "object"))
+            jobs = items.where(F.col("error").isNull() & V.is_object(F.col("item")))
             entries = entries.unionByName(jobs.select(F.col("seq").cast(order).alias("seq"), F.col("item").alias("job")))
     return accounting_jobs(entries, columns)
