@@ -228,7 +228,10 @@ def convert_items(
         batch_body, F.map_filter(defaults, lambda k, _: ~F.map_contains_key(batch_body, k))
     )
     known = F.array(*[F.lit(k) for k in ("custom_id", *BATCH_KEYS, "metadata")])
-    extra = F.map_filter(obj, lambda k, _: ~F.array_contains(known, k))
+    # the id column is text; an id of another type is written as it was
+    extra = F.map_filter(
+        obj, lambda k, v: ~F.array_contains(known, k) | ((k == "custom_id") & (F.schema_of_variant(v) != "STRING"))
+    )
     batch_id = F.when(_has(obj, "custom_id"), _get(obj, "custom_id").cast("string")).otherwise(
         F.coalesce(_item_id(obj, id_field, use_id=False), F.uuid())
     )

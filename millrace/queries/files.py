@@ -298,3 +298,38 @@ def large_documents(t):
         ))
     both = read[0].union(read[1])
     return both.select("doc_id", "content", F.octet_length("content").cast("bigint").alias("bytes"), "shape")
+
+
+@query(
+    "request_lines",
+    "SELECT doc_id::VARCHAR AS custom_id, text AS content, 'small' AS model FROM documents",
+)
+def request_lines(t):
+    """Requests written as JSON lines and read back by the strict reader."""
+    folder = scratch_dir(t.spark, "requests")
+    text = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))
+    requests = R.build_requests(t.documents, F.array(text), "small", F.col("doc_id").cast("string"), 0.7, 500, seq="doc_id")
+    sinks.write_requests(requests, folder)
+    item = jsonl.read_prompt_pool(t.spark, folder)
+
+    def get(path):
+        return F.variant_get("item", f"$.{path}", "string")
+
+    return item.select(get("custom_id").alias("custom_id"), get("body.messages[0].content").alias("content"), get("body.model").alias("model"))
+
+
+@query(
+    "results_list",
+    "SELECT event_id, CASE WHEN event_id % 4 = 1 THEN 'timed out' END AS error, value AS latency_ms FROM events",
+)
+def results_list(t):
+    """Results as a bare list over part files, without metrics, and back."""
+    e, folder = F.col("event_id"), scratch_dir(t.spark, "list")
+    line = F.concat(
+        F.lit('{"input":{"custom_id":"'), e.cast("string"), F.lit('"},"metadata":{"request_latency_ms":'),
+        F.col("value").cast("string"), F.lit("}"), F.when(e % 4 == 1, ',"error":"timed out"').otherwise(""), F.lit("}"),
+    )
+    sinks.write_results(RS.result_from_json(t.events.select(e.alias("seq"), line.alias("line"))), folder)
+    rows, _ = RS.read_run_file(t.spark, folder)
+    named = M.metric_inputs(rows.withColumn("event_id", F.variant_get(F.col("input")["custom_id"], "$", "bigint")))
+    return named.select("event_id", "error", "latency_ms")

@@ -197,12 +197,18 @@ def catalog_engines(t):
     """
     SELECT p_partkey, array_to_string([x for x in [
         CASE WHEN NOT temperature BETWEEN 0 AND 1 THEN 'temperature in [0,1]' END,
+        CASE WHEN p_retailprice > 1400 THEN 'top_p in [0,1]' END,
         CASE WHEN max_tokens < 1 THEN 'max_tokens >= 1' END,
+        CASE WHEN p_size < 10 THEN 'top_k >= 0' END,
         CASE WHEN NOT regexp_matches(gpu_memory, '^\\d+GB$') THEN 'gpu_memory format' END,
+        CASE WHEN p_size % 3 = 0 THEN 'cuda_version format' END,
+        CASE WHEN p_size > 45 THEN 'gpu_memory_utilization in [0,1]' END,
         CASE WHEN p_size > 40 THEN 'engine' END,
         CASE WHEN lo > hi OR hi > 1 THEN 'temperature_range' END,
-        CASE WHEN p_size > 25 THEN 'batch_size_range' END] IF x IS NOT NULL], '|') AS violations
-    FROM (SELECT p_partkey, p_size, p_retailprice / 1500 AS temperature, p_size - 5 AS max_tokens,
+        CASE WHEN p_size > 25 THEN 'batch_size_range' END,
+        CASE WHEN p_size % 4 = 1 OR p_size > 30 THEN 'concurrent_range' END,
+        CASE WHEN p_size = 1 THEN 'max_tokens_limit >= 1' END] IF x IS NOT NULL], '|') AS violations
+    FROM (SELECT p_partkey, p_size, p_retailprice, p_retailprice / 1500 AS temperature, p_size - 5 AS max_tokens,
         p_size || CASE WHEN p_size % 7 = 0 THEN 'MB' ELSE 'GB' END AS gpu_memory,
         p_size / 50 AS lo, p_retailprice / 1600 AS hi FROM part)
     """,
@@ -217,5 +223,13 @@ def catalog_quality(t):
         F.when(size > 40, "other").when(size % 2 == 0, "ollama2").otherwise("my-vllm").alias("engine"),
         F.array(size / 50, price / 1600).alias("temperature_range"),
         F.array(size, F.lit(25)).alias("batch_size_range"),
+        (price / 1400).alias("top_p"),
+        (size - 10).alias("top_k"),
+        F.create_map(
+            F.lit("cuda_version"), F.when(size % 3 == 0, "12.4").otherwise(F.concat(F.lit(">="), size.cast("string"), F.lit(".0"))),
+            F.lit("gpu_memory_utilization"), (size / 45).cast("string"),
+        ).alias("requirements"),
+        F.when(size % 4 == 1, F.array(size)).otherwise(F.array(size, F.lit(30))).alias("concurrent_range"),
+        F.when(size > 2, size).otherwise(size - 1).alias("max_tokens_limit"),
     )
     return C.check_quality(entries).select("p_partkey", F.array_join("violations", "|").alias("violations"))

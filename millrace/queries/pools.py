@@ -60,15 +60,17 @@ def jsonl_report(t):
 @query(
     "read_lines",
     """
-    SELECT conv_id, turn, role, text FROM conversations WHERE turn % 5 = 4
+    SELECT conv_id, turn, role, text FROM conversations
     """,
 )
 def read_lines(t):
-    """Valid lines written to text files and read back as items."""
+    """All turns written to text files, with notes and broken lines among them, and read back as items."""
     folder = scratch_dir(t.spark, "lines")
     doc = F.to_json(F.struct("conv_id", "turn", "role", "text"))
-    broken = F.when(F.col("turn") % 5 == 4, doc).when(F.col("turn") % 5 == 0, "# note").otherwise("{")
-    t.conversations.select(broken.alias("value")).write.text(folder)
+    turn = F.col("turn") % 5
+    before = F.when(turn == 0, F.array(F.lit("# note"), F.lit(""))).when(turn == 1, F.array(F.lit("{"), F.concat(doc, F.lit(" x"))))
+    lines = F.concat(F.coalesce(before, F.array().cast("array<string>")), F.array(doc))
+    t.conversations.select(F.explode(lines).alias("value")).write.text(folder)
     item = jsonl.read_jsonl(t.spark, folder)
 
     def get(name, kind):
