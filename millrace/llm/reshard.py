@@ -81,7 +81,7 @@ def even_capacities(total: int, shards: int) -> list[int]:
 def sized_rows(
     docs: DataFrame, old_shard: Column, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """doc_id, size, text_crc32, row, old_shard, block: what the transfer works on, stored."""
+    """doc_id, size, text_crc32, text_key, row, old_shard, block: what the transfer works on, stored."""
     text = text_of(text_column)
     ident = F.col(id_column).cast("long")
     spot = F.xxhash64(ident, F.crc32(text))
@@ -90,6 +90,7 @@ def sized_rows(
             ident.alias("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
+            F.md5(text).alias("text_key"),
             F.monotonically_increasing_id().alias("row"),
             old_shard.cast("int").alias("old_shard"),
             F.pmod(spot, F.lit(BLOCKS)).cast("int").alias("block"),
@@ -172,7 +173,7 @@ def reshard(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot for every row.
+    """doc_id, size, text_crc32, text_key (MD5), old_shard, shard, slot for every row.
 
     ``old_shard`` gives numbers from 0 to ``old_shards - 1``. A null text has size 1 and the
     checksum of the empty text; null ids and repeated rows are placed like others, each with a slot
@@ -181,30 +182,58 @@ def reshard(
     """
     sized = sized_rows(docs, old_shard, id_column, text_column)
     return with_slots(transfer(sized, old_shards, capacities, new_shards)).select(
-        "doc_id", "size", "text_crc32", "old_shard", "shard", "slot"
+        "doc_id", "size", "text_crc32", "text_key", "old_shard", "shard", "slot"
     )
 
 
-def rewrite(placed: DataFrame, docs: DataFrame, folder: str, id_column: str = "doc_id") -> list[int]:
+def _row_key(ident: Column, text_key: Column) -> Column:
+    """One name for an id, also a missing one, with its text."""
+    return F.md5(F.concat_ws(":", F.coalesce(ident.cast("string"), F.lit("none")), text_key))
+
+
+def _copies(rows: DataFrame, key: str, part: Column, order: str) -> DataFrame:
+    """Add ``_copy``: the number of a row among those with its key, counted part by part so that no key is one task's."""
+    rows = rows.withColumn("_part", part)
+    counts = rows.groupBy(key, "_part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select(key, "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(key, "_part").orderBy(order)
+    numbered = rows.withColumn("_inside", F.row_number().over(inside)).join(ahead, [key, "_part"])
+    return numbered.withColumn("_copy", F.col("_ahead") + F.col("_inside")).drop("_part", "_inside", "_ahead")
+
+
+def rewrite(
+    placed: DataFrame, docs: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text"
+) -> list[int]:
     """Write the shards that lose or gain rows below ``folder`` (``shard=N``); give their numbers.
 
-    Ids must be unique here, since they connect the placement with its documents. A shard that
-    keeps exactly its rows is not written again.
+    A row is known by its id and its text; of rows that repeat both, any takes the place of any other, so that missing
+    and repeated ids are written as often as they were placed. A shard that
+    keeps exactly its rows is not written again. A column ``shard`` of ``docs`` is replaced by the new number.
     """
     moved = placed.filter("shard <> old_shard")
     touched = [
         r["shard"]
         for r in moved.select("shard").union(moved.select(F.col("old_shard"))).distinct().collect()
     ]
-    new = placed.filter(F.col("shard").isin(touched)).select(
-        F.col("doc_id").alias("_placed_id"), F.col("shard").alias("_placed_shard"), F.col("slot").alias("_placed_slot")
+    key = _row_key(F.col(id_column).cast("long"), F.md5(text_of(text_column))).alias("_key")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
+    rows = store(docs.select(*kept, key, F.monotonically_increasing_id().alias("_place")), "rewritten")
+    spots = placed.select(
+        _row_key(F.col("doc_id"), F.col("text_key")).alias("_key"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")
     )
-    rows = docs.drop("shard").join(new, F.col(id_column) == F.col("_placed_id")).drop("_placed_id")
+    # a stretch of slots is a part of bounded size
+    stretch = F.col("_shard").cast("long") * F.lit(1 << 32) + F.floor(F.col("_slot") / 100_000)
+    spots = _copies(spots, "_key", stretch, "_slot").filter(F.col("_shard").isin(touched))
+    places = _copies(rows.select("_key", "_place"), "_key", F.shiftright("_place", 33), "_place")
+    chosen = places.join(spots, ["_key", "_copy"]).select("_place", "_shard", "_slot")
     (
-        rows.withColumnRenamed("_placed_shard", "shard")
-        .repartition("shard", F.floor(F.col("_placed_slot") / 100_000))
-        .sortWithinPartitions("shard", "_placed_slot")
-        .drop("_placed_slot")
+        rows.join(chosen, "_place")
+        .drop("_key", "_place")
+        .withColumnRenamed("_shard", "shard")
+        .repartition("shard", F.floor(F.col("_slot") / 100_000))
+        .sortWithinPartitions("shard", "_slot")
+        .drop("_slot")
         .write.partitionBy("shard")
         .parquet(folder)
     )

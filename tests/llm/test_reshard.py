@@ -75,3 +75,20 @@ def test_rewrite_touches_only_changed_shards(spark, tmp_path):
     written = spark.read.parquet(str(tmp_path / "new"))
     assert {r.shard: r["count"] for r in written.groupBy("shard").count().collect()} == {0: 30, 1: 70}
     assert written.select("doc_id").distinct().count() == 100
+
+
+def test_rewrite_keeps_missing_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "x", 0), (None, "x", 1), (None, "y", 0), (5, "same", 0), (5, "same", 0), (5, "same", 1), (5, "other", 1), (6, None, 0), (6, "", 2)]
+    rows += [(7, "many", i % 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old int").repartition(4)
+    placed = reshard.reshard(docs, F.col("old"), 3, 2).cache()
+    touched = reshard.rewrite(placed, docs, str(tmp_path / "new"))
+    assert touched == [0, 1, 2]
+    written = spark.read.parquet(str(tmp_path / "new")).collect()
+    assert Counter((r.doc_id, r.text) for r in written) == Counter((i, t) for i, t, _ in rows)
+    text_of = {zlib.crc32((t or "").encode()): t or "" for _, t, _ in rows}
+    assert Counter((r.shard, r.doc_id, r.text or "") for r in written) == Counter(
+        (r.shard, r.doc_id, text_of[r.text_crc32]) for r in placed.collect()
+    )
+    old = Counter(r.old for r in written)
+    assert old == Counter(o for *_, o in rows)
