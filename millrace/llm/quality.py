@@ -124,22 +124,31 @@ def metadata_features(batch: pa.RecordBatch, strings: Sequence[str], numbers: Se
 
 @dataclass
 class Sparse:
-    """Rows of indicator features."""
+    """Rows of indicator features: ``names`` ascending, and in each row the numbers of its features, four bytes each.
+
+    Without names, ``value`` holds the features themselves.
+    """
 
     value: np.ndarray
     bounds: np.ndarray
+    names: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        if self.names is None:
+            self.names, self.value = np.unique(self.value, return_inverse=True)
+        self.value = self.value.astype(np.int32, copy=False)
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
     @property
     def row(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(self.bounds))
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.bounds))
 
     def take(self, rows: np.ndarray) -> Sparse:
         parts = [self.value[self.bounds[i] : self.bounds[i + 1]] for i in rows]
         lengths = [len(p) for p in parts]
-        return Sparse(np.concatenate([*parts, np.empty(0, np.int64)]).astype(np.int64), np.cumsum([0, *lengths]))
+        return Sparse(np.concatenate([*parts, np.empty(0, np.int32)]), np.cumsum([0, *lengths]), self.names)
 
 
 @dataclass
@@ -152,16 +161,16 @@ class View:
     @classmethod
     def fit(cls, rows: Sparse, bad: np.ndarray) -> View:
         share = min(max(bad.mean(), 1e-6), 1 - 1e-6) if len(bad) else 0.5
-        names, number = np.unique(rows.value, return_inverse=True)
+        names, number, owner = rows.names, rows.value, rows.row
         n = np.bincount(number, minlength=len(names))
-        n_bad = np.bincount(number, bad[rows.row], minlength=len(names))
-        deviation = np.abs(n_bad - n * share) / np.sqrt(n * share * (1 - share))
+        n_bad = np.bincount(number, bad[owner], minlength=len(names))
+        deviation = np.abs(n_bad - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
         chosen = np.flatnonzero((n >= MIN_DOCUMENTS) & (deviation >= MIN_DEVIATIONS))
         chosen = chosen[np.argsort(-deviation[chosen], kind="stable")[:MAX_FEATURES]]
-        place = np.full(len(names), -1)
+        place = np.full(len(names), -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         used = place[number] >= 0
-        column, row = place[number[used]], rows.row[used]
+        column, row = place[number[used]], owner[used]
         weights, bias = np.zeros(len(chosen)), float(np.log(share / (1 - share)))
         # Nesterov's accelerated gradient with a step for each weight: its curvature is at most a quarter of the
         # number of features in the rows that have it
@@ -181,9 +190,8 @@ class View:
         return cls(dict(zip(names[chosen].tolist(), weights.tolist())), float(bias))
 
     def margin(self, rows: Sparse) -> np.ndarray:
-        names, number = np.unique(rows.value, return_inverse=True)
-        weight = np.array([self.weights.get(v, 0.0) for v in names.tolist()])
-        return np.bincount(rows.row, weight[number] if len(names) else None, minlength=len(rows)) + self.bias
+        weight = np.array([self.weights.get(v, 0.0) for v in rows.names.tolist()])
+        return np.bincount(rows.row, weight[rows.value] if len(weight) else None, minlength=len(rows)) + self.bias
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -291,13 +299,13 @@ def train(
             for start, texts in text_slices(string_column(batch, "_text")):
                 value, bounds = text_features(texts, telling)
                 columns = [batch.column(c).slice(start, len(texts)) for c in ("_id", "_bad")]
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value, pa.int32()))
                 columns += [lists, pa.array(metadata[start : start + len(texts)], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["_id", "_bad", "words", "metadata"])
 
     sample = (
         rows.select("_id", "_bad", *(c for c in rows.columns if c not in ("_id", "_bad")))
-        .mapInArrow(features, "_id long, _bad int, words array<long>, metadata array<long>")
+        .mapInArrow(features, "_id long, _bad int, words array<int>, metadata array<long>")
         .toArrow()
         .combine_chunks()
     )
@@ -307,16 +315,17 @@ def train(
     if min((label == 0).sum(), (label == 1).sum()) < 10:
         return None
     views = []
-    for name in ("words", "metadata"):
+    for name, names in (("words", np.array(list(telling), np.int64)), ("metadata", None)):
         lists = sample.column(name).combine_chunks()
         lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        full = Sparse(lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lengths))))
+        full = Sparse(lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lengths))), names)
         views.append(full.take(order))
+    del sample, lists
     return CoTrained.fit(*views, label)
 
 
 def _telling_features(labelled: DataFrame, picked: DataFrame) -> dict[int, int]:
-    """The ``CANDIDATES`` text features that depart most from the labels' share, each mapped to itself."""
+    """The ``CANDIDATES`` text features that depart most from the labels' share, ascending, each with its number."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,7 +350,7 @@ def _telling_features(labelled: DataFrame, picked: DataFrame) -> dict[int, int]:
         .orderBy(F.desc("deviation"), "feature")
         .limit(CANDIDATES)
     )
-    return {r["feature"]: r["feature"] for r in chosen.select("feature").collect()}
+    return {feature: i for i, feature in enumerate(sorted(r["feature"] for r in chosen.select("feature").collect()))}
 
 
 def classify(
