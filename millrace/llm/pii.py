@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, string_column, text_of, text_slices
+from .common import store, store_counted, string_column, text_of, text_slices
 
 #: Words on either side of a match, in its line, that count as near.
 WINDOW = 8
@@ -31,6 +31,8 @@ WINDOW = 8
 GENERALISE_AT, REMOVE_AT = 0.9, 0.99
 #: Documents with the term but without the entity that are taken to be there unseen.
 SMOOTHING = 0.5
+#: Disclosing pairs that are broadcast; with more of them the places of all terms are shuffled.
+MAX_BROADCAST_PAIRS = 500_000
 #: Words of a document whose terms are handed on in one row.
 WORDS_AT_ONCE = 20_000
 #: Terms one task counts before it passes the counts on.
@@ -144,7 +146,8 @@ def near_words(text: str, spans: list[tuple[str, int, int]], words: list[tuple[i
 
 
 SPOT = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-TERM = pa.struct([("term", pa.string()), ("entities", pa.list_(pa.string())), ("spots", pa.list_(SPOT))])
+NAMES = pa.list_(pa.string())
+TERM = pa.struct([("term", pa.string()), ("entities", NAMES), ("first", NAMES), ("spots", pa.list_(SPOT))])
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
@@ -157,6 +160,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, covered = covered_words(text, own) if own else ([], [])
             near = near_words(text, own, words) if own else {}
             entities = [*kinds, *sorted({entity(kind, text[a:b]) for kind, a, b in own})]
+            seen: dict[str, set[str]] = {}
             for first in range(0, max(len(words), 1), WORDS_AT_ONCE):
                 terms: dict[str, tuple[set[str], list[dict[str, int]]]] = {}
                 for k in range(first, min(first + WORDS_AT_ONCE, len(words))):
@@ -165,7 +169,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         by, spots = terms.setdefault(term, (set(kinds), []))
                         by |= near.get(k, set())
                         spots.append({"start": a, "end": b})
-                listed = [{"term": t, "entities": sorted(by), "spots": spots} for t, (by, spots) in terms.items()]
+                listed = []
+                for t, (by, spots) in terms.items():
+                    before = seen.setdefault(t, set())
+                    listed.append({"term": t, "entities": sorted(by), "first": sorted(by - before), "spots": spots})
+                    before |= by
                 head = first == 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -208,7 +216,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """What each document holds, stored: doc_id, row (unique), text_hash, head, base, entities, terms.
 
     ``base`` (spans) and ``entities`` (values as ``kind:value``, and kinds) stand in the one row of a document that is its
-    head; ``terms`` are the words outside the spans with their places and the entities that they may disclose.
+    head; ``terms`` are the words outside the spans with their places and the entities that they may disclose, ``first`` those
+    of them that no earlier row of the document lists with the term.
     """
     text = text_of(text_column)
     rows = docs.select(
@@ -222,7 +231,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             _scan,
             "doc_id long, row long, text_hash long, head boolean, base array<struct<kind:string,start:int,end:int>>, "
             "entities array<string>, "
-            "terms array<struct<term:string,entities:array<string>,spots:array<struct<start:int,end:int>>>>",
+            "terms array<struct<term:string,entities:array<string>,first:array<string>,spots:array<struct<start:int,end:int>>>>",
         ),
         "scanned",
     )
@@ -230,10 +239,10 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 def disclosures(docs: DataFrame, scanned: DataFrame, text_column: str = "text") -> DataFrame:
     """entity (a value or a kind), term, share of its information that the term gives away."""
-    by_term = scanned.select("row", "text_hash", F.explode("terms").alias("t")).select("row", "text_hash", "t.term", "t.entities")
+    by_term = scanned.select("text_hash", F.explode("terms").alias("t")).select("text_hash", "t.term", "t.first")
     together = (
-        by_term.select("row", "text_hash", "term", F.explode("entities").alias("entity"))
-        .distinct()
+        # a document lists an entity with a term once, so tasks combine their counts before the shuffle
+        by_term.select("text_hash", "term", F.explode("first").alias("entity"))
         .groupBy("entity", "term")
         .agg(F.count("*").alias("n_both"), F.min("text_hash").alias("one"), F.max("text_hash").alias("other"))
         .filter(F.contains("entity", F.lit(":")) | (F.col("one") != F.col("other")))
@@ -266,12 +275,17 @@ def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """
     scanned = scan(docs, id_column, text_column)
     action = F.when(F.col("share") >= REMOVE_AT, "remove").otherwise("generalise")
-    telling = disclosures(docs, scanned, text_column).filter(F.col("share") >= GENERALISE_AT)
+    telling, (n_telling,) = store_counted(
+        disclosures(docs, scanned, text_column).filter(F.col("share") >= GENERALISE_AT).select("entity", "term", action.alias("action")),
+        "telling",
+    )
+    if n_telling <= MAX_BROADCAST_PAIRS:
+        telling = F.broadcast(telling)
     held = scanned.select("row", F.explode("terms").alias("t")).select(
         "row", "t.term", "t.spots", F.explode("t.entities").alias("entity")
     )
     terms = (
-        held.join(telling.select("entity", "term", action.alias("action")), ["entity", "term"])
+        held.join(telling, ["entity", "term"])
         # a word that discloses two entities takes the stronger action
         .select("row", "action", F.explode("spots").alias("s"))
         .groupBy("row", "s.start", "s.end")
