@@ -3,7 +3,7 @@
 The documents are dealt into a few shards by a hash of their text, and words are counted first, per language and per shard. Then
 phrases are found length by length: each shard is mined completely, at the global support lowered to its share of
 the language's words. A phrase that is frequent in the corpus is so in one shard at least, so the union of what is locally frequent
-misses none. A shard is mined by as many tasks as hold its documents: each counts its own phrases first, by a 64-bit hash, and
+misses none. A shard is mined by as many tasks as hold its documents: each counts its own phrases first, by a hash, and
 Spark adds the counts up. A phrase is mined only if both its parts, without the last and without
 the first word, are candidates. Last, all candidates are counted exactly, as texts, over all documents;
 hashes and the bitmaps made of them only rule phrases out, so a collision costs a little work and
@@ -43,6 +43,8 @@ FILTER_BITS = 1 << 26
 CHUNK_BITS = 1 << 15
 #: Bytes of texts that are split into words together.
 SLICE = 2 << 20
+#: Bits of a hash by which phrases are mined; equal ones are one candidate more at worst.
+NAME_BITS = np.uint64((1 << 40) - 1)
 #: Rows of one Arrow batch that a task passes on.
 ROWS_AT_ONCE = 100_000
 NO_LANGUAGE = "und"
@@ -202,7 +204,7 @@ def _mine(n: int, bitmaps, numbers: dict[str, int]):
 
         def counts() -> Iterator[pa.RecordBatch]:
             for cell, arrays in found.items():
-                hashed, many = np.unique(np.concatenate(arrays), return_counts=True)
+                hashed, many = np.unique(np.concatenate(arrays) & NAME_BITS, return_counts=True)
                 for at in range(0, len(hashed), ROWS_AT_ONCE):
                     part = hashed[at : at + ROWS_AT_ONCE].view(np.int64)
                     yield pa.RecordBatch.from_arrays(
@@ -330,7 +332,7 @@ def counted_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """(words, phrases), both lang, words, phrase, n and stored.
 
-    The first holds every word with its count, and as ``words`` 0 the sizes of the shards, the second every phrase of 2 to ``longest`` words
+    The first holds every word of that support with its count, and as ``words`` 0 the sizes of the shards, the second every phrase of 2 to ``longest`` words
     that occurs ``least`` times or more in its language.
     """
     if not 2 <= longest <= MAX_WORDS:
@@ -343,7 +345,11 @@ def counted_phrases(
         text.alias("text"),
     )
     counted = store(
-        texts.mapInArrow(_count_words, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")), "words"
+        texts.mapInArrow(_count_words, COUNTS)
+        .groupBy("lang", "words", "phrase")
+        .agg(F.sum("n").alias("n"))
+        .filter((F.col("n") >= least) | (F.col("words") == 0)),
+        "words",
     )
     words = counted.filter("words = 1")
     sizes = counted.filter("words = 0").select("lang", F.col("phrase").cast("int").alias("shard"), "n")
