@@ -132,7 +132,7 @@ def large_csv(t):
     exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     columns = t.documents.select("doc_id", "source", F.concat(F.lit('"'), "text", F.lit('",\n"')).alias("text"), "n_chars")
     columns.repartition(4, "doc_id").write.csv(folder, header=True, escape='"', **exact)
-    rows = csv_rows.read_csv_rows(t.spark, folder, columns.schema, split_over=1 << 14, range_bytes=1 << 17, **exact)
+    rows = csv_rows.read_csv_rows(t.spark, folder, columns.schema, split_over=1 << 14, range_bytes=1 << 19, **exact)
     text = F.expr("substr(row.text, 2, length(row.text) - 5)")
     return rows.select("row.doc_id", "row.source", text.alias("text"), "row.n_chars")
 
@@ -290,7 +290,7 @@ def large_documents(t):
         folder = scratch_dir(t.spark, shape)
         lines = t.documents.repartition(parts, "doc_id").select(line)
         lines.mapInArrow(_one_document_each(opening, closing), "value string").write.text(folder)
-        items = jsonl.read_json_items(t.spark, folder, key, split_over=1 << 14, range_bytes=1 << 17)
+        items = jsonl.read_json_items(t.spark, folder, key, split_over=1 << 14, range_bytes=1 << 19)
         read.append(items.select(
             F.try_variant_get("item", "$.doc_id", "bigint").alias("doc_id"),
             F.try_variant_get("item", "$.text", "string").alias("content"),
