@@ -231,6 +231,16 @@ def write(path, value):
     return str(path)
 
 
+def test_job_joins_broadcast_neither_side(spark):
+    registry = JS.registry_jobs(spark.sql("SELECT '{\"1\": {\"job_name\": \"a\"}}' AS value"))
+    docs = spark.sql("SELECT '{\"jobs\": [{\"job_id\": 1, \"state\": \"RUNNING\"}]}' AS value")
+    accounting = JS.accounting_jobs(JS.accounting_entries(docs))
+    for jobs in (OPS.all_jobs(registry, accounting), OPS.active_jobs(registry, accounting), OPS.running_jobs(registry, accounting)):
+        plan = jobs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert [r.job_id for r in jobs.collect()] == ["1"]
+
+
 def test_job_history(spark, tmp_path):
     registry = JS.read_registry(spark, write(tmp_path / "r.json", {
         "100": {"job_name": "a", "model": "m", "engine": "vllm", "submitted_at": "2024-01-01T10:00:00Z", "logs_dir": "/l/"},
