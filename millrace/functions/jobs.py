@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import variants as V
@@ -17,17 +17,26 @@ ACTIVE_STATES = ("RUNNING", "PENDING")
 def current_state(raw: Column) -> Column:
     """The part of a state payload that names the state: a member of ``{"current": ...}``, or all of it."""
     lower, upper = (F.try_variant_get(raw, f"$.{k}", "variant") for k in ("current", "CURRENT"))
-    return F.when(V.kind(raw) == "object", F.when(V.truthy(lower), lower).otherwise(upper)).otherwise(raw)
+    return F.when(V.is_object(raw), F.when(V.truthy(lower), lower).otherwise(upper)).otherwise(raw)
 
 
-def state_text(current: Column) -> Column:
-    """Upper-cased state from a string or a list's first entry; NULL when blank, empty or other."""
+def named_state(current: Column) -> Column:
+    """A state that is a string or a list's first entry; NULL when empty or other."""
     first = F.coalesce(
         F.try_variant_get(current, "$[0]", "string"),
         F.when(V.kind(F.try_variant_get(current, "$[0]", "variant")) == "null", "NONE"),
     )
-    text = F.when(V.kind(current) == "string", current.cast("string")).otherwise(first)
-    return F.when(strip(text) != "", F.upper(text))
+    return F.when(V.kind(current) == "string", current.cast("string")).otherwise(first)
+
+
+def shown_state(name: Column) -> Column:
+    """Upper-cased state; NULL when blank."""
+    return F.when(strip(name) != "", F.upper(name))
+
+
+def state_text(current: Column) -> Column:
+    """Upper-cased state from a string or a list's first entry; NULL when blank, empty or other."""
+    return shown_state(named_state(current))
 
 
 def job_state(job: Column) -> Column:
@@ -51,12 +60,20 @@ def epoch_text(seconds: Column) -> Column:
     return F.when(seconds > 0, _stamp(F.timestamp_seconds(F.floor(seconds)))).otherwise(MISSING)
 
 
+def dashed(text: Column) -> Column:
+    """ISO-8601 text, trimmed and with dashes in its date."""
+    return F.regexp_replace(strip(text), r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
+
+
+def dashed_text(text: Column) -> Column:
+    """ISO-8601 text from :func:`dashed` as a timestamp text in the session zone."""
+    parsed = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}(?:$|[T ]\d{2})"), F.try_to_timestamp(text))
+    return F.coalesce(_stamp(parsed), F.lit(MISSING))
+
+
 def iso_text(text: Column) -> Column:
     """ISO-8601 text as a timestamp text in the session zone."""
-    value = strip(text)
-    compact = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
-    parsed = F.when(compact.rlike(r"^\d{4}-\d{2}-\d{2}(?:$|[T ]\d{2})"), F.try_to_timestamp(compact))
-    return F.coalesce(_stamp(parsed), F.lit(MISSING))
+    return dashed_text(dashed(text))
 
 
 def either_text(seconds: Column, text: Column) -> Column:
@@ -71,6 +88,15 @@ def timestamp_text(value: Column) -> Column:
     return either_text(V.number_or_null(value), value.cast("string"))
 
 
+def with_timestamp_text(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """:func:`timestamp_text` as a column ``name``, in steps, so that each part is computed once a row."""
+    rows = rows.withColumn("_seconds", V.number_or_null(value))
+    rows = rows.withColumn("_dashed", F.when(F.coalesce(F.col("_seconds") <= 0, F.lit(True)), dashed(value.cast("string"))))
+    text = F.when(F.col("_dashed").isNull(), MISSING).otherwise(dashed_text(F.col("_dashed")))
+    shown = F.when(F.col("_seconds") > 0, epoch_text(F.col("_seconds"))).otherwise(text)
+    return rows.withColumn(name, shown).drop("_seconds", "_dashed")
+
+
 def _two_digits(n: Column) -> Column:
     return F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
 
@@ -94,7 +120,7 @@ def limit_minutes(limit: Column) -> Column:
     inner = F.try_variant_get(limit, "$.number", "variant")
     flags = [F.try_variant_get(limit, f"$.{k}", "variant") for k in ("set", "infinite")]
     return F.when(
-        V.kind(limit) == "object",
+        V.is_object(limit),
         F.when(V.truthy(flags[0]) & ~V.truthy(flags[1]), V.number_or_null(inner)),
     ).otherwise(V.number_or_null(limit))
 

@@ -64,7 +64,8 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 def kind(value: Column) -> Column:
     """object | array | string | number | boolean | null, and SQL NULL for a missing value."""
-    return _lookup(_KINDS, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
+    schema = F.schema_of_variant(value)
+    return _lookup(_KINDS, F.substring_index(F.substring_index(schema, "<", 1), "(", 1))
 
 
 def is_object(value: Column) -> Column:

@@ -43,11 +43,12 @@ def registry_jobs(docs: DataFrame, text: str = "value") -> DataFrame:
     entry = F.explode(V.parse_object(F.col(text))).alias("job_id", "entry")
     rows = docs.select(entry).where(V.is_object(F.col("entry")))
     members = rows.select("job_id", F.try_variant_get("entry", "$", _REGISTRY_MEMBERS).alias("m"))
+    members = J.with_timestamp_text(members, "submitted", F.col("m.submitted_at"))
     kept = ("job_name", "type", "model", "engine", "input", "output", "logs_dir", "workspace")
     return members.select(
         "job_id",
         *[F.col(f"m.{k}").alias(k) for k in kept],
-        J.timestamp_text(F.col("m.submitted_at")).alias("submitted"),
+        "submitted",
     )
 
 
@@ -83,7 +84,7 @@ def accounting_jobs(
     # one pass over the payload takes the members out; they are formatted for the winners only
     members = entries.where(F.to_json(job_id).rlike(_NONZERO_NUMBER)).select(
         "seq",
-        job_id.cast("string").alias("job_id"),
+        F.try_variant_get(job, "$.job_id", "string").alias("job_id"),
         F.try_variant_get(job, "$", f"struct<{', '.join(fields)}>").alias("m"),
         F.struct(
             F.lit(0).alias("none"),
@@ -93,24 +94,28 @@ def accounting_jobs(
     if only is not None:
         members = members.join(only.select("job_id"), "job_id", "left_semi")
     latest = members.groupBy("job_id").agg(F.max_by(F.struct("m", "other"), "seq").alias("w"))
-    latest = latest.select("job_id", "w.*")
+    # in steps, so that each part is computed once a row
+    shown = latest.select("job_id", "w.*")
+    if "state" in columns:
+        raws = {f"_{k}": F.col(f"m.{k}") for k in ("job_state", "state")}
+        shown = shown.withColumns({k: J.current_state(v) for k, v in raws.items()})
+        shown = shown.withColumns({k: J.named_state(F.col(k)) for k in raws})
+        shown = shown.withColumn("state", F.coalesce(*[J.shown_state(F.col(k)) for k in raws], F.lit("UNKNOWN")))
+    if "start" in columns:
+        shown = J.with_timestamp_text(shown, "start", F.col("m.time.start"))
+    if "elapsed" in columns:
+        shown = shown.withColumn("_elapsed", V.number_or_null(F.col("m.time.elapsed")))
+        shown = shown.withColumn("elapsed", J.duration_text(F.col("_elapsed")))
+    if "time_limit" in columns:
+        shown = shown.withColumn("_minutes", J.limit_minutes(F.col("m.time.limit")))
+        shown = shown.withColumn("time_limit", J.minutes_text(F.col("_minutes")))
 
     def text(column):
         names = [f"other.{k}" if k[0].isupper() else f"m.{k}" for k in _MEMBERS[column]]
         return F.coalesce(*[F.nullif(J.strip(F.col(n)), F.lit("")) for n in names])
 
-    def state():
-        given = F.transform(F.array("m.job_state", "m.state"), lambda s: J.state_text(J.current_state(s)))
-        found = F.try_element_at(F.filter(given, lambda s: s.isNotNull()), F.lit(1))
-        return F.coalesce(found, F.lit("UNKNOWN"))
-
-    shown = {
-        "state": state,
-        "start": lambda: J.timestamp_text(F.col("m.time.start")),
-        "elapsed": lambda: J.duration_text(V.number_or_null(F.col("m.time.elapsed"))),
-        "time_limit": lambda: J.minutes_text(J.limit_minutes(F.col("m.time.limit"))),
-    }
-    return latest.select("job_id", *[(shown[c]() if c in shown else text(c)).alias(c) for c in columns])
+    texts = {c: text(c) for c in columns if c not in shown.columns}
+    return shown.select("job_id", *[texts[c].alias(c) if c in texts else c for c in columns])
 
 
 def read_registry(spark: SparkSession, path, split_over: int = jsonl.SPLIT_OVER) -> DataFrame:
