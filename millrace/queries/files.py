@@ -23,6 +23,10 @@ from .registry import query
 from .serving import MODEL
 
 
+#: Documents in one of the files that are written to be cut again.
+PART_ROWS = 10_000
+
+
 class FaultyModel:
     """Answers by the prompt's first character: not JSON, not writable as JSON, or its length."""
 
@@ -106,6 +110,11 @@ def envelope_roundtrip(t):
     )
 
 
+def _part_files(t) -> int:
+    """How many files the documents are written to: four, and one more for each ``PART_ROWS`` rows beyond."""
+    return max(4, -(-t.documents.count() // PART_ROWS))
+
+
 @query(
     "csv_documents",
     "SELECT doc_id::VARCHAR AS custom_id, text AS content, source FROM documents",
@@ -131,7 +140,7 @@ def large_csv(t):
     folder = scratch_dir(t.spark, "csv")
     exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     columns = t.documents.select("doc_id", "source", F.concat(F.lit('"'), "text", F.lit('",\n"')).alias("text"), "n_chars")
-    columns.repartition(4, "doc_id").write.csv(folder, header=True, escape='"', **exact)
+    columns.repartition(_part_files(t), "doc_id").write.csv(folder, header=True, escape='"', **exact)
     rows = csv_rows.read_csv_rows(t.spark, folder, columns.schema, split_over=1 << 14, range_bytes=1 << 19, **exact)
     text = F.expr("substr(row.text, 2, length(row.text) - 5)")
     return rows.select("row.doc_id", "row.source", text.alias("text"), "row.n_chars")
@@ -283,7 +292,7 @@ def _one_document_each(opening: str, closing: str):
 )
 def large_documents(t):
     """Texts in JSON documents that are larger than a split, as a list and as a member of an object."""
-    parts, read = 4, []
+    parts, read = _part_files(t), []
     line = F.to_json(F.struct("doc_id", "text")).alias("value")
     shapes = {"list": ("[", "]", None), "member": ('{"made": [1, 2], "items": [', '], "more": {"a": [1, 2]}}', "items")}
     for shape, (opening, closing, key) in shapes.items():
