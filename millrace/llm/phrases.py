@@ -35,7 +35,7 @@ PHRASES_AT_ONCE = 5_000_000
 #: Words or phrases that one task counts before it passes the counts on.
 COUNTED_AT_ONCE = 1 << 18
 #: Occurrences of candidates that a task holds as word numbers, and words that it numbers, before it counts them.
-OCCURRENCES_AT_ONCE, NUMBERED_AT_ONCE = 3_000_000, 1 << 19
+OCCURRENCES_AT_ONCE, NUMBERED_AT_ONCE = 1_000_000, 1 << 18
 #: Languages whose local support is lowered by their shares; in others it is 1, which is always safe.
 LANGUAGES = 10_000
 #: Bits of the bitmaps that rule words and phrases out: 8 MB each.
