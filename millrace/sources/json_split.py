@@ -166,12 +166,16 @@ class _Walk:
         self.begun = None
         return piece
 
-    def feed(self, data: np.ndarray, ends: np.ndarray) -> Iterator[Piece]:
-        state = self.state
-        in_string = ((np.cumsum(_quotes(data)) + state.in_string) & 1).astype(bool)
+    def scan(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which bytes are in strings, the depth behind each, and where containers below the root open."""
+        in_string = ((np.cumsum(_quotes(data)) + self.state.in_string) & 1).astype(bool)
         steps = np.where(in_string, 0, _STEPS[data])
-        depth = state.depth + np.cumsum(steps)
-        opened = np.flatnonzero((steps == 1) & (depth == 2))
+        depth = self.state.depth + np.cumsum(steps)
+        return in_string, depth, np.flatnonzero((steps == 1) & (depth == 2))
+
+    def feed(self, data: np.ndarray, ends: np.ndarray, scanned: tuple | None = None) -> Iterator[Piece]:
+        state = self.state
+        in_string, depth, opened = scanned or self.scan(data)
         last = np.searchsorted(opened, ends) - 1
         in_array = np.full(len(ends), state.in_array)
         in_array[last >= 0] = data[opened[last[last >= 0]]] == ord("[")
@@ -211,9 +215,11 @@ def _summaries(states: dict[Range, State], inner: bool, key: str | None):
                 continue  # a file of another shape
             if name not in walks:
                 start = replace(states[name], pieces=0, member=-1)
-                walks[name] = [_Walk(replace(start, in_array=x), name[1] == 0, inner, key) for x in (False, True)]
+                # without inner cuts the kind of container makes no difference
+                walks[name] = [_Walk(replace(start, in_array=x), name[1] == 0, inner, key) for x in ((False, True) if inner else (False,))]
+            scanned = walks[name][0].scan(data)  # the walks differ in the kind of container only
             for walk in walks[name]:
-                for _ in walk.feed(data, ends):
+                for _ in walk.feed(data, ends, scanned):
                     pass
                 walk.held = []
         rows = [(*name, bool(x), w.state.pieces, w.state.member, w.state.wanted, w.state.in_array) for name, pair in walks.items() for x, w in enumerate(pair)]
@@ -317,8 +323,9 @@ def pieces_of(spark: SparkSession, files: list[str], known: Layout, inner: bool,
         r = by_range[*name, in_array]
         if r["member"] >= 0:
             member, wanted = pieces + r["member"], r["wanted"]
-        pieces, in_array = pieces + r["pieces"], r["in_array"]
-    found = _records(spark, known.files).mapInArrow(_pieces(states, inner, key), _PIECES)
+        pieces, in_array = pieces + r["pieces"], inner and r["in_array"]
+    # stored, since whole pieces and parts are two reads of it
+    found = stored(_records(spark, known.files).mapInArrow(_pieces(states, inner, key), _PIECES), "pieces")
     # at most two parts of pieces per range
     parts = found.filter("not whole").groupBy("file", "number").agg(
         F.max("from_depth").alias("from_depth"),
