@@ -5,10 +5,12 @@ range into bins and keeps the least hash of each; an empty bin copies the first
 fixed random probe order of its own (optimal densification). Rows of bins form bands, equal bands
 form buckets. A bucket proposes a star instead of all pairs: every member against one hub, the
 member that shares the most buckets. Every proposal is confirmed on the full sets. A bucket whose
-other members still lie in several components stays open and proposes stars around several times as many
-further hubs in the next round, so no link is lost to the choice of a hub. Before that, members are
-left out whose shingles are too seldom shared for any link, which keeps pairs near a small multiple
-of the members. Equal sets are collapsed first; copies never meet.
+other members still lie in several components stays open. From then on the parity bits of two sets rule
+out most pairs: bits that differ are shingles that only one of both has. Where the pairs that reach over
+components are few for each member, all of them are proposed at once. Else open buckets propose stars around
+several times as many further hubs from round to round, so no link is lost to the choice of a hub; before
+that, members are left out whose shingles are too seldom shared for any link. Equal sets are
+collapsed first; copies never meet.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, store, store_counted, string_column, text_of, text_slices, utf8_buffer
@@ -31,7 +33,12 @@ BINS = BANDS * ROWS
 FILTER_BITS = 1 << 26
 CHUNK_BITS = 1 << 15
 
-#: By how much the number of hubs of an open bucket grows from round to round.
+#: Parity bits of a set.
+SKETCH_BITS = 256
+
+#: So many pairs over components for each member of the open buckets are proposed at once.
+CROSSING_EACH = 1024
+#: Else by how much the number of hubs of an open bucket grows from round to round.
 HUB_GROWTH = 8
 
 _random = np.random.default_rng(20250901)
@@ -115,6 +122,12 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return _mix(_mix((grouped * ROW_MULTIPLIERS).sum(2, dtype=np.uint64)) + BAND_OFFSETS)
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """For each value of the last bits of a set's hashes, whether an odd number of them ends so, as 64-bit numbers."""
+    odd = np.bincount((values & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in text_slices(string_column(batch, "text")):
@@ -130,8 +143,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "row", "text_key", "n_shingles", "set_key", "bands"],
+                names=["doc_id", "row", "text_key", "n_shingles", "set_key", "bands", "sketch"],
             )
 
 
@@ -151,7 +165,7 @@ def text_key_of(text_column: str = "text") -> F.Column:
 
 
 def fingerprints(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, row (unique), text_key, n_shingles, set_key, bands of every row, stored."""
+    """doc_id, row (unique), text_key, n_shingles, set_key, bands, sketch of every row, stored."""
     rows = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
@@ -160,7 +174,7 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
     return store(
         rows.mapInArrow(
             _fingerprints,
-            "doc_id long, row long, text_key binary, n_shingles long, set_key binary, bands array<long>",
+            "doc_id long, row long, text_key binary, n_shingles long, set_key binary, bands array<long>, sketch array<long>",
         ),
         "fingerprints",
     )
@@ -208,26 +222,24 @@ def star_components(edges: DataFrame) -> DataFrame:
     """(root, node) for every node with an edge that is not a root itself; roots are the least nodes.
 
     ``edges`` has ``a < b``. Alternates the large star (neighbours above a node go to its least
-    neighbour) and the small star (neighbours below it do) until nothing changes. A turn is one job, which also counts
-    the edges and sums their hashes up.
+    neighbour) and the small star (neighbours below it do) until nothing moves. Every edge stays one row. A job makes two
+    turns of two shuffles each and counts the edges that moved in the second.
     """
-    before, held = None, None
+    held = None
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = _join(both, least, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = _join(large, low, "b").select(
-            F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")
-        )
-        checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        edges, state = store_counted(small.select("e.a", "e.b").filter("a < b").distinct(), "stars", checksum)
+        for _ in range(2):
+            both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = F.least(F.min("b").over(Window.partitionBy("a")), "a")
+            large = both.withColumn("m", least).filter("b > a").select(F.col("m").alias("a"), "b", F.expr("m < a").alias("moved"))
+            low = large.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+            # the least neighbour below keeps the node, the others become its neighbours
+            edges = low.select(F.col("m").alias("a"), F.expr("if(a = m, b, a)").alias("b"), F.expr("moved or m < a").alias("moved"))
+        edges, (_, moved) = store_counted(edges, "stars", F.count_if("moved"))
         if held is not None:
             discard(held)
         held = edges
-        if state == before:
-            return edges.select(F.col("a").alias("root"), F.col("b").alias("node"))
-        before = state
+        if not moved:
+            return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,10 +255,15 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """The members of buckets that reach over more than one component."""
-    spread = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return _join(members, spread.filter("lo < hi").select("bucket"), "bucket")
+def _open(members: DataFrame, stars: DataFrame) -> tuple[DataFrame, int, int]:
+    """The members of buckets that reach over more than one component, stored; their number, and that of ordered pairs over components."""
+    rooted = _join(members.drop("root"), stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    bucket = Window.partitionBy("bucket")
+    spread = rooted.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket), "all": F.count("*").over(bucket)})
+    own = F.count("*").over(Window.partitionBy("bucket", "root"))
+    opened = spread.filter("lo < hi").withColumn("others", F.col("all") - own).select(*MEMBER, "others")
+    opened, (n_members, crossing) = store_counted(opened, "open", F.sum("others"))
+    return opened, n_members, crossing or 0
 
 
 def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,60 +292,85 @@ def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 MEMBER = ("bucket", "node", "n", "score", "root", "reach")
 
 
-def links(members: DataFrame, n_members: int, sets: DataFrame, percent: int) -> DataFrame | None:
+def _possible(percent: int) -> F.Column:
+    """Whether a member and a hub may be similar, by what both may have in common and by the bits of both sketches that differ.
+
+    Two sets of sizes n and m that are similar differ in (100 - percent) / (100 + percent) * (n + m) shingles at most, and
+    each of these turns one parity bit. This is exact.
+    """
+    both = F.col("n") + F.col("hub_n")
+    differ = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("hub_sketch")[i])) for i in range(SKETCH_BITS // 64))
+    return (
+        (F.col("root") != F.col("hub_root"))
+        & ((100 + percent) * F.least("reach", "hub_reach") >= percent * both)
+        & ((100 + percent) * differ <= (100 - percent) * both)
+    )
+
+
+def _as_hubs(members: DataFrame) -> DataFrame:
+    return members.select("bucket", *(F.col(c).alias(f"hub_{c}") for c in ("node", "n", "root", "reach", "sketch")))
+
+
+def _pair() -> list[F.Column]:
+    return [F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")]
+
+
+def links(members: DataFrame, n_members: int, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(root, node) of all components of nodes that share buckets and are similar enough.
 
     ``members`` (stored, ``n_members`` rows): bucket, node, n (set size), score (how many bucket mates it has), root (its
-    component), reach (how many of its shingles another set may have).
+    component), reach (how many of its shingles another set may have), hub_node and hub_n (of the bucket).
+    ``sketches``: node, sketch.
     """
-    hubs_each, stars, tested = 1, None, None
+    if not n_members:
+        return None
+    rest = members.filter("node != hub_node")
+    alike = (100 + percent) * F.least("n", "hub_n") >= percent * (F.col("n") + F.col("hub_n"))
+    tested = store(_compared(rest.filter(alike).select(*_pair()).distinct(), sets, percent), "pairs")
+    stars = star_components(tested.filter("similar").select("a", "b"))
+    # what a hub was compared with is settled; a bucket is done when the rest hangs together
+    opened, n_members, crossing = _open(rest.select(*MEMBER), stars)
+    discard(members)
+    hubs_each = 1
     while n_members:
-        choice = F.max(F.struct("score", *(F.col(c).alias(f"hub_{c}") for c in ("node", "n", "root", "reach"))))
-        hubs = store(
-            members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(hubs_each)).alias("salt"))
-            .agg(choice.alias("h"))
-            .select("bucket", "h.hub_node", "h.hub_n", "h.hub_root", "h.hub_reach"),
-            "hubs",
-        )
-        asked, asking, once = members, hubs, F.lit(True)
-        if hubs_each > 1:
+        last = crossing <= CROSSING_EACH * n_members
+        if last:
+            sketched = _join(opened, sketches, "node")
+            pairs = _join(sketched, _as_hubs(sketched), "bucket").filter((F.col("node") < F.col("hub_node")) & _possible(percent))
+            pairs = pairs.select(*_pair()).distinct()
+        else:
+            hubs_each *= HUB_GROWTH
+            members = store(_able(opened, sets, percent), "able")
+            hubs = store(
+                members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(hubs_each)).alias("salt"))
+                .agg(F.max(F.struct("score", "node")).alias("h"))
+                .select("bucket", F.col("h.node").alias("node")),
+                "hubs",
+            )
+            sketched = _join(members, sketches, "node")
             # the best members lead in many buckets: a pair is proposed in the first where it could be
-            led = hubs.groupBy("hub_node").agg(F.collect_set("bucket").alias("led"))
+            led = hubs.groupBy("node").agg(F.collect_set("bucket").alias("led"))
             inside = members.groupBy("node").agg(F.collect_set("bucket").alias("inside"))  # BANDS at most
-            asked, asking = _join(members, inside, "node"), _join(hubs, led, "hub_node")
+            asking = _join(_as_hubs(_join(sketched, hubs, ["bucket", "node"], "left_semi")), led.withColumnRenamed("node", "hub_node"), "hub_node")
             once = F.array_min(F.array_intersect("inside", "led")) == F.col("bucket")
-        # what both sets may have in common rules out most pairs before their sets are compared
-        pairs = (
-            _join(asked, asking, "bucket")
-            .filter(
-                once
-                & (F.col("node") != F.col("hub_node"))
-                & (F.col("root") != F.col("hub_root"))
-                & ((100 + percent) * F.least("reach", "hub_reach") >= percent * (F.col("n") + F.col("hub_n")))
+            pairs = (
+                _join(_join(sketched, inside, "node"), asking, "bucket")
+                .filter((F.col("node") != F.col("hub_node")) & _possible(percent) & once)
+                .select(*_pair())
+                .distinct()
             )
-            .select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
             pairs = _join(pairs, tested.select("a", "b"), ["a", "b"], "left_anti")
         compared = store(_compared(pairs, sets, percent), "pairs")
-        tested = compared if tested is None else tested.union(compared)
         found = compared.filter("similar").select("a", "b")
-        if stars is not None:
-            found = found.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b")))
-        stars = star_components(found)
-        # what a hub was compared with is settled; a bucket is done when the rest hangs together
-        rest = _join(
-            members.drop("root"), hubs.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti"
-        )
-        rooted = _join(rest, stars, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*MEMBER)
-        opened, (n_members,) = store_counted(_open(rooted), "open")
-        discard(hubs, members)
-        members = opened
-        if n_members:
-            members, (n_members,) = store_counted(_able(opened, sets, percent), "able")
+        stars = star_components(found.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+        if last:
             discard(opened)
-        hubs_each *= HUB_GROWTH
+            break
+        tested = tested.union(compared)
+        rest = _join(members, hubs, ["bucket", "node"], "left_anti")
+        before = (opened, members, hubs)
+        opened, n_members, crossing = _open(rest, stars)
+        discard(*before)
     return stars
 
 
@@ -358,31 +400,34 @@ def verdicts(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
             F.min("text_key").alias("text_key"),
             F.any_value("n_shingles").alias("n"),
             F.any_value("bands").alias("bands"),
+            F.any_value("sketch").alias("sketch"),
         ),
         "classes",
     )
+    bucket = Window.partitionBy("bucket")
     banded = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("mates")).filter("mates > 1")
-    shared = store(banded.join(sizes, "bucket"), "shared")
-    scores = shared.groupBy("node").agg(F.sum("mates").alias("score"))
+    shared = banded.withColumn("mates", F.count("*").over(bucket)).filter("mates > 1")
+    scored = shared.withColumn("score", F.sum("mates").over(Window.partitionBy("node")))
+    hub = F.max(F.struct("score", "node", "n")).over(bucket)
     members, (n_members,) = store_counted(
-        shared.join(scores, "node").select(
-            "bucket", "node", "n", "score", F.col("node").alias("root"), F.col("n").alias("reach")
+        scored.withColumn("hub", hub).select(
+            "bucket", "node", "n", "score", F.col("node").alias("root"), F.col("n").alias("reach"),
+            F.col("hub.node").alias("hub_node"), F.col("hub.n").alias("hub_n"),
         ),
         "members",
     )
-    wanted = store(classes.select("node", "text_key").join(scores.select("node"), "node", "left_semi"), "wanted")
+    wanted = store(classes.select("node", "text_key").join(members.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = _picked_sets(docs, text_column, wanted)
-    stars = links(members, n_members, sets, percent)
-    discard(shared, wanted, sets)
+    stars = links(members, n_members, classes.select("node", "sketch"), sets, percent)
+    discard(wanted, sets)
     if stars is None:
         labels = classes.select("set_key", F.col("least_id").alias("component_id"))
     else:
         rooted = classes.select("set_key", "node", "least_id").join(stars, "node", "left").withColumn(
             "root", F.coalesce("root", "node")
         )
-        least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-        labels = rooted.join(least, "root").select("set_key", "component_id")
+        least = F.min("least_id").over(Window.partitionBy("root"))
+        labels = rooted.withColumn("component_id", least).select("set_key", "component_id")
     # a class of copies may hold much of the table; adaptive execution splits its rows
     return (
         prints.select("doc_id", "text_key", "n_shingles", "set_key")

@@ -105,3 +105,52 @@ def test_densified_signatures_estimate_similarity():
     other = np.concatenate([base[:34], rng.integers(0, 1 << 63, 6, dtype=np.uint64)])
     a, b = near_dedup.signatures([np.unique(base), np.unique(other)])
     assert abs((a == b).mean() - 34 / 46) < 0.2
+
+
+def group_with_stragglers():
+    """Copies of one text with a few edits each, some of them too many for any link."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        at = list(words)
+        for p in rng.integers(0, 150, 2 if i % 3 else 4):
+            at[p] = f"v{rng.integers(0, 3)}"
+        rows.append((i, " ".join(at)))
+    return rows
+
+
+def test_group_with_stragglers_is_settled_in_two_rounds(spark, monkeypatch):
+    rows, stored, store = group_with_stragglers(), [], near_dedup.store
+    monkeypatch.setattr(near_dedup, "store", lambda df, label: stored.append(label) or store(df, label))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answers(near_dedup.near_duplicates(docs, percent=85)) == brute_force(rows, 85)
+    assert stored.count("pairs") == 2
+
+
+def test_rounds_of_hubs_find_the_same_links(spark, monkeypatch):
+    rows = group_with_stragglers()
+    monkeypatch.setattr(near_dedup, "CROSSING_EACH", 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answers(near_dedup.near_duplicates(docs, percent=85)) == brute_force(rows, 85)
+
+
+def test_parity_bits_differ_in_no_more_places_than_the_sets():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    for n in (0, 1, 20, 250):
+        other = np.concatenate([base[n:], rng.integers(0, 1 << 63, n, dtype=np.uint64)])
+        bits = near_dedup.sketch(np.unique(base)) ^ near_dedup.sketch(np.unique(other))
+        differ = len(np.setxor1d(base, other))
+        assert np.unpackbits(bits.view(np.uint8)).sum() <= differ
+        assert n != 1 or np.unpackbits(bits.view(np.uint8)).sum() in (0, 2)
+
+
+def test_components_of_chains_and_cycles(spark):
+    rng = np.random.default_rng(8)
+    order = rng.permutation(40).tolist()
+    edges = {tuple(sorted(e)) for e in [*zip(order, order[1:]), (50, 51), (51, 52), (50, 52), (60, 61)]}
+    df = spark.createDataFrame(sorted(edges), "a long, b long")
+    found = {r.node: r.root for r in near_dedup.star_components(df).collect()}
+    assert found == {**{i: 0 for i in range(1, 40)}, 51: 50, 52: 50, 61: 60}
+    assert near_dedup.star_components(df.limit(0)).count() == 0
