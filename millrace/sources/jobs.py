@@ -69,7 +69,7 @@ def accounting_jobs(
     """Accounting entries (VARIANT ``job``, order ``seq``) to one typed row per job id.
 
     Rows without a numeric, non-zero id are step records and are dropped; of several rows for one
-    id the last wins (an aggregate, so repeated ids combine before the shuffle). Only the members
+    id the last wins (an aggregate over rows dealt by id, so that a task sorts one shuffle partition). Only the members
     behind ``columns`` are taken out of the payload and moved; ``only`` (job_id) drops other jobs
     before the aggregate.
     """
@@ -93,7 +93,8 @@ def accounting_jobs(
     )
     if only is not None:
         members = members.join(only.select("job_id"), "job_id", "left_semi")
-    latest = members.groupBy("job_id").agg(F.max_by(F.struct("m", "other"), "seq").alias("w"))
+    # dealt by id first: combining in the reading tasks would sort all the rows of a file split in each
+    latest = members.repartition("job_id").groupBy("job_id").agg(F.max_by(F.struct("m", "other"), "seq").alias("w"))
     # in steps, so that each part is computed once a row
     shown = latest.select("job_id", "w.*")
     if "state" in columns:
